@@ -21,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder that stands in, in tests on one machine, where no shared folder is named.
+_own: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path under the shared folder that the cluster names; it isn't created."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        top = _own[0]
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

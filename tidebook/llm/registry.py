@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_packing
+from . import q_chat, q_dedup, q_media, q_packing, q_rules
 
-MODULES = [q_packing]
+MODULES = [q_chat, q_media, q_packing, q_dedup, q_rules]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
