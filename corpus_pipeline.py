@@ -1,15 +1,62 @@
-"""Stages that turn documents into packed training sequences."""
+"""Documents on their way to training sequences: five stages, each over all that the one before kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidebook.llm import dedup, mixing, packing, perplexity, toxicity
+from tidebook.llm.common import kept, table, take_rows
+from tidebook.llm.q_toxicity import HELD_OUT, THRESHOLD
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is under the threshold stay; empty and null texts do."""
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~HELD_OUT)
+    scored = toxicity.score(docs.withColumn("_kept", F.struct(*docs.columns)).select("text", "_kept"), index)
+    return scored.filter(F.col("score") < THRESHOLD).select("_kept.*")
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within their language's fence stay."""
+    own = docs.withColumn("_kept", F.struct(*docs.columns)).select("doc_id", "text", "lang", "_kept")
+    judged = perplexity.judge(own, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return judged.filter("trusted_like").select("_kept.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates stays."""
+    return take_rows(docs, dedup.firsts(dedup.near_duplicates(docs.select("doc_id", "text"))))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or more."""
+    found = mixing.mix(docs.select("doc_id", "text", "source"))
+    chosen = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+    return take_rows(docs, chosen)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 1024 tokens."""
+    return packing.pack(packing.cut(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_classifier", drop_low_quality),
+    ("minhash_near_dedup", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Trained models, signatures and a tokenizer are beyond SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over documents, each result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

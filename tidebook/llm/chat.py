@@ -6,7 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +50,7 @@ _PIECE = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>> (?P<system>.*?) <
 
 
 def read_bracket(text: str) -> list[Turn]:
-    """The turns of a text that bracket() made. A role with a line feed isn't told from its text and is refused by format_chats()."""
+    """The turns of a text that bracket() made. In a role, format_chats() turns line feeds into spaces first."""
     turns, at = [], len("<s>")
     while at < len(text):
         m = _PIECE.match(text, at)
@@ -104,32 +104,33 @@ def format_chats(rows: DataFrame, template: Template = bracket, learn: str = "as
     its turns meet in one row too.
     """
 
-    def formatted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for conv_id, turns in zip(frame["conv_id"], frame["turns"], strict=True):
-                text, spans, loss, rewritten = spans_of(template, [(t["role"].replace("\n", " "), t["text"]) for t in turns], learn)
-                pairs = lambda s: [{"start": a, "end": b} for a, b in s]
-                out.append((conv_id, text, pairs(spans), pairs(loss), rewritten))
-            yield pd.DataFrame(out, columns=["conv_id", "formatted", "spans", "loss", "rewritten"]).astype({"conv_id": "Int64"})
+    pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [spans_of(template, [(t["role"].replace("\n", " "), t["text"]) for t in turns], learn) for turns in batch.column(1).to_pylist()]
+            pairs = lambda k: pa.array([[{"start": a, "end": b} for a, b in x[k]] for x in found], pair)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pairs(1), pairs(2), pa.array([x[3] for x in found], pa.int32())], names=["conv_id", "formatted", "spans", "loss", "rewritten"])
 
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     by = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    pair = "array<struct<start:long,end:long>>"
-    return by.mapInPandas(formatted, f"conv_id long, formatted string, spans {pair}, loss {pair}, rewritten int")
+    kind = "array<struct<start:long,end:long>>"
+    return by.mapInArrow(formatted, f"conv_id long, formatted string, spans {kind}, loss {kind}, rewritten int")
 
 
 def digests(chats: DataFrame, read: Callable[[str], list[Turn]] = read_bracket) -> DataFrame:
     """What is read back from format_chats(): counts and digests of the turns and of the text under the loss mask."""
 
-    def digested(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for frame in frames:
-            out = []
-            for conv_id, text, loss in zip(frame["conv_id"], frame["formatted"], frame["loss"], strict=True):
+        for batch in batches:
+            rows = []
+            for text, loss in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 turns = read(text)
                 learnt = "".join(unescape(text[x["start"] : x["end"]]) for x in loss)
-                out.append((conv_id, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learnt), sha(learnt), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+                rows.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learnt), sha(learnt), len(text)))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return chats.mapInPandas(digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    wanted = chats.select("conv_id", "formatted", "loss")
+    return wanted.mapInArrow(digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

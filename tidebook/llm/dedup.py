@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small
+from .common import kept, small, text_key, texts
 from .components import components
 from .shingles import chunks, mix, shingles
 
@@ -46,7 +46,7 @@ def prob_minhash(sets: list[np.ndarray], weights: list[np.ndarray], m: int = COM
 
 
 def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, key (of the text's sequence of words), bands and set (distinct shingles as sorted 32-bit hashes) of every row.
+    """doc_id, text_key, key (of the text's sequence of words), bands and set (distinct shingles as sorted 32-bit hashes) of every row.
 
     A shingle weighs 1 + ln(its count in the text).
     """
@@ -54,7 +54,7 @@ def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
+            own, held = batch.columns[1:], texts(batch)
             done = 0
             for part in chunks(held):
                 lists, ka, kb = shingles(part, words)
@@ -66,11 +66,12 @@ def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
                 bands = [band[i].view(np.int64).tolist() if has[i] else [] for i in range(len(part))]
                 sets = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s, _ in found]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(done, len(part)), pa.StructArray.from_arrays([pa.array(keys[0]), pa.array(keys[1])], ["a", "b"]), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "key", "bands", "set"]
+                    [*(c.slice(done, len(part)) for c in own), pa.StructArray.from_arrays([pa.array(keys[0]), pa.array(keys[1])], ["a", "b"]), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "text_key", "key", "bands", "set"]
                 )
                 done += len(part)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketched, "doc_id long, key struct<a:long,b:long>, bands array<long>, set binary")
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
+    return rows.mapInArrow(sketched, "doc_id long, text_key struct<a:long,b:long>, key struct<a:long,b:long>, bands array<long>, set binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -98,12 +99,12 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, star_rounds: int = 3) -> DataFrame:
-    """doc_id, class_id, n_links, key, rows and first for every row of docs (doc_id, text).
+    """doc_id, text_key, class_id, class_key and n_links for every row of docs (doc_id, text).
 
     Texts whose sets of word shingles have a Jaccard similarity of at least least are linked, if they share a band;
     class_id is the least doc_id of the texts that links connect. n_links counts a text's links that were verified.
     Equal texts (the same words, A-Z as a-z, whatever the space between) are one text throughout, so copies cost no
-    links. rows counts the rows with a text, first is true on rows whose doc_id is the class_id.
+    links. class_key tells classes apart even where doc_ids are null.
 
     In each band's bucket all texts are compared with one leader. Texts that stay apart are compared, in star_rounds
     more rounds, with a leader of another component each; at last all pairs of texts of a bucket that are still in
@@ -111,13 +112,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, star_ro
     wordless texts are copies of each other; a text of under words words has one shingle. An empty table stays empty.
     """
     all_rows = kept(sketch(docs, words), "sketch")
-    texts = kept(all_rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows")), "texts")
+    distinct = kept(all_rows.groupBy("key").agg(F.min("doc_id").alias("least_id")), "texts")
     bands = kept(all_rows.select("key", F.explode("bands").alias("band")).distinct(), "bands")
     hit = bands.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi").select("band")
     bands = kept(bands.join(hit, "band"), "buckets")
     keys = bands.select("key").distinct()
     sets = kept(all_rows.select("key", "set").join(small(keys), "key").dropDuplicates(["key"]), "sets")
-    labels = texts.limit(0).select(F.col("key").alias("node"), F.col("key").alias("component"))
+    labels = distinct.limit(0).select(F.col("key").alias("node"), F.col("key").alias("component"))
     links = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     for step in range(star_rounds + 2):
         rows = bands.join(small(labels.withColumnRenamed("node", "key")), "key", "left").select("band", "key", F.coalesce("component", "key").alias("c"))
@@ -138,8 +139,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, star_ro
         links = kept(links.unionByName(found).distinct(), "links-so-far")
         labels = kept(components(links), "labels")
     degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    classed = texts.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left").select("key", "rows", "least_id", F.coalesce("component", "key").alias("c"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classed = distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left").select("key", "least_id", F.coalesce("component", "key").alias("c"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     heads = classed.groupBy("c").agg(F.min("least_id").alias("class_id"))
-    by_text = kept(classed.join(heads, "c").select("key", "rows", "n_links", "class_id"), "classes")
-    out = all_rows.select("doc_id", "key").join(small(by_text), "key")
-    return out.select("doc_id", "class_id", "n_links", "key", "rows", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("first"))
+    by_text = kept(classed.join(heads, "c").select("key", "n_links", "class_id", F.col("c").alias("class_key")), "classes")
+    return all_rows.select("doc_id", "text_key", "key").join(small(by_text), "key").drop("key")
+
+
+def firsts(found: DataFrame) -> DataFrame:
+    """One row of each class of near_duplicates(), as take_rows() wants it: a text of the document that the class is named by."""
+    named = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    first = named.groupBy("class_key").agg(F.min(F.struct("text_key", "rows", "doc_id")).alias("f"))
+    return first.select("f.doc_id", F.col("f.text_key").alias("key"), "f.rows", F.lit(1).alias("copies"))

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, texts
 from .tokens import encoder
 
 #: Pieces that one task packs; blocks are dealt by hash, so that each has the same mix of lengths.
@@ -25,22 +26,27 @@ def cut(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int | None
     documents. Other columns are not read.
     """
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for frame in frames:
-            out: list[tuple] = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                ids = encode(text or "")
+        for batch in batches:
+            row, number, start, size, crc = [], [], [], [], []
+            for i, text in enumerate(texts(batch)):
+                ids = encode(text)
                 if end_id is not None:
                     ids.append(end_id)
                 held, a = np.array(ids, "<u4"), 0
                 for k in range(-(-len(ids) // length)):
                     b = a + length if k or len(ids) % length == 0 else len(ids) % length
-                    out.append((doc_id, k, a, b - a, zlib.crc32(held[a:b].tobytes())))
+                    row.append(i)
+                    number.append(k)
+                    start.append(a)
+                    size.append(b - a)
+                    crc.append(zlib.crc32(held[a:b].tobytes()))
                     a = b
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64", "piece": "int32"})
+            whole = [pa.array(x, pa.int64()) for x in (start, size, crc)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), *whole], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights: tuple[float, float, float], rule: str) -> np.ndarray:
@@ -89,16 +95,17 @@ def pack(pieces: DataFrame, length: int = 1024, max_docs: int = 1024, max_cost:
     capacity = (length, max_docs, max_cost)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, block long, bin long, offset long, loose boolean"
 
-    def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        n = frame["length"].to_numpy()
-        frame["bin"] = best_fit(n, capacity, weights, rule)
-        by = frame.groupby("bin")["length"]
-        frame["offset"] = by.cumsum() - n
+    def packed(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("length", "descending"), ("row", "ascending")])
+        f = pd.DataFrame({"n": t["length"].to_numpy()})
+        f["bin"] = best_fit(f["n"].to_numpy(), capacity, weights, rule)
+        by = f.groupby("bin")["n"]
+        f["offset"] = by.cumsum() - f["n"]
         half = (by.transform("sum") * 2 <= length) & (by.transform("size") * 2 <= max_docs)
-        cost = frame["length"].pow(2).groupby(frame["bin"]).transform("sum")
-        frame["loose"] = half & (cost * 2 <= max_cost)
-        return frame[["doc_id", "piece", "start", "length", "ids_crc32", "row", "block", "bin", "offset", "loose"]]
+        loose = half & ((f["n"] ** 2).groupby(f["bin"]).transform("sum") * 2 <= max_cost)
+        for name, values in (("bin", f["bin"]), ("offset", f["offset"]), ("loose", loose)):
+            t = t.append_column(name, pa.array(values.to_numpy()))
+        return t
 
     held = kept(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -108,7 +115,7 @@ def pack(pieces: DataFrame, length: int = 1024, max_docs: int = 1024, max_cost:
         n = rest.count()
         blocks = max(1, -(-n // block))
         dealt = rest.select(*columns, "row", F.pmod(F.xxhash64(F.lit(level), "row"), F.lit(blocks)).alias("block"))
-        out = kept(dealt.groupBy("block").applyInPandas(packed, schema), "packed")
+        out = kept(dealt.groupBy("block").applyInArrow(packed, schema), "packed")
         last = blocks == 1 or level == 8
         done.append((out if last else out.filter("not loose")).select(*columns, (F.lit(level << 56) + F.col("block") * (1 << 28) + F.col("bin")).alias("sequence_id"), "offset"))
         if last:
