@@ -41,21 +41,18 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
 
 
 def flight(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The flight phase on one block: p is moved until at most two of it are fractions; the sums of p and of p * size stay.
+    """The flight phase: p is moved until at most two of it are fractions; the sums of p and of p * size stay.
 
     Three fractions at a time move along the null space of the two constraints, up or down by chances that keep their
-    expectation, until one of them is 0 or 1. u: a number in [0, 1) for each move, at least one a unit.
+    expectation, until one of them is 0 or 1. u: numbers in [0, 1) for the moves.
     """
     p = p.astype(float).copy()
-    todo = [i for i in range(len(p)) if 1e-9 < p[i] < 1 - 1e-9]
     hand, step = [], 0
-    for i in todo:
+    for i in np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9)).tolist():
         hand.append(i)
         while len(hand) == 3:
-            a, b, c = hand
-            v = (size[c] - size[b], size[a] - size[c], size[b] - size[a])
-            if not any(v):
-                v = (1.0, -1.0, 0.0)
+            a, b, c = (size[k] for k in hand)
+            v = (c - b, a - c, b - a) if a != b or b != c else (1.0, -1.0, 0.0)
             up = min((1 - p[k]) / x if x > 0 else p[k] / -x for k, x in zip(hand, v, strict=True) if x)
             down = min(p[k] / x if x > 0 else (1 - p[k]) / -x for k, x in zip(hand, v, strict=True) if x)
             move = up if u[step % len(u)] * (up + down) < down else -down
@@ -65,18 +62,32 @@ def flight(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
                 if p[k] < 1e-9 or p[k] > 1 - 1e-9:
                     p[k] = round(p[k])
             hand = [k for k in hand if 0 < p[k] < 1]
+    p[p <= 1e-9], p[p >= 1 - 1e-9] = 0.0, 1.0
     return p
 
 
-def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rounds the at most two fractions that flight leaves so that the sum of sizes stays nearest, then that of counts."""
-    p = p.copy()
-    left = [i for i in range(len(p)) if 0 < p[i] < 1]
-    want = sum(p[i] * size[i] for i in left)
-    count = sum(p[i] for i in left)
-    best = min(range(1 << len(left)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(left) if m >> k & 1) - want), abs(bin(m).count("1") - count), m))
+def landing(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Decides all of p: flight, then the landing problem of the at most two fractions that are left.
+
+    They are rounded so that the sum of sizes comes nearest, then that of counts; then the one exchange of a taken unit
+    for another that best mends the sum of sizes is made, which leaves the count as it is.
+    """
+    want = float(p @ size)
+    p = flight(p, size, u)
+    left = np.flatnonzero((p > 0) & (p < 1)).tolist()
+    sums, count = sum(p[i] * size[i] for i in left), sum(p[i] for i in left)
+    best = min(range(1 << len(left)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(left) if m >> k & 1) - sums), abs(m.bit_count() - count), m))
     for k, i in enumerate(left):
         p[i] = best >> k & 1
+    off, on = np.flatnonzero(p == 0), np.flatnonzero(p == 1)
+    if len(off) and len(on):
+        off = off[np.argsort(size[off], kind="stable")]
+        gap = want - float(p @ size)
+        at = np.clip(np.searchsorted(size[off], size[on] + gap), 0, len(off) - 1)
+        choices = [(abs(gap - size[off[k]] + size[j]), int(off[k]), int(j)) for a, j in zip(at, on, strict=True) for k in {max(a - 1, 0), a}]
+        least, i, j = min(choices)
+        if least < abs(gap):
+            p[i], p[j] = 1.0, 0.0
     return p
 
 
@@ -85,17 +96,15 @@ def balanced(units: DataFrame, seed: int = 11, block: int = BLOCK, fan: int = FA
     size, copies: r without its fraction, or one more.
 
     Units of a source are dealt by hash into blocks of about block units; in each the flight phase leaves at most two
-    fractions. Those of fan blocks meet in one task of the next level, until each source has one block, where landing
+    fractions. Those of fan blocks meet in one task of the next level, until a source has one block, where landing()
     decides. So a source of any size is worked on in parallel, and totals of a source are kept but for the landing.
     Chances come from hashes of doc_id, key and copy and the seed, so reruns agree whatever the partitions.
     """
 
     def moved(t: pa.Table) -> pa.Table:
         t = t.sort_by([("h", "ascending"), ("size", "ascending"), ("copy", "ascending")])
-        size = t["size"].to_numpy().astype(float)
-        p = flight(t["p"].to_numpy(), size, t["u"].to_numpy())
-        if t["blocks"][0].as_py() <= 1:
-            p = landing(p, size)
+        decide = landing if t["blocks"][0].as_py() <= 1 else flight
+        p = decide(t["p"].to_numpy(), t["size"].to_numpy().astype(float), t["u"].to_numpy())
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p)).select(names)
 
     columns = ["source", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "doc_id", "copy", "size", "r", (F.col("r") - F.floor("r")).alias("p"), F.ceil(F.col("n") / block).cast("long").alias("blocks")]
