@@ -11,8 +11,8 @@ from .common import forget, kept
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Links every node's neighbours to the least of them: the larger neighbours, or the smaller ones and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    j = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("center"), F.least("a", "m").alias("m"))
+    j = both.join(least, F.col("a") == F.col("center"))
     if large:
         return j.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
     out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(j.select("a", F.col("m").alias("b")))
