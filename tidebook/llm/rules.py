@@ -70,7 +70,7 @@ def default_rules() -> dict[str, Column]:
 
 
 def rule_order(docs: DataFrame, rules: dict[str, Column], sample_rows: int = 2_000, seed: int = 7) -> list[dict]:
-    """The rules by falling rejection per cost, as seen on a sample of about sample_rows rows.
+    """The rules by falling rejection per cost, as seen on a sample of about sample_rows rows of docs.
 
     Cost is the time that a pass over the sample takes with the rule, less that of a pass without one. The sample only
     sets the order; every rule still holds for every document, so no verdict depends on it.
@@ -78,7 +78,7 @@ def rule_order(docs: DataFrame, rules: dict[str, Column], sample_rows: int = 2_0
     n = docs.count()
     if not n:
         return [{"rule": name, "rejects": 0.0, "cost_s": 0.0} for name in rules]
-    held = kept(docs.sample(fraction=min(1.0, sample_rows / n), seed=seed), "rules-sample").cache()
+    held = kept(measured(docs.sample(fraction=min(1.0, sample_rows / n), seed=seed)), "rules-sample").cache()
     rows = max(1, held.count())
 
     def timed(rule: Column) -> tuple[float, int]:
@@ -111,8 +111,8 @@ def judge(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows:
     Empty and null texts fail the base. An empty table stays empty.
     """
     rules = default_rules() if rules is None else rules
+    order = [x["rule"] for x in rule_order(docs, rules, sample_rows)]
     d = measured(docs)
-    order = [x["rule"] for x in rule_order(d, rules, sample_rows)]
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     d = d.withColumn("base_failed", base).withColumn("failed_rule", F.when(~F.col("base_failed"), cascade(rules, order)))
     return d.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
