@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from tidebook.llm import dedup, mixing, packing, perplexity, toxicity
 from tidebook.llm.common import kept, table, take_rows
-from tidebook.llm.q_toxicity import HELD_OUT, THRESHOLD
+from tidebook.llm.q_toxicity import THRESHOLD, held_out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold stay; empty and null texts do."""
-    index = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~HELD_OUT)
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out())
     scored = toxicity.score(docs.withColumn("_kept", F.struct(*docs.columns)).select("text", "_kept"), index)
     return scored.filter(F.col("score") < THRESHOLD).select("_kept.*")
 

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .toxicity import fit, score
 
-#: Rows whose labels aren't used, so that they can be held against the scores.
-HELD_OUT = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 THRESHOLD = 0.3
 
 
+def held_out() -> Column:
+    """Rows whose labels aren't used, so that they can be held against the scores."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~HELD_OUT)
-    return score(docs, index).select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+    index = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out())
+    return score(docs, index).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 QUERIES = {"op10_toxicity": op10_toxicity}
