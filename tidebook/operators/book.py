@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from ..functions.money import Costs
@@ -171,3 +172,34 @@ class Book:
             self.decide(session, bars, equity, risk)
         out.append({"kind": "equity", "equity": equity, "cash": self.cash, "exposure": held / equity if equity > 0 else 0.0})
         return out
+
+
+class Replay:
+    """A book fed with rows in the order of sessions; sessions without a row happen too."""
+
+    def __init__(self, risk: dict, costs: Costs, capital: float, first: int, last: int | None = None):
+        self.risk, self.costs, self.last = risk, costs, last
+        self.book, self.at, self.today = Book(capital, capital), first, {}
+
+    def before(self, session: int) -> list[dict]:
+        """Lets all sessions before the given one happen; only the first of them can have rows."""
+        out = []
+        while self.at < session:
+            out += [{"session": self.at} | e for e in self.book.step(self.at, self.today, self.risk, self.costs, self.at == self.last)]
+            self.at, self.today = self.at + 1, {}
+        return out
+
+    def feed(self, row: dict) -> list[dict]:
+        out = self.before(row["session"])
+        self.today[row["id"]] = row
+        return out
+
+    def dump(self) -> str:
+        """The state between sessions, as JSON."""
+        return json.dumps({"at": self.at, "book": asdict(self.book)})
+
+    def load(self, state: str) -> None:
+        held = json.loads(state)
+        b = held["book"]
+        self.at = held["at"]
+        self.book = Book(b["cash"], b["peak"], {int(i): Position(**p) for i, p in b["positions"].items()}, b["orders"])

@@ -10,30 +10,33 @@ HORIZONS = {"ret_1m": 21, "ret_3m": 63, "ret_6m": 126, "ret_12m": 252}
 AVERAGES = (50, 200)
 ATR_ROWS, VOL_ROWS, TURNOVER_ROWS, SESSIONS_A_YEAR = 14, 21, 63, 252
 
-OWN = Window.partitionBy("ticker").orderBy("date")
 
+def own() -> WindowSpec:
+    """An instrument's rows by date."""
+    return Window.partitionBy("ticker").orderBy("date")
 
-def frame(rows: int, w: WindowSpec = OWN) -> WindowSpec:
-    return w.rowsBetween(-(rows - 1), 0)
 
+def frame(rows: int) -> WindowSpec:
+    return own().rowsBetween(-(rows - 1), 0)
 
-def full(value: Column, of: Column, rows: int, w: WindowSpec = OWN) -> Column:
+
+def full(value: Column, of: Column, rows: int) -> Column:
     """value if all rows of the frame have of."""
-    return F.when(F.count(of).over(frame(rows, w)) == rows, value)
+    return F.when(F.count(of).over(frame(rows)) == rows, value)
 
 
-def change(x: Column, rows: int, w: WindowSpec = OWN) -> Column:
+def change(x: Column, rows: int) -> Column:
     """x against its value so many rows before; null without one, and where that is 0."""
-    return F.try_divide(x, F.lag(x, rows).over(w)) - 1
+    return F.try_divide(x, F.lag(x, rows).over(own())) - 1
 
 
-def mean(x: Column, rows: int, w: WindowSpec = OWN) -> Column:
-    return full(F.avg(x).over(frame(rows, w)), x, rows, w)
+def mean(x: Column, rows: int) -> Column:
+    return full(F.avg(x).over(frame(rows)), x, rows)
 
 
-def true_range(w: WindowSpec = OWN) -> Column:
+def true_range() -> Column:
     """The largest of the day's range and the moves from the close before; on the first row the range."""
-    before = F.lag("close").over(w)
+    before = F.lag("close").over(own())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -69,7 +72,7 @@ def turnover(bars: DataFrame) -> DataFrame:
 def relative_strength(bars: DataFrame, index: DataFrame) -> DataFrame:
     """bars (with ret_6m) and rel_strength_6m: ret_6m less that of the index, carried forward over the instrument's dates."""
     d = bars.join(index.select("date", F.col("close").alias("_index")), "date", "left")
-    d = d.withColumn("_index", F.last("_index", ignorenulls=True).over(OWN.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_index", F.last("_index", ignorenulls=True).over(own().rowsBetween(Window.unboundedPreceding, 0)))
     return d.withColumn("rel_strength_6m", F.col("ret_6m") - change(F.col("_index"), HORIZONS["ret_6m"])).drop("_index")
 
 
@@ -81,7 +84,7 @@ def panel(bars: DataFrame, index: DataFrame | None = None) -> DataFrame:
 
 def previous_valid_close(bars: DataFrame) -> DataFrame:
     """bars with prev_close: the last close before the row that is neither null nor 0."""
-    return bars.withColumn("prev_close", F.last(F.nullif("close", F.lit(0.0)), ignorenulls=True).over(OWN.rowsBetween(Window.unboundedPreceding, -1)))
+    return bars.withColumn("prev_close", F.last(F.nullif("close", F.lit(0.0)), ignorenulls=True).over(own().rowsBetween(Window.unboundedPreceding, -1)))
 
 
 def calendar(bars: DataFrame) -> DataFrame:

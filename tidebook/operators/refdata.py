@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import price_factor
-from .features import OWN, previous_valid_close
+from .features import own, previous_valid_close
 from .quality import next_session
 
 
@@ -58,4 +58,4 @@ def valid_actions(actions: DataFrame, instruments: DataFrame) -> tuple[DataFrame
 
 
 def first_bar(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("n", F.row_number().over(OWN)).filter("n = 1").drop("n")
+    return bars.withColumn("n", F.row_number().over(own())).filter("n = 1").drop("n")

@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.money import Costs
 from . import rules, universe
 from .asof import asof
-from .book import Book
+from .book import Replay
 from .quality import next_session
 
 EVENTS = "run_id string, session long, kind string, id int, qty long, price double, fee double, pnl double, equity double, cash double, exposure double, note string"
 _KINDS = [("run_id", pa.string()), ("session", pa.int64()), ("kind", pa.string()), ("id", pa.int32()), ("qty", pa.int64()), ("price", pa.float64()), ("fee", pa.float64()), ("pnl", pa.float64()), ("equity", pa.float64()), ("cash", pa.float64()), ("exposure", pa.float64()), ("note", pa.string())]
 
 
+def as_batch(events: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e.get(n) for e in events], k) for n, k in _KINDS], names=[n for n, _ in _KINDS])
+
+
 def candidates(run_id: str, features: DataFrame, instruments: DataFrame, calendar: DataFrame, actions: DataFrame, strategy: dict[str, Any], floor: float, members: DataFrame | None = None) -> DataFrame:
     """A row for each bar, or ex-date without one, of the instruments that a run could ever hold.
 
@@ -52,32 +56,17 @@ def simulate(rows: DataFrame, first: int, last: int, risk: dict[str, Any], costs
     costs = costs or Costs()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, run, at, today, out = None, None, first, {}, []
-
-        def until(session: int) -> None:
-            """Lets sessions happen before the given one; only the first of them has rows."""
-            nonlocal at, today
-            while at < session:
-                out.extend({"run_id": run, "session": at} | e for e in book.step(at, today, risk, costs, at == last))
-                at, today = at + 1, {}
-
-        def sent() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([e.get(n) for e in out], k) for n, k in _KINDS], names=[n for n, _ in _KINDS])
-            out.clear()
-            return made
-
+        run, replay = None, None
         for batch in batches:
+            out: list[dict] = []
             for row in batch.to_pylist():
                 if row["run_id"] != run:
-                    if run is not None:
-                        until(last + 1)
-                    book, run, at, today = Book(capital, capital), row["run_id"], first, {}
-                until(row["session"])
-                today[row["id"]] = row
-            yield sent()
-        if run is not None:
-            until(last + 1)
-            yield sent()
+                    out += [{"run_id": run} | e for e in replay.before(last + 1)] if replay else []
+                    run, replay = row["run_id"], Replay(risk, costs, capital, first, last)
+                out += [{"run_id": run} | e for e in replay.feed(row)]
+            yield as_batch(out)
+        if replay:
+            yield as_batch([{"run_id": run} | e for e in replay.before(last + 1)])
 
     due = rows.filter(F.col("session").between(first, last))
     return due.repartition("run_id").sortWithinPartitions("run_id", "session", "id").mapInArrow(fold, EVENTS)

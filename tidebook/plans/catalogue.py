@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import books, features, joins, runs
+from . import books, features, joins, runs, streams
 
-MODULES = [features, joins, books, runs]
+MODULES = [features, joins, books, runs, streams]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
