@@ -16,7 +16,7 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "training-order")
     placed = write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), KEY)
     stored = read_shards(spark, folder).select("slot", "ids_crc32")
-    return placed.join(stored, "slot").select("slot", "shard", "offset", "doc_id", "piece", "n_tokens", "ids_crc32")
+    return placed.join(stored.hint("merge"), "slot").select("slot", "shard", "offset", "doc_id", "piece", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op1_training_order": op1_training_order}
