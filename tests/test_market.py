@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions import money, text
-from tidebook.operators import features, metrics, quality, refdata, rules, simulation, universe
+from tidebook.operators import features, guards, metrics, quality, refdata, research, rules, simulation, universe
 from tidebook.operators.asof import align, asof
 from tidebook.operators.book import Book, Position, Replay
 from tidebook.sources import files
@@ -248,3 +248,32 @@ def test_state_survives_json():
     s = Replay(RISK, money.Costs(), 1.0, 0)
     s.load(r.dump())
     assert s.book == r.book
+
+
+def test_guards(spark):
+    prices = spark.createDataFrame([(1, "demo")], "instrument_id int, source string")
+    guards.one_kind_of_source(prices, "demo")
+    with pytest.raises(ValueError):
+        guards.one_kind_of_source(prices, "archive")
+    real, derived = guards.purge(prices, {"x": prices})
+    assert real.count() == 0 and derived["x"].count() == 0
+    state = spark.createDataFrame([(1, datetime(2024, 1, 1), None, "ok")], "id int, last_success timestamp, last_error timestamp, message string")
+    h = guards.health(state, F.lit("2024-01-02").cast("timestamp"), False, "down").first()
+    assert h["last_success"] == datetime(2024, 1, 1) and h["last_error"] == datetime(2024, 1, 2)
+
+
+def test_alerts_come_once(spark):
+    p = spark.createDataFrame([(1, 7, 100.0, date(2024, 1, 2)), (2, 8, 10.0, date(2024, 1, 2))], "position_id int, instrument_id int, stop_price double, session_date date")
+    b = spark.createDataFrame([(7, datetime(2024, 1, 2, 10), 101.0), (7, datetime(2024, 1, 2, 11), 99.0), (8, datetime(2024, 1, 1, 11), 1.0)], "instrument_id int, bar_start timestamp, close double")
+    sent = spark.createDataFrame([], "position_id int, session_date date, state string")
+    got = guards.alerts(p, b, 0.02, sent)
+    assert one(got, "position_id", "state") == [(1, "BREACH")] and guards.alerts(p, b, 0.02, got).count() == 0
+
+
+def test_attempts_and_regression(spark):
+    f = spark.createDataFrame([(1, False, 0), (2, False, 2), (3, False, 1)], "filing_id int, processed boolean, attempts int")
+    a = research.after_attempt(f, f.filter("filing_id = 1"), f.filter("filing_id = 2"))
+    assert sorted(one(a, "filing_id", "processed", "attempts")) == [(1, True, 0), (2, False, 3), (3, False, 1)]
+    runs = spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.7), (3, "b", 0.6)], "id int, config_hash string, f1 double")
+    x = research.regression(runs).first()
+    assert (x["config_hash"], x["previous"]) == ("b", 0.5) and x["delta"] == pytest.approx(0.1)
