@@ -110,17 +110,27 @@ def trial_stats(trials: DataFrame) -> DataFrame:
     return latest.agg(F.count(F.lit(1)).alias("n_trials"), F.when(n >= 2, F.var_pop("v")).otherwise(0.0).alias("variance"))
 
 
-def midrank(values: DataFrame, against: DataFrame) -> DataFrame:
+def midrank(values: DataFrame, against: DataFrame, parts: int = 64) -> DataFrame:
     """values (id, x) with percentile: the share of against (y) below x, equal ones by half; 0.5 against nothing.
 
-    Both are sorted together once by a window over equal and lower values of the union; nothing is compared pair by pair.
+    Distinct values are dealt by cut points of against into parts, in each of which a window adds up; only the cut
+    points and a total for each part pass through the driver. Nothing is compared pair by pair or sorted in one task.
     """
-    u = values.select("id", "x").withColumn("own", F.lit(0)).unionByName(against.select(F.lit(None).cast(values.schema["id"].dataType).alias("id"), F.col("y").alias("x"), F.lit(1).alias("own")))
-    w = Window.orderBy("x")
-    n = against.count()
-    d = u.groupBy("x").agg(F.sum("own").alias("equal"))  # a row for each distinct value
-    d = d.withColumn("below", F.sum("equal").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("equal"))
-    return values.join(d, "x").select("id", "x", (((F.col("below") + 0.5 * F.col("equal")) / n) if n else F.lit(0.5)).alias("percentile"))
+    cuts = sorted(set(against.agg(F.percentile_approx("y", [k / parts for k in range(1, parts)], 1_000)).first()[0] or []))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("x"))) if cuts else F.lit(0)
+    u = values.select("x", F.lit(0).alias("own")).unionByName(against.select(F.col("y").alias("x"), F.lit(1).alias("own")))
+    d = u.groupBy("x").agg(F.sum("own").alias("equal")).withColumn("part", part)
+    totals, below = {r["part"]: r["n"] for r in d.groupBy("part").agg(F.sum("equal").alias("n")).collect()}, 0
+    starts = []
+    for k in sorted(totals):
+        starts.append((k, below))
+        below += totals[k]
+    if not below:
+        return values.select("id", "x", F.lit(0.5).alias("percentile"))
+    at = values.sparkSession.createDataFrame(starts, "part int, start long")
+    w = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.join(F.broadcast(at), "part").withColumn("below", F.col("start") + F.sum("equal").over(w) - F.col("equal"))
+    return values.join(d, "x").select("id", "x", ((F.col("below") + 0.5 * F.col("equal")) / below).alias("percentile"))
 
 
 def per_class(pairs: DataFrame, classes: list[str]) -> DataFrame:
