@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,25 +18,58 @@ from pyspark.sql import types as T
 from .common import append, kept, texts, with_columns
 
 _WORD = re.compile(r"\w+")
-#: Letters of a word's beginning that are a term too.
-STEM = 4
+#: Numbers of letters of a word's beginning that are a term too.
+STEMS = (4, 6)
+
+
+def terms_of(word: str) -> list[str]:
+    """A lower-cased word, and ^ with its beginnings."""
+    return [word, *("^" + word[:n] for n in STEMS if len(word) > n)]
 
 
 def terms(text: str) -> Counter:
-    """How often each term occurs: lower-cased words, and ^ with the first letters of words longer than that."""
-    words = Counter(_WORD.findall(text.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        if len(w) > STEM:
-            out["^" + w[:STEM]] += n
+    """How often each term occurs in a text."""
+    out: Counter = Counter()
+    for w, n in Counter(_WORD.findall(text.lower())).items():
+        for t in terms_of(w):
+            out[t] += n
     return out
 
 
+class Known(dict):
+    """The numbers of a word's terms that a vocabulary has; what was looked up is kept, for the first million words."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
+        if len(self) < 1_000_000:
+            self[word] = found
+        return found
+
+    def counts(self, words: Iterable[str]) -> Counter:
+        """How often each term of the vocabulary occurs among lower-cased words, by number; under the number after the
+        last one, twice the weight of all the words without a term, to the nearest whole number."""
+        hits = list(map(self.__getitem__, words))
+        out = Counter(chain.from_iterable(hits))
+        if others := hits.count(()):
+            out[len(self.vocabulary)] = round(2 * (1 + math.log(others)))
+        return out
+
+    def of(self, text: str) -> Counter:
+        return self.counts(_WORD.findall(text.lower()))
+
+
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of labelled examples as postings by term, cut into blocks of examples.
+    """Unit TF-IDF vectors of labelled examples as postings by term, in blocks of examples.
+
+    All words without a term of the vocabulary count as one more term, the last one: so it tells apart where a few
+    terms stand in a long text and where they are most of a short one.
 
-    ptr[t, b] and ptr[t, b + 1] bound the postings of term t in block b; top[t, b] is the largest weight among them.
+    weight[t, b] holds the weights of term t in the examples of block b, top[t, b] the largest of them.
     """
 
     vocabulary: dict[str, int]
@@ -42,65 +77,53 @@ class Index:
     labels: np.ndarray
     ids: np.ndarray
     block: int
-    who: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    ptr: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))
-    top: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros((0, 1, 1), np.float32))
+    top: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
     prior: float = 0.5
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
     @classmethod
     def build(cls, vocabulary: dict[str, int], idf: np.ndarray, labels: np.ndarray, ids: np.ndarray, vectors: list[dict[int, int]], block: int = 64) -> Index:
-        order = sorted(range(len(labels)), key=lambda i: (max(vectors[i], key=lambda t: (idf[t], t), default=-1), labels[i], i))  # like examples share a block
+        rare = lambda v: max((t for t in v if t < len(vocabulary)), key=lambda t: (idf[t], t), default=-1)
+        order = sorted(range(len(labels)), key=lambda i: (rare(vectors[i]), labels[i], i))  # like examples share a block
         self = cls(vocabulary, idf, labels[order], ids[order], block)
-        t, e, w = [], [], []
+        self.weight = np.zeros((len(vocabulary) + 1, max(1, -(-len(order) // block)), block), np.float32)
         for place, i in enumerate(order):
-            v = self.weigh(vectors[i])
-            t += v.keys()
-            e += [place] * len(v)
-            w += v.values()
-        t, e, w = np.array(t, np.int64), np.array(e, np.int64), np.array(w, float)
-        by = np.lexsort((e, t))
-        t, self.who, self.weight = t[by], e[by], w[by]
-        blocks = max(1, -(-len(order) // block))
-        cell = t * blocks + self.who // block
-        self.ptr = np.searchsorted(cell, np.arange(len(vocabulary) * blocks + 1))
-        self.top = np.zeros(len(vocabulary) * blocks)
-        np.maximum.at(self.top, cell, self.weight)
-        self.top = self.top.reshape(-1, blocks)
+            for t, w in self.weigh(vectors[i]).items():
+                self.weight[t, place // block, place % block] = w
+        self.top = self.weight.max(axis=2)
         return self
 
     def weigh(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1.0 + np.log(n)) * self.idf[t] for t, n in counts.items()}
+        v = {t: (1.0 + math.log(n)) * self.idf[t] if t < len(self.vocabulary) else n / 2 for t, n in counts.items()}
         norm = sum(x * x for x in v.values()) ** 0.5
         return {t: x / norm for t, x in v.items()} if norm else {}
 
-    def vector(self, text: str) -> dict[int, float]:
-        known = self.vocabulary
-        return self.weigh({known[w]: n for w, n in terms(text).items() if w in known})
-
-    def nearest(self, v: dict[int, float], k: int, but: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, v: dict[int, float], k: int, but: int = -1, first: int = 4) -> list[tuple[float, int]]:
         """The k examples of largest cosine above 0, ties by place; but: a place to leave out.
 
-        Blocks go by falling bound (the sum of weight times largest weight); they end when the next bound is below the
-        k-th cosine found, so the answer is exact.
+        The sum of weight times largest weight bounds what a block holds. The blocks of largest bounds are scored, then
+        those whose bound is not below the k-th cosine found; the others can't have a nearer example, so it is exact.
         """
         if not v:
             return []
-        blocks = self.top.shape[1]
-        t, q = np.fromiter(v.keys(), np.int64), np.fromiter(v.values(), float)
+        t, q = np.fromiter(v.keys(), np.int64), np.fromiter(v.values(), np.float32)
         bound = q @ self.top[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > 0)]
+        score, place = np.zeros(0, np.float32), np.zeros(0, np.int64)
+        for blocks in (order[:first], order[first:]):
+            if len(score) >= k:
+                blocks = blocks[bound[blocks] >= np.partition(score, len(score) - k)[len(score) - k] - 1e-6]
+            if not len(blocks):
                 break
-            score, base = np.zeros(self.block), b * self.block
-            for x, y in zip(t, q, strict=True):
-                i, j = self.ptr[x * blocks + b], self.ptr[x * blocks + b + 1]
-                score[self.who[i:j] - base] += y * self.weight[i:j]
-            found = [(float(score[p]), int(base + p)) for p in np.flatnonzero(score > 0) if base + p != but]
-            best = sorted(best + found, key=lambda r: (-r[0], r[1]))[:k]
-        return best
+            own = np.tensordot(q, self.weight[t[:, None], blocks], 1)
+            b, at = np.nonzero(own)
+            found = blocks[b] * self.block + at
+            keep = found != but
+            score, place = np.concatenate([score, own[b, at][keep]]), np.concatenate([place, found[keep]])
+        best = np.lexsort((place, -score))[:k]
+        return [(float(score[i]), int(place[i])) for i in best]
 
     def vote(self, near: list[tuple[float, int]], mass: float = 0.5) -> float:
         """Share of label 1 among neighbours by squared cosine, drawn to the prior by a mass that stands for no evidence."""
@@ -125,13 +148,13 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([h[2] / h[1] for h in held]), np.clip([h[0] for h in held], 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int, int] = (4_000, 2_000), max_terms: int = 50_000, least_docs: int = 4, least_z: float = 4.0, k: int = 16) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int, int] = (4_000, 2_000), max_terms: int = 4_000, least_docs: int = 4, least_z: float = 4.0, least_lift: float = 4.0, k: int = 16) -> Index:
     """The index of a bounded sample of labelled rows, with frequencies over all documents.
 
     labels: doc_id and toxic (0 or 1; of several rows for a document the largest counts). train: on the columns of
     labels, which of them may be used. Sample: of each label the first rows in the order of a hash, per_class of label
     0 and 1. Terms: those in at least least_docs examples whose share among label 1 exceeds that among label 0 by
-    least_z standard errors, the max_terms strongest. Document frequencies of these terms cover all of docs. Votes are
+    least_z standard errors and least_lift times, the max_terms strongest. Document frequencies of these terms cover all of docs. Votes are
     calibrated on the examples themselves, each without itself, weighted to the labels' own proportions.
     """
     spark = docs.sparkSession
@@ -143,49 +166,52 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int,
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [terms(x) for x in texts(batch)]
+            found = [Counter(_WORD.findall(x.lower())) for x in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
-                names=["doc_id", "label", "terms", "counts"],
+                names=["doc_id", "label", "words", "counts"],
             )
 
-    held = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, terms array<string>, counts array<int>")
+    held = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, words array<string>, counts array<int>")
     held = kept(held.dropDuplicates(["doc_id"]), "examples")
     n0, n1 = (held.filter(F.col("label") == y).count() for y in (0, 1))
     if not n1:
-        index = Index.build({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+        index = Index.build({}, np.ones(1), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
         index.prior, index.steps = prior, (np.array([0.0, 1.0]), np.array([prior, prior]))
         return index
-    by_term = held.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(F.col("label").cast("double")).alias("a"), F.sum(1.0 - F.col("label")).alias("b"))
+    stems = [F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(n)))) for n in STEMS]  # noqa: B023
+    by_term = held.select("label", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term")).groupBy("term").agg(F.sum(F.col("label").cast("double")).alias("a"), F.sum(1.0 - F.col("label")).alias("b"))
     share = (F.col("a") + F.col("b")) / (n0 + n1)
     gap = F.col("a") / n1 - F.col("b") / max(1, n0)
     z = gap / F.sqrt(share * (1.0 - share) * (1.0 / n1 + 1.0 / max(1, n0)) + 1e-12)
-    chosen = by_term.filter(F.col("a") + F.col("b") >= least_docs).select("term", z.alias("z")).filter(F.col("z") >= least_z)
+    chosen = by_term.filter((F.col("a") + F.col("b") >= least_docs) & (F.col("a") * max(1, n0) >= F.col("b") * n1 * least_lift)).select("term", z.alias("z")).filter(F.col("z") >= least_z)
     words = sorted(r["term"] for r in chosen.orderBy(F.desc("z"), "term").limit(max_terms).collect())
     vocabulary = {w: i for i, w in enumerate(words)}
     known = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Known(known.value)
         n, df = 0, np.zeros(len(known.value), np.int64)
         for batch in batches:
             for x in texts(batch):
                 n += 1
-                for t in {known.value[w] for w in terms(x) if w in known.value}:
-                    df[t] += 1
+                for t in words.of(x):
+                    if t < len(df):
+                        df[t] += 1
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], seen])), pa.array(np.concatenate([[n], df[seen]]))], names=["term", "n"])
 
     total = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     df = np.array([total.get(t, 0) for t in range(len(words))], float)
-    idf = np.log((1.0 + total.get(-1, 0)) / (1.0 + df)) + 1.0
+    idf = np.append(np.log((1.0 + total.get(-1, 0)) / (1.0 + df)) + 1.0, 1.0)
     own = _examples(held, vocabulary)
     own.sort(key=lambda r: r[0])
     index = Index.build(vocabulary, idf, np.array([r[1] for r in own]), np.array([r[0] for r in own]), [r[2] for r in own])
     index.prior = prior
+    flat = index.weight.reshape(len(words) + 1, index.weight.shape[1] * index.block)[:, : len(own)]
     vectors: list[dict[int, float]] = [{} for _ in own]
-    for t in range(len(words)):
-        for p in range(index.ptr[t * index.top.shape[1]], index.ptr[(t + 1) * index.top.shape[1]]):
-            vectors[index.who[p]][t] = index.weight[p]
+    for t, i in zip(*np.nonzero(flat), strict=True):
+        vectors[i][int(t)] = float(flat[t, i])
     votes = np.array([index.vote(index.nearest(v, k, but=i)) for i, v in enumerate(vectors)])
     weight = np.where(index.labels == 1, prior / n1, (1 - prior) / max(1, n0))
     index.steps = isotonic(votes, index.labels.astype(float), weight)
@@ -193,13 +219,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int,
 
 
 def _examples(held: DataFrame, vocabulary: dict[str, int]) -> list[tuple[int, int, dict[int, int]]]:
-    """doc_id, label and counts by term number of each example; only terms of the vocabulary leave the tasks."""
+    """doc_id, label and counts (see Known) of each example; only terms of the vocabulary leave the tasks."""
     known = held.sparkSession.sparkContext.broadcast(vocabulary)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = known.value
+        v = Known(known.value)
         for batch in batches:
-            pairs = [[(v[w], c) for w, c in zip(ws, cs, strict=True) if w in v] for ws, cs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            pairs = [list(v.counts(w for w, c in zip(ws, cs, strict=True) for _ in range(c)).items()) for ws, cs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([[t for t, _ in p] for p in pairs], pa.list_(pa.int32())), pa.array([[c for _, c in p] for p in pairs], pa.list_(pa.int32()))], names=["doc_id", "label", "t", "c"]
             )
@@ -210,7 +236,7 @@ def _examples(held: DataFrame, vocabulary: dict[str, int]) -> list[tuple[int, in
 def score(docs: DataFrame, index: Index, k: int = 16, evidence: int = 3) -> DataFrame:
     """docs with score (calibrated chance of label 1) and evidence (the nearest examples: doc_id, similarity, label).
 
-    A text without a term of the index has no neighbour and gets the calibrated prior, as empty and null texts do.
+    Empty and null texts have no neighbour and get the calibrated prior.
     Equal texts get equal scores. Columns of these names are replaced; no row is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -221,8 +247,20 @@ def score(docs: DataFrame, index: Index, k: int = 16, evidence: int = 3) -> Data
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared.value
+        words, seen = Known(x.vocabulary), {}
+
+        def look(text: str) -> list[tuple[float, int]]:
+            """Texts with the same few terms have the same neighbours."""
+            c = words.of(text)
+            if len(c) > 5:
+                return x.nearest(x.weigh(c), k)
+            key = tuple(sorted(c.items()))
+            if key not in seen and len(seen) < 100_000:
+                seen[key] = x.nearest(x.weigh(dict(key)), k)
+            return seen[key] if key in seen else x.nearest(x.weigh(dict(key)), k)
+
         for batch in batches:
-            near = [x.nearest(x.vector(t), k) for t in texts(batch)]
+            near = [look(t) for t in texts(batch)]
             why = [[{"doc_id": int(x.ids[i]), "similarity": s, "label": int(x.labels[i])} for s, i in n[:evidence]] for n in near]
             yield append(batch, score=pa.array([x.calibrated(x.vote(n)) for n in near], pa.float64()), evidence=pa.array(why, arrow))
 
