@@ -369,6 +369,21 @@ def test_classes_are_those_of_brute_force(spark):
     assert sum(got[i] != want[i] for i in ids) <= 1  # bands miss one pair at 0.8 in 1,600
 
 
+def test_copies_that_repeat_lines_differently_are_linked(spark):
+    """Of each two texts the sets of shingles are equal, but B has a fifth of A's lines a hundred times as often."""
+    rows = []
+    for k in range(40):
+        r = random.Random(7_000 + k)
+        lines = [prose(5, r) for _ in range(20)]
+        for odd in (0, 1):
+            rows.append((2 * k + odd, "\n".join("\n".join([x] * (200 if odd and i % 5 == 0 else 2)) for i, x in enumerate(lines))))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(80)}
+    (a,), _, _ = shingles.shingles([rows[0][1].encode()])
+    (b,), _, _ = shingles.shingles([rows[1][1].encode()])
+    assert len(a) != len(b) and set(a.tolist()) == set(b.tolist())
+
+
 def test_prob_minhash_estimates_the_weighted_similarity():
     r = np.random.default_rng(4)
     d = r.integers(0, 2**63, 60).astype(np.uint64)

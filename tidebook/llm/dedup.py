@@ -60,7 +60,8 @@ def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, text_key, key (of the text's sequence of words), bands, bits, n (distinct shingles) and set (of them, as
     sorted 32-bit hashes) of every row.
 
-    A shingle weighs 1 + ln(its count in the text).
+    Every shingle weighs 1, however often it stands in the text, so that bands and bits estimate the similarity that
+    compared() verifies.
     """
     lead = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
 
@@ -70,12 +71,12 @@ def sketch(docs: DataFrame, words: int = 5) -> DataFrame:
             done = 0
             for part in chunks(held):
                 lists, ka, kb = shingles(part, words)
-                found = [np.unique(s, return_counts=True) for s in lists]
-                sig = prob_minhash([s for s, _ in found], [1.0 + np.log(n) for _, n in found])
+                found = [np.unique(s) for s in lists]
+                sig = prob_minhash(found, [np.ones(len(s)) for s in found])
                 band = mix((mix(sig.reshape(len(part), -1, ROWS) + lead)).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 bits = packed_bits(sig)
-                has = [len(s) > 0 for s, _ in found]
-                sets = [np.unique((s >> np.uint64(32)).astype("<u4")) for s, _ in found]
+                has = [len(s) > 0 for s in found]
+                sets = [np.unique((s >> np.uint64(32)).astype("<u4")) for s in found]
                 lists_of = lambda a: pa.array([a[i].tolist() if has[i] else [] for i in range(len(a))], pa.list_(pa.int64()))  # noqa: B023, E731
                 key = pa.StructArray.from_arrays([pa.array(ka.view(np.int64)), pa.array(kb.view(np.int64))], ["a", "b"])
                 columns = [*(c.slice(done, len(part)) for c in own), key, lists_of(band), lists_of(bits), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())]
