@@ -286,6 +286,35 @@ def test_media_columns(spark, awkward):
     assert all(r["feature"] is None for r in empty)
 
 
+def test_every_range_of_every_track_is_stored(spark):
+    """Two tracks with sample tables, of which the first goes on in two fragments with all kinds of defaults."""
+    import struct
+
+    def trak(number, codec, size, n, at, keys):
+        stss = [media.full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys))] if keys else []
+        body = [media.full(b"stsd", struct.pack(">I", 1), media.box(codec, bytes(8))), media.full(b"stts", struct.pack(">III", 1, n, 2)), *stss, media.full(b"stsc", struct.pack(">4I", 1, 1, n, 1)), media.full(b"stsz", struct.pack(">II", size, n)), media.full(b"stco", struct.pack(">II", 1, at))]
+        mdia = media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIII", 0, 0, 10, 2 * n)), media.full(b"hdlr", struct.pack(">I4s", 0, b"vide" if keys else b"soun"), bytes(13)), media.box(b"minf", media.box(b"stbl", *body)))
+        return media.box(b"trak", media.full(b"tkhd", struct.pack(">IIII", 0, 0, number, 0)), mdia)
+
+    trex = media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 7, 1, 3, 50, 0x10000)))
+    head = media.box(b"moov", trak(7, b"avc1", 9, 5, 5000, [1, 3, 5]), trak(8, b"mp4a", 4, 3, 6000, []), trex)
+    plain = media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 7), flags=0x20000), media.full(b"trun", struct.pack(">IiI", 3, 100, 0), flags=5), media.full(b"trun", struct.pack(">I", 1))))
+    own = media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">IQI", 7, 9000, 4), flags=9), media.full(b"trun", struct.pack(">IiIIII", 2, 8, 20, 0x10000, 30, 0), flags=0x601)))
+    data, moof = head + plain + own, len(head)
+    (r,) = media.read_media(spark.createDataFrame([(1, bytearray(data))], "id int, media binary"), payload=False).collect()
+    got = [(t["codec"], t["handler"], t["timescale"], t["duration"], t["samples"], [tuple(k) for k in t["keyframes"]]) for t in r["tracks"]]
+    assert got == [
+        ("avc1", "vide", 10, 10 + 4 * 3 + 2 * 4, 11, [(5000, 9), (5018, 9), (5036, 9), (moof + 100, 50), (9028, 30)]),
+        ("mp4a", "soun", 10, 6, 3, [(6000, 4), (6004, 4), (6008, 4)]),
+    ]
+    assert list(media.tracks(data)[0]["offsets"][5:9]) == [moof + 100, moof + 150, moof + 200, moof + 250]
+    text = prose(2_000)
+    (r,) = media.read_media(media.write_media(spark.createDataFrame([(1, text)], "doc_id int, text string"))).collect()
+    (t,) = media.tracks(media.encode(media.padded(text)))
+    assert [tuple(k) for k in r["tracks"][0]["keyframes"]] == [(t["offsets"][k], 64) for k in t["keys"]] and len(t["keys"]) > 3
+    assert r["feature"] == media.feature_of(media.columns_of(t))
+
+
 # --- packing -------------------------------------------------------------------------------------------------
 
 

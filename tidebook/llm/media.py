@@ -81,17 +81,67 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes
         start += size
 
 
+def run_of(data: bytes, at: int, given: dict) -> tuple[int | None, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a trun box: its data offset if it has one, and durations, sizes and flags of its samples; given: what holds where it is silent."""
+    flags, n = struct.unpack_from(">II", data, at)
+    flags &= 0xFFFFFF
+    at += 8
+    offset = first = None
+    if flags & 1:
+        offset, at = struct.unpack_from(">i", data, at)[0], at + 4
+    if flags & 4:
+        first, at = struct.unpack_from(">I", data, at)[0], at + 4
+    has = [k for k, bit in (("duration", 0x100), ("size", 0x200), ("flags", 0x400), ("shift", 0x800)) if flags & bit]
+    rows = np.frombuffer(data, ">u4", n * len(has), at).reshape(n, len(has)).astype(np.int64)
+    duration, size, own = (rows[:, has.index(k)] if k in has else np.full(n, given[k], np.int64) for k in ("duration", "size", "flags"))
+    if first is not None and n and "flags" not in has:
+        own[0] = first
+    return offset, duration, size, own
+
+
+def fragments(data: bytes) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Offsets, sizes and keys (is it a keyframe) of the samples in movie fragments, and their whole duration, by track number."""
+    preset: dict[int, dict] = {}
+    runs: dict[int, list[tuple]] = {}
+    given, number, moof, base, end = {}, 0, 0, 0, 0
+    for path, a, b in boxes(data):
+        kind = path[-1]
+        if kind == b"trex":
+            number, _, *rest = struct.unpack_from(">5I", data, a + 4)
+            preset[number] = dict(zip(("duration", "size", "flags"), rest, strict=True))
+        elif kind == b"moof":
+            long = a >= 16 and data[a - 16 : a - 8] == struct.pack(">I4s", 1, b"moof")
+            moof = end = a - (16 if long else 8)
+        elif kind == b"tfhd":
+            flags, number = struct.unpack_from(">II", data, a)
+            given, at = dict(preset.get(number, {"duration": 0, "size": 0, "flags": 0})), a + 8
+            base = moof if flags & 0x20000 else end
+            for bit, key, form in ((1, "base", ">Q"), (2, "entry", ">I"), (8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I")):
+                if flags & bit:
+                    given[key], at = struct.unpack_from(form, data, at)[0], at + struct.calcsize(form)
+            base = end = given.get("base", base)
+        elif kind == b"trun":
+            offset, duration, size, own = run_of(data, a, given)
+            start = end if offset is None else base + offset
+            end = start + int(size.sum())
+            runs.setdefault(number, []).append((start + np.cumsum(size) - size, size, own & 0x10000 == 0, int(duration.sum())))
+    return {k: (*(np.concatenate(x) for x in list(zip(*v, strict=True))[:3]), sum(x[3] for x in v)) for k, v in runs.items()}
+
+
 def tracks(data: bytes) -> list[dict]:
-    """codec, timescale, duration, sizes, offsets and keys (sample numbers from 0) of each track, from its sample tables."""
+    """codec, timescale, duration, sizes, offsets and keys (sample numbers from 0) of each track, from its sample tables
+    and then from the movie fragments."""
     found: list[dict] = []
     for path, a, b in boxes(data):
         kind = path[-1]
         if kind == b"trak":
-            found.append({"codec": "", "timescale": 0, "duration": 0, "stts": [], "stsc": [], "chunks": np.empty(0, np.int64), "sizes": np.empty(0, np.int64), "keys": None})
+            found.append({"id": None, "handler": "", "codec": "", "timescale": 0, "duration": 0, "stts": [], "stsc": [], "chunks": np.empty(0, np.int64), "sizes": np.empty(0, np.int64), "keys": None})
         if b"trak" not in path or not found:
             continue
         t = found[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            t["id"] = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
+        elif kind == b"mdhd":
             t["timescale"], t["duration"] = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
         elif kind == b"hdlr":
             t["handler"] = data[a + 8 : a + 12].decode("latin-1")
@@ -118,6 +168,13 @@ def tracks(data: bytes) -> list[dict]:
         first = np.concatenate([[0], np.cumsum(each)])[:-1]
         t["offsets"] = t["chunks"][chunk] + before[: len(chunk)] - before[np.minimum(first, max(len(before) - 1, 0))][chunk] if len(chunk) else np.empty(0, np.int64)
         t["keys"] = np.arange(len(t["sizes"])) if t["keys"] is None else t["keys"]
+    more = fragments(data)
+    for t in found:
+        if t["id"] in more:
+            offsets, sizes, keys, duration = more[t["id"]]
+            t["duration"] = max(t["duration"], sum(int(n * d) for n, d in t["stts"]) + duration)
+            t["keys"] = np.concatenate([t["keys"], len(t["sizes"]) + np.flatnonzero(keys)])
+            t["offsets"], t["sizes"] = np.concatenate([t["offsets"], offsets]), np.concatenate([t["sizes"], sizes])
     return found
 
 
@@ -131,14 +188,20 @@ def payload_of(data: bytes, t: dict) -> bytes:
     return b"".join(data[off[i] : off[j] + size[j]] for i, j in zip(a, b, strict=True))
 
 
-def feature_of(t: dict) -> str:
-    """codec, duration, counts and the byte ranges of the first and last keyframe, with a checksum of all the ranges."""
+def columns_of(t: dict) -> dict:
+    """What read_media() stores of a track: a row of its column tracks."""
     keys = t["keys"]
-    ranges = np.stack([t["offsets"][keys], t["sizes"][keys]], 1).astype("<i8")
-    seconds = t["duration"] / t["timescale"] if t["timescale"] else 0.0
-    at = lambda r: f"{r[0]}+{r[1]}" if r is not None else "-"
-    ends = (ranges[0], ranges[-1]) if len(ranges) else (None, None)
-    return f"codec={t['codec'].strip()};seconds={seconds:.2f};samples={len(t['sizes'])};keyframes={len(keys)};first={at(ends[0])};last={at(ends[1])};ranges={zlib.crc32(ranges.tobytes()):08x}"
+    ranges = zip(t["offsets"][keys].tolist(), t["sizes"][keys].tolist(), strict=True)
+    return {"codec": t["codec"], "handler": t["handler"], "timescale": t["timescale"], "duration": t["duration"], "samples": len(t["sizes"]), "bytes": int(t["sizes"].sum()), "keyframes": [{"offset": o, "size": n} for o, n in ranges]}
+
+
+def feature_of(c: dict) -> str:
+    """Of a row of tracks: codec, duration, counts and the byte ranges of the first and last keyframe, with a checksum of all the ranges."""
+    keys = c["keyframes"]
+    ranges = np.array([(k["offset"], k["size"]) for k in keys], "<i8")
+    seconds = c["duration"] / c["timescale"] if c["timescale"] else 0.0
+    first, last = (f"{keys[i]['offset']}+{keys[i]['size']}" if keys else "-" for i in (0, -1))
+    return f"codec={c['codec'].strip()};seconds={seconds:.2f};samples={c['samples']};keyframes={len(keys)};first={first};last={last};ranges={zlib.crc32(ranges.tobytes()):08x}"
 
 
 def padded(text: str) -> bytes:
@@ -161,14 +224,16 @@ def write_media(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(write, schema)
 
 
-READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tracks array<struct<codec:string,handler:string,timescale:long,duration:long,samples:long,bytes:long,keyframes:array<struct<offset:long,size:long>>>>"
 
 
 def read_media(df: DataFrame, column: str = "media", payload: bool = True) -> DataFrame:
-    """df without the media column, with what its first track says.
+    """df without the media column, with what its tracks say.
 
-    codec, duration and keyframe byte ranges come from the boxes alone; with payload, the samples are read back and
-    digested too. Null media, and media without a track, give nulls.
+    tracks has codec, handler, timescale, duration (in its units), numbers of samples and bytes and the byte range of
+    every keyframe of every track, in sample order, movie fragments included; they come from the boxes alone. feature
+    sums up the first track; with payload, that one's samples are read back and digested too. Null media, and media
+    without a track, give nulls.
     """
     fields = T._parse_datatype_string(READ).fields
     names = [f.name for f in fields]
@@ -181,10 +246,13 @@ def read_media(df: DataFrame, column: str = "media", payload: bool = True) -> Da
             return (None,) * len(names)
         body = payload_of(data, found[0]) if payload else None
         digest = (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-FRAME:])) if payload else (int(found[0]["sizes"].sum()), None, None)
-        return (*digest, len(data), hashlib.sha256(data).hexdigest(), feature_of(found[0]))
+        rows = [columns_of(t) for t in found]
+        return (*digest, len(data), hashlib.sha256(data).hexdigest(), feature_of(rows[0]), rows)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        row = [("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("bytes", pa.int64())]
+        row.append(("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct(row))]
         for batch in batches:
             at = batch.schema.get_field_index(column)
             found = [look(x.as_py()) for x in batch.column(at)]
