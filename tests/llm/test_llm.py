@@ -117,6 +117,24 @@ def test_mined_rules_are_those_of_brute_force(spark):
     assert sorted((x["page_id"], x["verdict"]) for x in urls.judge(pages, [], mined).collect()) == [(1, "block"), (1, "block"), (2, "allow")]
 
 
+def test_longer_rules_are_those_of_brute_force(spark):
+    """Pages are bad where four tokens meet, so that no three of them make a rule."""
+    r = random.Random(11)
+    rows = []
+    for _ in range(600):
+        own = sorted(r.sample("abcdefgh", r.randint(3, 6)))
+        rows.append((own, r.random() < (0.9 if {"a", "b", "c", "d"} <= set(own) else 0.03)))
+    got = {tuple(x["tokens"]) for x in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 10, 0.01).collect()}
+    base = sum(b for _, b in rows) / len(rows)
+    found = {}
+    for k in range(1, 9):
+        for c in combinations("abcdefgh", k):
+            hit = [b for t, b in rows if set(c) <= set(t)]
+            if sum(hit) >= 10 and sum(hit) >= 0.6 * len(hit) and sum(hit) / len(hit) >= 2.0 * base:
+                found[c] = sum(hit) / len(hit)
+    assert got == {c for c, v in found.items() if not any(set(o) < set(c) and found[o] >= v for o in found)} and ("a", "b", "c", "d") in got
+
+
 # --- mixing ------------------------------------------------------------------------------------------
 
 

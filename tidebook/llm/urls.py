@@ -50,12 +50,12 @@ def stated(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<action:string,rule:string>")
 
 
-def mine(labelled: DataFrame, least_rows: int = 20, support: float = 0.001, confidence: float = 0.6, lift: float = 2.0, longest: int = 3) -> DataFrame:
+def mine(labelled: DataFrame, least_rows: int = 20, support: float = 0.001, confidence: float = 0.6, lift: float = 2.0, longest: int | None = None) -> DataFrame:
     """Combinations of tokens that foretell a bad label: tokens, confidence, lift, rows; none from an empty table.
 
     labelled: tokens, bad. FP-growth counts all sets of tokens with the label that occur in least_rows rows and in a
-    share of support of all rows at least. Of these the ones of at most longest tokens, of enough confidence and lift
-    stay, and among them those of which no part is a rule of as much confidence.
+    share of support of all rows at least. Of these the ones of enough confidence and lift stay, however many tokens
+    they have (unless longest says otherwise), and among them those of which no part is a rule of as much confidence.
     """
     n = labelled.count()
     spark = labelled.sparkSession
@@ -65,7 +65,9 @@ def mine(labelled: DataFrame, least_rows: int = 20, support: float = 0.001, conf
         return empty
     rows = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=confidence).fit(rows)
-    found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= longest) & (F.col("lift") >= lift))
+    found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift))
+    if longest is not None:
+        found = found.filter(F.size("antecedent") <= longest)
     rules = kept(found.select(F.sort_array("antecedent").alias("tokens"), "confidence", "lift", F.round(F.col("support") * n).cast("long").alias("rows")), "url-rules")
     part = rules.select(F.explode("tokens").alias("t"), F.col("tokens").alias("inner"), F.col("confidence").alias("c"))
     wider = rules.select(F.explode("tokens").alias("t"), "tokens", "confidence")
