@@ -1,20 +1,32 @@
-"""Folders for streams and their checkpoints."""
+"""Folders for intermediate tables, streams and their checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder that the cluster names; where none is named, as in tests, under a local one."""
+    """A new path under the shared folder that the cluster names; it isn't created.
+
+    Where none is named, as in tests, a local folder stands in, but only for a session whose tasks run in this process.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         top = _own[0]
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: worked out once, and safe from lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
