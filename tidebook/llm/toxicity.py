@@ -7,7 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -18,117 +18,182 @@ from pyspark.sql import types as T
 from .common import append, kept, texts, with_columns
 
 _WORD = re.compile(r"\w+")
-#: Numbers of letters of a word's beginning that are a term too.
-STEMS = (4, 6)
-
-
-def terms_of(word: str) -> list[str]:
-    """A lower-cased word, and ^ with its beginnings."""
-    return [word, *("^" + word[:n] for n in STEMS if len(word) > n)]
+#: Texts whose neighbours are looked up together.
+BATCH = 128
 
 
 def terms(text: str) -> Counter:
-    """How often each term occurs in a text."""
-    out: Counter = Counter()
-    for w, n in Counter(_WORD.findall(text.lower())).items():
-        for t in terms_of(w):
-            out[t] += n
-    return out
-
-
-class Known(dict):
-    """The numbers of a word's terms that a vocabulary has; what was looked up is kept, for the first million words."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-        if len(self) < 1_000_000:
-            self[word] = found
-        return found
-
-    def counts(self, words: Iterable[str]) -> Counter:
-        """How often each term of the vocabulary occurs among lower-cased words, by number; under the number after the
-        last one, twice the weight of all the words without a term, to the nearest whole number."""
-        hits = list(map(self.__getitem__, words))
-        out = Counter(chain.from_iterable(hits))
-        if others := hits.count(()):
-            out[len(self.vocabulary)] = round(2 * (1 + math.log(others)))
-        return out
+    """How often each term, a lower-cased word, occurs in a text."""
+    return Counter(_WORD.findall(text.lower()))
 
-    def of(self, text: str) -> Counter:
-        return self.counts(_WORD.findall(text.lower()))
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... size[0] numbers, then those from start[1], and so on."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of labelled examples as postings by term, in blocks of examples.
-
-    All words without a term of the vocabulary count as one more term, the last one: so it tells apart where a few
-    terms stand in a long text and where they are most of a short one.
+    """Unit TF-IDF vectors of labelled examples as postings by term.
 
-    weight[t, b] holds the weights of term t in the examples of block b, top[t, b] the largest of them.
+    A term's vector length is (1 + ln n) * ln((documents + 1) / (documents with it + 1)). All terms of all examples are
+    indexed; other words of a text are outside the space of the vectors. Examples lie in blocks of one label. The
+    postings of term t, places of examples and weights, begin at term_at[t]. Long lists, of terms in a share of long_share
+    of the examples or more, are in full[row[t]] instead, a weight for each place, with the largest weight of each block
+    in top; so they take at most 1 / long_share times the mean number of an example's terms rows.
     """
 
     vocabulary: dict[str, int]
     idf: np.ndarray
+    telling: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     block: int
-    weight: np.ndarray = field(default_factory=lambda: np.zeros((0, 1, 1), np.float32))
-    top: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
+    term_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    full: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, 1), np.float32))
+    top: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    telling_norm: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    block_label: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     prior: float = 0.5
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
     @classmethod
-    def build(cls, vocabulary: dict[str, int], idf: np.ndarray, labels: np.ndarray, ids: np.ndarray, vectors: list[dict[int, int]], block: int = 64) -> Index:
-        rare = lambda v: max((t for t in v if t < len(vocabulary)), key=lambda t: (idf[t], t), default=-1)
-        order = sorted(range(len(labels)), key=lambda i: (rare(vectors[i]), labels[i], i))  # like examples share a block
-        self = cls(vocabulary, idf, labels[order], ids[order], block)
-        self.weight = np.zeros((len(vocabulary) + 1, max(1, -(-len(order) // block)), block), np.float32)
-        for place, i in enumerate(order):
-            for t, w in self.weigh(vectors[i]).items():
-                self.weight[t, place // block, place % block] = w
-        self.top = self.weight.max(axis=2)
+    def build(cls, vocabulary: dict[str, int], idf: np.ndarray, telling: np.ndarray, labels: np.ndarray, ids: np.ndarray, example: np.ndarray, term: np.ndarray, n: np.ndarray, block: int = 64, long_share: float = 0.1) -> Index:
+        """From the examples' labels and ids, and how often (n) each term occurs in each example: rows sorted by example."""
+        size = len(labels)
+        x = (1.0 + np.log(n)) * idf[term]
+        norm = np.sqrt(np.bincount(example, x * x, size))
+        x = np.where(norm[example] > 0, x / np.maximum(norm[example], 1e-300), 0.0)
+        n_terms, commonest = np.bincount(example, minlength=size), np.full(size, -1)
+        by_n = np.lexsort((term, n))  # the commonest term tells languages apart
+        commonest[example[by_n]] = term[by_n]
+        order = np.lexsort((np.arange(size), n_terms, commonest, labels))  # like examples share a block
+        gap = np.where(labels[order] == 1, -int((labels == 0).sum()) % block, 0)  # a block has one label
+        at = np.empty(size, np.int64)
+        at[order] = np.arange(size) + gap
+        total = -(-(int(at.max()) + 1) // block) * block if size else 0
+        self = cls(vocabulary, idf, telling, np.zeros(total, np.int64), np.full(total, -1, np.int64), block)
+        self.labels[at], self.ids[at] = labels, ids
+        self.block_label = self.labels[::block]
+        p = at[example]
+        self.telling_norm = np.sqrt(np.bincount(p, telling[term] * x**2, total))
+        o = np.lexsort((p, term))
+        term, p, x = term[o], p[o], x[o].astype(np.float32)
+        lists = np.bincount(term, minlength=len(vocabulary))
+        long = np.flatnonzero(lists >= max(1.0, long_share * size))
+        self.row = np.full(len(vocabulary), -1, np.int32)
+        self.row[long] = np.arange(len(long))
+        self.full = np.zeros((len(long), total // block, block), np.float32)
+        in_full = self.row[term] >= 0
+        self.full.reshape(len(long), total)[self.row[term[in_full]], p[in_full]] = x[in_full]
+        self.top = self.full.max(axis=2, initial=0.0)
+        self.place, self.weight = p[~in_full].astype(np.int32), x[~in_full]
+        self.term_at = np.searchsorted(term[~in_full], np.arange(len(vocabulary) + 1))
         return self
 
-    def weigh(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1.0 + math.log(n)) * self.idf[t] if t < len(self.vocabulary) else n / 2 for t, n in counts.items()}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        return {t: x / norm for t, x in v.items()} if norm else {}
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of a text's unit vector; a term that all documents have weighs nothing."""
+        get = self.vocabulary.get
+        t, n = np.array([get(w, -1) for w in counts], np.int64), np.array(list(counts.values()), float)
+        known = t >= 0
+        t, n = t[known], n[known]
+        x = (1.0 + np.log(n)) * self.idf[t]
+        norm = math.sqrt(float(x @ x))
+        return (t, x / norm) if norm else (t[:0], x[:0])
+
+    def short_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each vector and place the sum of products over the terms with short lists."""
+        t, q = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
+        own = np.repeat(np.arange(len(vectors)) * len(self.labels), [len(v[0]) for v in vectors])
+        size = self.term_at[t + 1] - self.term_at[t]
+        at = _ranges(self.term_at[t], size)
+        total = np.bincount(np.repeat(own, size) + self.place[at], np.repeat(q, size) * self.weight[at], len(vectors) * len(self.labels))
+        return total.astype(np.float32).reshape(len(vectors), len(self.labels))
+
+    def long_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each vector its weights of the terms with long lists."""
+        out = np.zeros((len(vectors), len(self.full)), np.float32)
+        for i, (t, q) in enumerate(vectors):
+            long = self.row[t] >= 0
+            out[i, self.row[t[long]]] = q[long]
+        return out
 
-    def nearest(self, v: dict[int, float], k: int, but: int = -1, first: int = 4) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, ties by place; but: a place to leave out.
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None, first: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (places, cosines) of the k examples of each label of largest cosine above 0, ties by place;
+        but: for each vector the id of an example to leave out.
 
-        The sum of weight times largest weight bounds what a block holds. The blocks of largest bounds are scored, then
-        those whose bound is not below the k-th cosine found; the others can't have a nearer example, so it is exact.
+        Short lists are added up whole. The largest sum of a block, and for each long list the vector's weight times the
+        block's largest, bound what the block holds. For each label the blocks of largest bounds are completed, then those
+        whose bound is not below the k-th cosine found; the others can't have a nearer example, so it is exact.
+        """
+        n, n_blocks, size = len(vectors), len(self.block_label), self.block
+        if not n_blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        q = self.long_part(vectors)
+        score = self.short_part(vectors).reshape(n, n_blocks, size)
+        bound = score.max(axis=2) + q @ self.top
+        hidden = np.zeros((n, n_blocks, size), bool)
+        if but is not None:
+            hidden = (self.ids == np.array(but)[:, None]).reshape(n, n_blocks, size) & (self.ids >= 0).reshape(n_blocks, size)
+        done = np.zeros((n, n_blocks), bool)
+
+        def complete(todo: np.ndarray) -> None:
+            for b in np.flatnonzero(todo.any(axis=0)):
+                rows = np.flatnonzero(todo[:, b])
+                score[rows, b] += q[rows] @ self.full[:, b]
+            done.__ior__(todo)
+
+        def best(y: int) -> np.ndarray:
+            """Scores of the completed blocks of label y; others are 0."""
+            of = np.flatnonzero(self.block_label == y)
+            return np.where(done[:, of, None] & ~hidden[:, of], score[:, of], 0.0).reshape(n, -1)
+
+        todo = np.zeros((n, n_blocks), bool)
+        for y in (0, 1):
+            of = np.flatnonzero(self.block_label == y)
+            top = of[np.argsort(-bound[:, of], axis=1, kind="stable")[:, :first]]
+            np.put_along_axis(todo, top, True, axis=1)
+        complete(todo & (bound > 0))
+        todo = (bound > 0) & ~done
+        for y in (0, 1):
+            of, s = np.flatnonzero(self.block_label == y), best(y)
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.zeros(n)
+            todo[:, of] &= bound[:, of] >= least[:, None] - 1e-5
+        complete(todo)
+        out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
+        for y in (0, 1):
+            at, s = np.flatnonzero(np.repeat(self.block_label == y, size)), best(y)
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.zeros(n)
+            for i in range(n):
+                found = np.flatnonzero((s[i] >= least[i]) & (s[i] > 0))
+                found = found[np.argsort(-s[i][found], kind="stable")][:k]
+                out[i].append((at[found], s[i][found]))
+        return [(np.concatenate([x[0] for x in o]), np.concatenate([x[1] for x in o]).astype(float)) for o in out]
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None, mass: float = 1.0) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each vector (share of label 1 among the neighbours, their places, their cosines).
+
+        A neighbour's vote weighs as much as its cosine over the telling part of both vectors times how far the words
+        that they share tell, or the fourth power of its whole cosine, if that is more. The share is drawn to the prior
+        by a mass that stands for no evidence.
         """
-        if not v:
+        if not vectors:
             return []
-        t, q = np.fromiter(v.keys(), np.int64), np.fromiter(v.values(), np.float32)
-        bound = q @ self.top[t]
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound > 0)]
-        score, place = np.zeros(0, np.float32), np.zeros(0, np.int64)
-        for blocks in (order[:first], order[first:]):
-            if len(score) >= k:
-                blocks = blocks[bound[blocks] >= np.partition(score, len(score) - k)[len(score) - k] - 1e-6]
-            if not len(blocks):
-                break
-            own = np.tensordot(q, self.weight[t[:, None], blocks], 1)
-            b, at = np.nonzero(own)
-            found = blocks[b] * self.block + at
-            keep = found != but
-            score, place = np.concatenate([score, own[b, at][keep]]), np.concatenate([place, found[keep]])
-        best = np.lexsort((place, -score))[:k]
-        return [(float(score[i]), int(place[i])) for i in best]
-
-    def vote(self, near: list[tuple[float, int]], mass: float = 0.5) -> float:
-        """Share of label 1 among neighbours by squared cosine, drawn to the prior by a mass that stands for no evidence."""
-        w = sum(s * s for s, _ in near)
-        return (sum(s * s for s, i in near if self.labels[i]) + mass * self.prior) / (w + mass)
+        some = [(t[self.telling[t] > 0], q[self.telling[t] > 0]) for t, q in vectors]
+        tell = [(t, self.telling[t] ** 2 * q) for t, q in some]
+        short, long, flat = self.short_part(tell), self.long_part(tell), self.full.reshape(len(self.full), len(self.labels))
+        out = []
+        for i, (near, cosine) in enumerate(self.nearest(vectors, k, but)):
+            told = short[i, near] + (long[i, used] @ flat[used[:, None], near] if len(used := np.flatnonzero(long[i])) else 0.0)
+            t, q = some[i]
+            norm = self.telling_norm[near] * math.sqrt(float(self.telling[t] @ (q * q)))
+            w = np.maximum(np.where(norm > 0, told / np.where(norm > 0, norm, 1.0), 0.0), cosine**4)
+            out.append((float((w @ self.labels[near] + mass * self.prior) / (w.sum() + mass)), near, cosine))
+        return out
 
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, *self.steps))
@@ -148,14 +213,29 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([h[2] / h[1] for h in held]), np.clip([h[0] for h in held], 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int, int] = (4_000, 2_000), max_terms: int = 4_000, least_docs: int = 4, least_z: float = 4.0, least_lift: float = 4.0, k: int = 16) -> Index:
+def telling_part(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How far each term tells label 1, 0 to 1, from numbers of examples with it.
+
+    The square of certainty times contrast: the squared standard errors by which its share is larger among label 1, over
+    that of the largest of as many terms without meaning, 1 at most; and the difference of both shares over their sum.
+    Under 0.01 it is none.
+    """
+    a, b = with_1 / max(1, n1), with_0 / max(1, n0)
+    share = (with_1 + with_0) / max(1, n0 + n1)
+    z = np.maximum(a - b, 0.0) / np.sqrt(share * (1.0 - share) * (1.0 / max(1, n1) + 1.0 / max(1, n0)) + 1e-12)
+    certain = np.minimum(z * z / max(1.0, 2.0 * math.log(max(2, len(z)))), 1.0)
+    part = (certain * np.maximum(a - b, 0.0) / np.maximum(a + b, 1e-300)) ** 2
+    return np.where(part >= 0.01, part, 0.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int, int] = (4_000, 2_000), k: int = 16) -> Index:
     """The index of a bounded sample of labelled rows, with frequencies over all documents.
 
     labels: doc_id and toxic (0 or 1; of several rows for a document the largest counts). train: on the columns of
     labels, which of them may be used. Sample: of each label the first rows in the order of a hash, per_class of label
-    0 and 1. Terms: those in at least least_docs examples whose share among label 1 exceeds that among label 0 by
-    least_z standard errors and least_lift times, the max_terms strongest. Document frequencies of these terms cover all of docs. Votes are
-    calibrated on the examples themselves, each without itself, weighted to the labels' own proportions.
+    0 and 1; every word of their whole texts is a term, so the sample bounds the index. Document frequencies of these
+    terms cover all of docs. Votes are calibrated on the examples themselves, each without itself, weighted to the
+    labels' own proportions. Of several rows of docs with a labelled doc_id one is taken, by its text's hash.
     """
     spark = docs.sparkSession
     rows = kept(labels.filter(train).groupBy("doc_id").agg(F.max("toxic").alias("label")).filter("doc_id is not null and label in (0, 1)"), "labels-used")
@@ -166,77 +246,70 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int,
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(_WORD.findall(x.lower())) for x in texts(batch)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
-                names=["doc_id", "label", "words", "counts"],
-            )
-
-    held = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text").mapInArrow(bags, "doc_id long, label int, words array<string>, counts array<int>")
-    held = kept(held.dropDuplicates(["doc_id"]), "examples")
-    n0, n1 = (held.filter(F.col("label") == y).count() for y in (0, 1))
+            found = [terms(x) for x in texts(batch)]
+            of = [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *of], names=["doc_id", "label", "hash", "words", "counts"])
+
+    own = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("hash"), "text").mapInArrow(bags, "doc_id long, label int, hash long, words array<string>, counts array<int>")
+    held = kept(own.groupBy("doc_id").agg(F.min_by(F.struct("label", "words", "counts"), F.struct("hash", "words")).alias("x")).select("doc_id", "x.*"), "examples")
+    rows_of = held.orderBy("doc_id").toArrow()  # the examples' bags of words: the index that every task gets
+    label = rows_of["label"].to_numpy().astype(np.int64)
+    n1 = int(label.sum())
     if not n1:
-        index = Index.build({}, np.ones(1), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+        index = Index.build({}, np.zeros(0), np.zeros(0), label[:0], label[:0], label[:0], label[:0], np.zeros(0))
         index.prior, index.steps = prior, (np.array([0.0, 1.0]), np.array([prior, prior]))
         return index
-    stems = [F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(n)))) for n in STEMS]  # noqa: B023
-    by_term = held.select("label", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term")).groupBy("term").agg(F.sum(F.col("label").cast("double")).alias("a"), F.sum(1.0 - F.col("label")).alias("b"))
-    share = (F.col("a") + F.col("b")) / (n0 + n1)
-    gap = F.col("a") / n1 - F.col("b") / max(1, n0)
-    z = gap / F.sqrt(share * (1.0 - share) * (1.0 / n1 + 1.0 / max(1, n0)) + 1e-12)
-    chosen = by_term.filter((F.col("a") + F.col("b") >= least_docs) & (F.col("a") * max(1, n0) >= F.col("b") * n1 * least_lift)).select("term", z.alias("z")).filter(F.col("z") >= least_z)
-    words = sorted(r["term"] for r in chosen.orderBy(F.desc("z"), "term").limit(max_terms).collect())
-    vocabulary = {w: i for i, w in enumerate(words)}
-    known = spark.sparkContext.broadcast(vocabulary)
+    number: dict[str, int] = {}
+    fresh = count()
+    flat = rows_of["words"].combine_chunks().flatten().dictionary_encode()
+    for w in flat.dictionary.to_pylist():
+        number[w] = next(fresh)
+    term = flat.indices.to_numpy().astype(np.int64)
+    example = np.repeat(np.arange(len(label)), [len(x) for x in rows_of["counts"]])
+    n = rows_of["counts"].combine_chunks().flatten().to_numpy().astype(float)
+    known = spark.sparkContext.broadcast(number)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Known(known.value)
-        n, df = 0, np.zeros(len(known.value), np.int64)
+        place = known.value
+        rows, df = 0, np.zeros(len(place), np.int64)
         for batch in batches:
             for x in texts(batch):
-                n += 1
-                for t in words.of(x):
-                    if t < len(df):
-                        df[t] += 1
+                rows += 1
+                df[[place[w] for w in set(_WORD.findall(x.lower())) if w in place]] += 1
         seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], seen])), pa.array(np.concatenate([[n], df[seen]]))], names=["term", "n"])
-
-    total = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([total.get(t, 0) for t in range(len(words))], float)
-    idf = np.append(np.log((1.0 + total.get(-1, 0)) / (1.0 + df)) + 1.0, 1.0)
-    own = _examples(held, vocabulary)
-    own.sort(key=lambda r: r[0])
-    index = Index.build(vocabulary, idf, np.array([r[1] for r in own]), np.array([r[0] for r in own]), [r[2] for r in own])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], seen])), pa.array(np.concatenate([[rows], df[seen]]))], names=["term", "n"])
+
+    total = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df, at = np.zeros(len(number) + 1), total["term"].to_numpy()
+    df[at] = total["n"].to_numpy()  # the place of -1 is the last one: the number of documents
+    idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1]))
+    with_1, with_0 = (np.bincount(term[label[example] == y], minlength=len(number)) for y in (1, 0))
+    telling = telling_part(with_1, with_0, n1, len(label) - n1)
+    index = Index.build(number, idf, telling, label, rows_of["doc_id"].to_numpy(), example, term, n)
     index.prior = prior
-    flat = index.weight.reshape(len(words) + 1, index.weight.shape[1] * index.block)[:, : len(own)]
-    vectors: list[dict[int, float]] = [{} for _ in own]
-    for t, i in zip(*np.nonzero(flat), strict=True):
-        vectors[i][int(t)] = float(flat[t, i])
-    votes = np.array([index.vote(index.nearest(v, k, but=i)) for i, v in enumerate(vectors)])
-    weight = np.where(index.labels == 1, prior / n1, (1 - prior) / max(1, n0))
-    index.steps = isotonic(votes, index.labels.astype(float), weight)
-    return index
-
-
-def _examples(held: DataFrame, vocabulary: dict[str, int]) -> list[tuple[int, int, dict[int, int]]]:
-    """doc_id, label and counts (see Known) of each example; only terms of the vocabulary leave the tasks."""
-    known = held.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(index)
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Known(known.value)
+    def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = shared.value
         for batch in batches:
-            pairs = [list(v.counts(w for w, c in zip(ws, cs, strict=True) for _ in range(c)).items()) for ws, cs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([[t for t, _ in p] for p in pairs], pa.list_(pa.int32())), pa.array([[c for _, c in p] for p in pairs], pa.list_(pa.int32()))], names=["doc_id", "label", "t", "c"]
-            )
-
-    return [(r["doc_id"], r["label"], dict(zip(r["t"], r["c"], strict=True))) for r in held.mapInArrow(mapped, "doc_id long, label int, t array<int>, c array<int>").collect()]
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                ids, words, counts = (part.column(i).to_pylist() for i in (0, 2, 3))
+                vectors = [x.vector(dict(zip(w, c, strict=True))) for w, c in zip(words, counts, strict=True)]
+                votes = [v for v, _, _ in x.votes(vectors, k, but=ids)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(votes, pa.float64())], names=["doc_id", "label", "vote"])
+
+    parts = held.repartition(max(1, min(64, len(label) // 64)), "doc_id")
+    votes = parts.mapInArrow(without_itself, "doc_id long, label int, vote double").orderBy("doc_id").toArrow()
+    y = votes["label"].to_numpy()
+    index.steps = isotonic(votes["vote"].to_numpy(), y.astype(float), np.where(y == 1, prior / n1, (1 - prior) / max(1, len(label) - n1)))
+    return index
 
 
 def score(docs: DataFrame, index: Index, k: int = 16, evidence: int = 3) -> DataFrame:
     """docs with score (calibrated chance of label 1) and evidence (the nearest examples: doc_id, similarity, label).
 
-    Empty and null texts have no neighbour and get the calibrated prior.
+    Empty and null texts, and those without a word of the examples, have no neighbour and get the calibrated prior.
     Equal texts get equal scores. Columns of these names are replaced; no row is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -247,21 +320,14 @@ def score(docs: DataFrame, index: Index, k: int = 16, evidence: int = 3) -> Data
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared.value
-        words, seen = Known(x.vocabulary), {}
-
-        def look(text: str) -> list[tuple[float, int]]:
-            """Texts with the same few terms have the same neighbours."""
-            c = words.of(text)
-            if len(c) > 5:
-                return x.nearest(x.weigh(c), k)
-            key = tuple(sorted(c.items()))
-            if key not in seen and len(seen) < 100_000:
-                seen[key] = x.nearest(x.weigh(dict(key)), k)
-            return seen[key] if key in seen else x.nearest(x.weigh(dict(key)), k)
-
         for batch in batches:
-            near = [look(t) for t in texts(batch)]
-            why = [[{"doc_id": int(x.ids[i]), "similarity": s, "label": int(x.labels[i])} for s, i in n[:evidence]] for n in near]
-            yield append(batch, score=pa.array([x.calibrated(x.vote(n)) for n in near], pa.float64()), evidence=pa.array(why, arrow))
+            found, why = [], []
+            held = texts(batch)
+            for start in range(0, len(held), BATCH):
+                for vote, near, cosine in x.votes([x.vector(terms(t)) for t in held[start : start + BATCH]], k):
+                    found.append(x.calibrated(vote))
+                    top = np.lexsort((near, -cosine))[:evidence]
+                    why.append([{"doc_id": int(x.ids[near[i]]), "similarity": float(cosine[i]), "label": int(x.labels[near[i]])} for i in top])
+            yield append(batch, score=pa.array(found, pa.float64()), evidence=pa.array(why, arrow))
 
     return rest.mapInArrow(scored, with_columns(rest.schema, added))
