@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import books, features, joins, runs, store, streams
+from . import books, desk, features, joins, runs, store, streams
 
-MODULES = [features, joins, books, runs, streams, store]
+MODULES = [features, joins, books, runs, streams, store, desk]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -79,6 +79,32 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day.select("run_id", "date", (F.lit(100000.0) + F.sum("gain").over(w) / 1000).alias("equity"))
 
 
+def owner(a: str, b: str) -> Column:
+    """An instrument's number from two keys."""
+    return ((F.col(a) % 5 + 1) * 10 + F.col(b) % 5 + 1).cast("int")
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """position_id, user_id, instrument_id, qty, entry_price, stop_price, status of books: an order is a position."""
+    o = table(spark, sf_dir, "orders")
+    price = (F.col("o_totalprice") / 100).alias("entry_price")
+    return o.select(F.col("o_orderkey").alias("position_id"), F.col("o_orderpriority").alias("user_id"), owner("o_custkey", "o_orderkey").alias("instrument_id"), (F.col("o_orderkey") % 40 + 1).alias("qty"), price, (F.col("o_totalprice") / 120).alias("stop_price"), F.when(F.col("o_orderstatus") == "O", "OPEN").otherwise("CLOSED").alias("status"))
+
+
+def paper_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, user_id, instrument_id, status, signal_sent, fill_sent of a queue of orders."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "P", "PENDING").when(key % 3 == 0, "PARTIAL").when(key % 5 == 0, "LAPSED").otherwise("FILLED")
+    return o.select(key.alias("id"), F.col("o_orderpriority").alias("user_id"), owner("o_custkey", "o_orderkey").alias("instrument_id"), status.alias("status"), (key % 11 != 0).alias("signal_sent"), (key % 7 != 0).alias("fill_sent"))
+
+
+def paper_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, cash, initial_capital, last_settled_date, strategy_id, config_hash of each book."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("user_id")).agg(F.max("o_orderdate").alias("last"), F.min("o_totalprice").alias("cash"))
+    n = F.length("user_id")
+    return o.select("user_id", "cash", F.lit(100000.0).alias("initial_capital"), F.date_sub(F.to_date("last"), n).alias("last_settled_date"), (n % 3).alias("strategy_id"), F.when(n % 2 == 0, "new").otherwise("old").alias("config_hash"))
+
+
 #: The same views as common table expressions of DuckDB, by name, in the order in which they build on each other.
 SQL = {
     "trades": "SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS px, l_quantity AS q, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, row_number() OVER (PARTITION BY p_brand, l_shipdate ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn, row_number() OVER (PARTITION BY p_brand, l_shipdate ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) AS rd FROM lineitem JOIN part ON l_partkey = p_partkey",
@@ -90,6 +116,9 @@ SQL = {
     "fundamentals": "SELECT ticker, make_date(CAST(y AS INT), 4, 15) AS as_of_date, CASE WHEN (instrument_id + y) % 6 <> 0 THEN CAST((instrument_id * 7 + y) % 30 + 5 AS DOUBLE) END AS pe, CAST((instrument_id + y) % 4 + 0.5 AS DOUBLE) AS pb FROM instruments, range(1996, 2002) t(y)",
     "filings": "SELECT doc_id AS filing_id, source, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 25 AS INT) + 1 END AS instrument_id, sha256(text) AS content_hash, text AS full_text, n_chars FROM documents",
     "intraday": "SELECT event_type AS ticker, time_bucket(INTERVAL '5 minutes', ts) AS bar_start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2",
+    "positions": "SELECT o_orderkey AS position_id, o_orderpriority AS user_id, CAST((o_custkey % 5 + 1) * 10 + o_orderkey % 5 + 1 AS INT) AS instrument_id, o_orderkey % 40 + 1 AS qty, o_totalprice / 100 AS entry_price, o_totalprice / 120 AS stop_price, CASE WHEN o_orderstatus = 'O' THEN 'OPEN' ELSE 'CLOSED' END AS status FROM orders",
+    "paper_orders": "SELECT o_orderkey AS id, o_orderpriority AS user_id, CAST((o_custkey % 5 + 1) * 10 + o_orderkey % 5 + 1 AS INT) AS instrument_id, CASE WHEN o_orderstatus = 'P' THEN 'PENDING' WHEN o_orderkey % 3 = 0 THEN 'PARTIAL' WHEN o_orderkey % 5 = 0 THEN 'LAPSED' ELSE 'FILLED' END AS status, o_orderkey % 11 <> 0 AS signal_sent, o_orderkey % 7 <> 0 AS fill_sent FROM orders",
+    "paper_state": "SELECT o_orderpriority AS user_id, min(o_totalprice) AS cash, 100000e0 AS initial_capital, CAST(max(o_orderdate) AS DATE) - CAST(length(o_orderpriority) AS INT) AS last_settled_date, CAST(length(o_orderpriority) % 3 AS INT) AS strategy_id, CASE WHEN length(o_orderpriority) % 2 = 0 THEN 'new' ELSE 'old' END AS config_hash FROM orders GROUP BY o_orderpriority",
     "curves": "SELECT o_orderpriority AS run_id, CAST(o_orderdate AS DATE) AS date, 100000 + sum(sum(o_totalprice - 250000)) OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 1000 AS equity FROM orders GROUP BY 1, 2",
 }
 NEEDS = {"bars": ["trades"], "membership": ["instruments"], "actions": ["instruments"], "fundamentals": ["instruments"]}
