@@ -77,6 +77,12 @@ def test_rules(spark):
     with pytest.raises(ValueError):
         rules.condition({"type": "other"})
     assert rules.without_model_features({"entry": {"all": [{"feature": "llm_score", "op": "gt", "value": 0}]}}) is None
+    both = {"entry": {"all": [{"feature": "llm_score", "op": "gt", "value": 0}, {"feature": "x", "op": "gt", "value": 0}]}, "exit": {"any": [{"feature": "llm_score", "op": "lt", "value": 0}]}}
+    assert rules.without_model_features(both) == both | {"entry": {"all": [{"feature": "x", "op": "gt", "value": 0}]}} and rules.features_read(both) == {"llm_score", "x"}
+    with pytest.raises(ValueError):
+        rules.clause({"some": []})
+    flat = spark.range(1).select(rules.signal({"entry": {"any": []}}, F.lit(True)).alias("held"), rules.signal({}, F.lit(False)).alias("flat")).first()
+    assert tuple(flat) == ("HOLD", "HOLD")
 
 
 def test_tiers(spark):
@@ -237,11 +243,98 @@ def test_paper_book_follows_the_backtest(spark, run, tmp_path):
 def test_random_runs_are_the_same_whatever_the_partitions(spark, run):
     _, d, cal, inst = run
     ok = universe.random_entries(d, inst, cal, 1.0)
-    a = simulation.random_runs(d, ok, cal, [5, 10], 5, 3, 1, RISK).orderBy("run_id", "date").collect()
-    b = simulation.random_runs(d.repartition(5), ok.repartition(3), cal, [5, 10], 5, 3, 1, RISK).orderBy("run_id", "date").collect()
+    a = simulation.random_runs(d, ok, cal, inst, [5, 10], 5, 3, 1, RISK).orderBy("run_id", "date").collect()
+    b = simulation.random_runs(d.repartition(5), ok.repartition(3), cal, inst, [5, 10], 5, 3, 1, RISK).orderBy("run_id", "date").collect()
     assert a == b and len(a) == 1500 and any(r["equity"] != 100_000.0 for r in a)
 
 
+def test_random_entries_span_the_calendar(spark):
+    cal = spark.range(1000).select(F.col("id").alias("session"))
+    got = simulation.attempts(cal, [3, 7], 40, 30, 5, 10).collect()
+    first = [r["session"] for r in got if r["attempt"] == 0]
+    assert len(first) == 1200 and min(first) < 20 and 980 < max(first) < 999 and abs(sum(first) / 1200 - 499) < 30
+    chains = {}
+    for r in sorted(got, key=lambda r: r["attempt"]):
+        chains.setdefault((r["run"], r["draw"]), []).append(r)
+    for c in chains.values():
+        s = [r["session"] for r in c]
+        assert s == sorted(set(s)) and s[-1] < 999 and len({r["hold"] for r in c}) == 1 and (len(s) == 10 or s[-1] >= 998)
+
+
+def test_random_runs_equal_a_plain_replay(spark, run):
+    """Every run again, by dicts over all bars, one session after the other."""
+    _, d, cal, inst = run
+    ok = universe.random_entries(d, inst, cal, 1.0)
+    risk, costs, capital, entries, last = RISK, money.Costs(), 100_000.0, 12, 499
+    got = {}
+    for r in simulation.random_runs(d, ok, cal, inst, [5, 10, 30], entries, 4, 3, risk, slack=500).join(cal, "date").collect():
+        got.setdefault(int(r["run_id"]), {})[r["session"]] = r["equity"]
+    bars = {(r["ticker"], r["session"]): r for r in d.join(cal, "date").collect()}
+    sector = {r["ticker"]: r["sector"] for r in inst.collect()}
+    able = {}
+    for r in ok.filter("ok").orderBy("ticker").collect():
+        able.setdefault(r["session"], []).append(r["ticker"])
+    chains = {}
+    for r in simulation.attempts(cal, [5, 10, 30], entries, 4, 3, 10).orderBy("attempt").collect():
+        if able.get(r["session"]):
+            chains.setdefault(r["run"], {}).setdefault(r["draw"], []).append(r)
+    close = lambda t, s: (bars[t, s]["close"] if (t, s) in bars else None) or 0.0
+    for run_id, by_draw in chains.items():
+        cash, qty, held, peak, n, name_of = [0.0] * 500, {}, [], capital, 0, {}
+
+        def worth(p, s, qty=qty):
+            return close(p["t"], s) * sum(q for at, q in qty[p["k"]] if at <= s)
+
+        def sell(p, cash=cash, qty=qty):
+            tier = next((bars[p["t"], s]["turnover_med_63"] for s in range(p["exit"] - 1, -1, -1) if (p["t"], s) in bars and bars[p["t"], s]["turnover_med_63"] is not None), None)
+            for s in range(p["exit"], 500):
+                left, b = sum(q for _, q in qty[p["k"]]), bars.get((p["t"], s))
+                if b and left:
+                    q, paid, fee = costs.fill(False, left, b["open"] if b["open"] is not None else b["close"], b["volume"], tier)
+                    if q:
+                        cash[s] += paid * q - fee
+                        qty[p["k"]].append((s, -q))
+
+        waiting = {k: list(v) for k, v in by_draw.items()}
+        while n < entries and any(waiting.values()):
+            s, k = min((v[0]["session"], k) for k, v in waiting.items() if v)
+            row = waiting[k].pop(0)
+            for p in [p for p in held if p["exit"] <= s]:
+                sell(p)
+                held.remove(p)
+            names = able[s]
+            t = names[int(row["pick"] * len(names))]
+            have, now = capital + sum(cash[: s + 1]), bars[t, s]
+            if len(held) >= risk["max_open_positions"] or (t, s + 1) not in bars:
+                continue
+            equity = have + sum(worth(p, s) for p in held)
+            peak = max(peak, equity)
+            gap = now["close"] - max(0.0, now["close"] - risk["atr_mult_stop"] * now["atr"])
+            if 1 - equity / peak > risk["drawdown_circuit_breaker"] or gap <= 0:
+                continue
+            room = [risk["max_exposure_per_name"] * equity - sum(worth(p, s) for p in held if p["t"] == t), risk["max_total_exposure"] * equity - sum(worth(p, s) for p in held), max(0.0, have)]
+            if "max_exposure_per_sector" in risk:
+                room.append(risk["max_exposure_per_sector"] * equity - sum(worth(p, s) for p in held if sector[p["t"]] == sector[t]))
+            want = int(min([equity * risk["risk_per_trade"] // gap, *(max(0.0, x) // now["close"] for x in room)]))
+            nxt = bars[t, s + 1]
+            q, paid, fee = costs.fill(True, want, nxt["open"] or nxt["close"], nxt["volume"], now["turnover_med_63"])
+            if q <= 0:
+                continue
+            cash[s + 1] -= paid * q + fee
+            qty[n] = [(s + 1, q)]
+            waiting[k] = []
+            held.append({"t": t, "k": n, "exit": min(s + 1 + row["hold"], last)})
+            n += 1
+            name_of[n - 1] = t
+        for p in held:
+            sell(p)
+        assert n > 0
+        final = got[run_id]
+        for s in range(500):
+            stock = sum(close(name_of[k], s) * sum(q for at, q in qty[k] if at <= s) for k in qty)
+            assert final[s] == pytest.approx(capital + sum(cash[: s + 1]) + stock, rel=1e-9)
+
+
 def test_state_survives_json():
     r = Replay(RISK, money.Costs(), 1000.0, 0)
     r.book.positions[3] = Position(2, 1.0, 0.5, None, {"close": 1.0})

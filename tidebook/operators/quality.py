@@ -66,9 +66,16 @@ def report(found: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def summary(found: DataFrame, examples: int = 3) -> DataFrame:
-    """category, n and the first few details, with how many more there are."""
-    a = found.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(F.concat_ws(" ", "ticker", "detail"))), 1, examples).alias("first"))
+def summary(found: DataFrame, examples: int = 3, parts: int = 64) -> DataFrame:
+    """category, n and the first few details, with how many more there are.
+
+    A category's rows are dealt by hash into parts, each of which gives its first few, so no task holds them all.
+    """
+    text = found.select("category", F.concat_ws(" ", "ticker", "detail").alias("x"))
+    first = lambda d, *by: d.withColumn("_k", F.row_number().over(Window.partitionBy("category", *by).orderBy("x"))).filter(F.col("_k") <= examples).drop("_k")
+    few = first(text.distinct().withColumn("_part", F.pmod(F.xxhash64("x"), F.lit(parts))), "_part")
+    few = first(few.drop("_part")).groupBy("category").agg(F.array_sort(F.collect_list("x")).alias("first"))
+    a = text.groupBy("category").agg(F.count(F.lit(1)).alias("n")).join(few, "category")
     more = F.when(F.col("n") > F.size("first"), F.format_string(" (+%d more)", F.col("n") - F.size("first"))).otherwise("")
     return a.select("category", "n", F.concat(F.array_join("first", ", "), more).alias("examples"))
 

@@ -35,31 +35,46 @@ def condition(rule: dict[str, Any], stop: Column | None = None) -> Column:
 
 
 def clause(rules: dict[str, list], stop: Column | None = None) -> Column:
-    """All of the conditions under "all", or else any of those under "any": none given is true, or false."""
+    """All of the conditions under "all", or else any of those under "any": none given is true, or false. One of the two must be there."""
     if "all" in rules:
         return reduce(operator.and_, (condition(r, stop) for r in rules["all"]), F.lit(True))
-    return reduce(operator.or_, (condition(r, stop) for r in rules.get("any", [])), F.lit(False))
+    if "any" in rules:
+        return reduce(operator.or_, (condition(r, stop) for r in rules["any"]), F.lit(False))
+    raise ValueError("a clause has neither all nor any")
 
 
 def signal(strategy: dict[str, Any], held: Column, stop: Column | None = None) -> Column:
-    """EXIT where a position is held and the exit clause holds, ENTER where none is and the entry clause does, else HOLD."""
-    return F.when(held & clause(strategy["exit"], stop), "EXIT").when(~held & clause(strategy["entry"], stop), "ENTER").otherwise("HOLD")
+    """EXIT where a position is held and the exit clause holds, ENTER where none is and the entry clause does, else HOLD.
 
+    A strategy without an entry or an exit clause never enters, or exits.
+    """
+    holds = lambda name: clause(strategy[name], stop) if strategy.get(name) else F.lit(False)
+    return F.when(held & holds("exit"), "EXIT").when(~held & holds("entry"), "ENTER").otherwise("HOLD")
 
-def names_model_features(rules: Any) -> bool:
-    """Does any condition, however deep, read a feature of the language-model store?"""
-    if isinstance(rules, dict):
-        return str(rules.get("feature", "")).startswith(MODEL_PREFIX) or any(names_model_features(v) for v in rules.values())
-    return isinstance(rules, list) and any(names_model_features(r) for r in rules)
+
+def features_read(rules: Any) -> set[str]:
+    """The features that a strategy's clauses read, whatever their nesting."""
+    found, rest = set(), [rules]
+    while rest:
+        part = rest.pop()
+        if isinstance(part, dict):
+            if isinstance(part.get("feature"), str):
+                found.add(part["feature"])
+            rest += part.values()
+        elif isinstance(part, list):
+            rest += part
+    return found
+
+
+def of_model(features: set[str]) -> bool:
+    """Is any of the features one of the language-model store?"""
+    return any(f.startswith(MODEL_PREFIX) for f in features)
 
 
 def without_model_features(strategy: dict[str, Any]) -> dict[str, Any] | None:
-    """The strategy without conditions on the language-model store; None if it has no entry clause, or none is left of it."""
-    entry = strategy.get("entry")
-    if not entry:
-        return None
-    plain = lambda c: {k: [r for r in v if not names_model_features(r)] for k, v in c.items()}
-    bare = plain(entry)
-    if not any(bare.values()):
-        return None
-    return strategy | {"entry": bare} | ({"exit": plain(strategy["exit"])} if "exit" in strategy else {})
+    """The strategy whose entry clause is without conditions on the language-model store; its exit clause stays as it is.
+
+    None if it has no entry clause, or none of its conditions is left.
+    """
+    left = {k: [r for r in v if not of_model(features_read(r))] for k, v in (strategy.get("entry") or {}).items()}
+    return strategy | {"entry": left} if any(left.values()) else None

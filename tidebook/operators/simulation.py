@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -72,67 +73,142 @@ def simulate(rows: DataFrame, first: int, last: int, risk: dict[str, Any], costs
     return due.repartition("run_id").sortWithinPartitions("run_id", "session", "id").mapInArrow(fold, EVENTS)
 
 
-def random_runs(features: DataFrame, eligible: DataFrame, calendar: DataFrame, holdings: list[int], entries: int, runs: int, seed: int, risk: dict[str, Any], costs: Costs | None = None, capital: float = 100_000.0, tries: int = 10) -> DataFrame:
+def attempts(calendar: DataFrame, holdings: list[int], entries: int, runs: int, seed: int, tries: int) -> DataFrame:
+    """run, draw, attempt, session, pick, hold: entries draws of a run over the whole calendar, each with its replacements.
+
+    A draw's first session is any but the last; each further attempt is at a random later one, until none is left. All
+    numbers are hashes of seed, run and draw, so any partitioning gives the same.
+    """
+    last = calendar.agg(F.max("session")).first()[0] or 0
+    u = lambda *k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "run", "draw", *k), 11).cast("double") / float(1 << 53)
+    later = lambda s, k: F.when(s < last - 1, s + 1 + F.floor(u(F.lit(3), k) * (last - s - 1)))
+    first = F.array(F.floor(u(F.lit(0)) * max(1, last))).cast("array<bigint>")
+    sessions = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, tries - 1))), first, lambda found, k: F.array_append(found, later(F.element_at(found, -1), k)))
+    hold = F.element_at(F.array(*[F.lit(h) for h in holdings]), (F.floor(u(F.lit(2)) * len(holdings)) + 1).cast("int"))
+    each = calendar.sparkSession.range(runs).select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(0), F.lit(entries - 1))).alias("draw"))
+    d = each.select("run", "draw", hold.cast("long").alias("hold"), F.posexplode(sessions).alias("attempt", "session")).filter(F.col("session").isNotNull() & (F.col("attempt") < tries))
+    return d.withColumn("pick", u(F.lit(1), F.col("attempt")))
+
+
+def random_runs(features: DataFrame, eligible: DataFrame, calendar: DataFrame, instruments: DataFrame, holdings: list[int], entries: int, runs: int, seed: int, risk: dict[str, Any], costs: Costs | None = None, capital: float = 100_000.0, tries: int = 10, slack: int = 21) -> DataFrame:
     """run_id, date, equity of runs that enter at random, with the same costs, gates and sizes, and holding times drawn from real ones.
 
-    Each run draws up to tries times entries signals: a session and, by number, one of its eligible instruments. Prices
-    come by joins; only a run's own draws meet in one task, which admits them in order of time while slots, cash and
-    limits allow and entries aren't reached. A position is sold whole at the first open at or after its time. Draws are
-    hashes of seed, run and number, so any partitioning gives the same runs.
+    attempts() gives each run's sessions; at each one of its eligible instruments is taken by number. Prices come by
+    joins: an attempt carries its instrument's bars from the signal to slack bars after its last one. Only a run's own
+    attempts meet in a task, which admits them in order of time: what slots, cash or a limit refuse is tried again at the
+    draw's next session. A sale that the volume cuts goes on at later bars; what finds no buyer within the slack stays held.
+    Holdings are marked at each session's close; one without a bar is worth nothing on it, as in simulate().
     """
     costs = costs or Costs()
-    last = calendar.agg(F.max("session")).first()[0]
-    u = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "run", "draw", F.lit(k)), 11).cast("double") / float(1 << 53)
-    sparkly = calendar.sparkSession.range(runs).select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(0), F.lit(entries * tries - 1))).alias("draw"))
-    hold = F.element_at(F.array(*[F.lit(h) for h in holdings]), (F.floor(u(2) * len(holdings)) + 1).cast("int"))
-    draws = sparkly.select("run", "draw", F.floor(u(0) * max(1, last)).alias("session"), u(1).alias("pick"), hold.cast("long").alias("hold"))
+    last = calendar.agg(F.max("session")).first()[0] or 0
     ok = eligible.filter("ok").select("ticker", "session")
+    numbered = ok.withColumn("k", F.row_number().over(Window.partitionBy("session").orderBy("ticker")))
     counts = ok.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    numbered = ok.withColumn("k", F.row_number().over(Window.partitionBy("session").orderBy("ticker"))).join(counts, "session")
-    chosen = draws.join(counts, "session").withColumn("k", (F.floor(F.col("pick") * F.col("n")) + 1).cast("int")).join(numbered.drop("n"), ["session", "k"])
-    day = features.join(calendar, "date")
-    at_signal = day.select("ticker", "session", F.col("close").alias("signal_close"), "atr", F.col("turnover_med_63").alias("turnover"))
-    at_fill = day.select("ticker", (F.col("session") - 1).alias("session"), F.coalesce("open", "close").alias("fill_open"), F.col("volume").alias("fill_volume"))
-    d = chosen.join(at_signal, ["ticker", "session"]).join(at_fill, ["ticker", "session"]).withColumn("want", F.least(F.col("session") + 1 + F.col("hold"), F.lit(last)))
-    back = day.select("ticker", (-F.col("session")).alias("_s"), F.col("session").alias("exit"), F.coalesce("open", "close").alias("exit_open"))
-    d = asof(d.withColumn("_want", -F.col("want")), back, "ticker", "_want", "_s", ["exit", "exit_open"])
+    drawn = attempts(calendar, holdings, entries, runs, seed, tries).join(counts, "session").withColumn("k", (F.floor(F.col("pick") * F.col("n")) + 1).cast("int")).join(numbered, ["session", "k"])
+    bar = F.struct("session", "open", "close", "volume", F.col("turnover_med_63").alias("turnover"), "atr")
+    day = features.join(calendar, "date").select("ticker", "session", bar.alias("bar"), "close")
+    path = day.groupBy("ticker").agg(F.array_sort(F.collect_list("bar")).alias("bars")).join(instruments.select("ticker", "sector"), "ticker")
+    at = F.array_position(F.transform("bars", lambda b: b["session"]), F.col("session").cast("long")).cast("int")
+    rows = drawn.join(path, "ticker").withColumn("at", at).select("run", "draw", "attempt", "session", "ticker", "sector", "hold", F.slice("bars", F.col("at"), (F.col("hold") + slack + 2).cast("int")).alias("bars"))
 
-    schema = "run long, ticker string, fill long, exit long, qty long, paid double, got double"
+    kinds = pa.schema([("run", pa.int64()), ("ticker", pa.string()), ("session", pa.int64()), ("qty", pa.int64()), ("cash", pa.float64())])
 
     def admit(t: pa.Table) -> pa.Table:
-        cash, open_, out = [(0, capital)], [], []
-        for x in sorted(t.to_pylist(), key=lambda x: (x["session"], x["draw"])):
-            if len(out) == entries:
-                break
-            open_ = [p for p in open_ if p["exit"] is None or p["exit"] > x["session"]]
-            have = sum(v for s, v in cash if s <= x["session"])
-            held = sum(p["qty"] * p["paid"] for p in open_)
-            equity, price = have + held, x["signal_close"]
-            gap = price - max(0.0, price - risk["atr_mult_stop"] * x["atr"])
-            if len(open_) >= risk["max_open_positions"] or gap <= 0 or any(p["ticker"] == x["ticker"] for p in open_):
-                continue
-            qty = int(min(equity * risk["risk_per_trade"] // gap, risk["max_exposure_per_name"] * equity // price, max(0.0, have) // price))
-            qty, paid, fee = costs.fill(True, qty, x["fill_open"], x["fill_volume"], x["turnover"])
-            if qty <= 0:
-                continue
-            spread, slip = costs.rates(x["turnover"])
-            got = None
-            if x["exit"] is not None:
-                each = x["exit_open"] * (1 - (spread / 2 + slip) * 1e-4)
-                got = each * qty - max(each * qty * costs.commission_bps * 1e-4, costs.commission_min)
-                cash.append((x["exit"], got))
-            cash.append((x["session"] + 1, -(paid * qty + fee)))
-            out.append({"run": x["run"], "ticker": x["ticker"], "fill": x["session"] + 1, "exit": x["exit"], "qty": qty, "paid": paid * qty + fee, "got": got})
-            open_.append({"ticker": x["ticker"], "qty": qty, "paid": paid, "exit": x["exit"]})
-        kinds = pa.schema([("run", pa.int64()), ("ticker", pa.string()), ("fill", pa.int64()), ("exit", pa.int64()), ("qty", pa.int64()), ("paid", pa.float64()), ("got", pa.float64())])
-        return pa.Table.from_pylist(out, kinds)
-
-    trades = d.groupBy("run").applyInArrow(admit, schema)
-    flows = trades.select("run", F.explode(F.array(F.struct(F.col("fill").alias("session"), (-F.col("paid")).alias("v")), F.struct(F.col("exit").alias("session"), F.col("got").alias("v")))).alias("f")).select("run", "f.session", "f.v").filter("session is not null")
-    open_days = trades.select("run", "ticker", "qty", F.explode(F.sequence("fill", F.greatest("fill", F.coalesce(F.col("exit") - 1, F.lit(last))))).alias("session"), "exit").filter("exit is null or session < exit")
-    marks = open_days.join(day.select("ticker", "session", "close"), ["ticker", "session"]).groupBy("run", "session").agg(F.sum(F.col("qty") * F.col("close")).alias("held"))
-    grid = calendar.sparkSession.range(runs).select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last))).alias("session"))
-    e = grid.join(flows.groupBy("run", "session").agg(F.sum("v").alias("v")), ["run", "session"], "left").join(marks, ["run", "session"], "left")
-    w = Window.partitionBy("run").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
-    equity = F.lit(capital) + F.sum(F.coalesce("v", F.lit(0.0))).over(w) + F.coalesce("held", F.lit(0.0))
+        bars = t["bars"].combine_chunks()
+        rows = [r | {"bars": None, "at": i} for i, r in enumerate(t.drop_columns(["bars"]).to_pylist())]
+        return pa.Table.from_pylist(RandomRun(risk, costs, capital, entries, last).fills(rows, lambda i: bars[i].as_py()), kinds)
+
+    fills = rows.groupBy("run").applyInArrow(admit, "run long, ticker string, session long, qty long, cash double")
+    w = Window.partitionBy("run", "ticker").orderBy("session")
+    steps = fills.groupBy("run", "ticker", "session").agg(F.sum("qty").alias("qty"), F.sum("cash").alias("cash"))
+    spans = steps.select("run", "ticker", "session", F.sum("qty").over(w).alias("held"), F.coalesce(F.lead("session").over(w) - 1, F.lit(last)).alias("until"))
+    held = spans.select("run", "ticker", "held", F.explode(F.sequence("session", F.greatest("session", "until"))).alias("session"))
+    marks = held.filter("held > 0").join(day.select("ticker", "session", "close"), ["ticker", "session"]).groupBy("run", "session").agg(F.sum(F.col("held") * F.col("close")).alias("worth"))
+    grid = calendar.sparkSession.range(runs).select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("session"))
+    e = grid.join(steps.groupBy("run", "session").agg(F.sum("cash").alias("cash")), ["run", "session"], "left").join(marks, ["run", "session"], "left")
+    so_far = Window.partitionBy("run").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    equity = F.lit(capital) + F.sum(F.coalesce("cash", F.lit(0.0))).over(so_far) + F.coalesce("worth", F.lit(0.0))
     return e.withColumn("equity", equity).join(calendar, "session").select(F.col("run").cast("string").alias("run_id"), "date", "equity")
+
+
+class RandomRun:
+    """One run's attempts in order of time, against the gates that the strategy has too."""
+
+    def __init__(self, risk: dict[str, Any], costs: Costs, capital: float, entries: int, last: int):
+        self.risk, self.costs, self.entries, self.last = risk, costs, entries, last
+        self.cash, self.peak = [(-1, capital)], capital
+        self.held: list[dict] = []
+        self.out: list[dict] = []
+
+    def book(self, run: int, p: dict, bar: dict, qty: int, cash: float) -> None:
+        self.cash.append((bar["session"], cash))
+        p["steps"].append((bar["session"], qty))
+        self.out.append({"run": run, "ticker": p["ticker"], "session": bar["session"], "qty": qty, "cash": cash})
+
+    def sell(self, run: int, p: dict) -> None:
+        """At the first open from its session on, the rest at later ones; costs are those known at the decision."""
+        known = [b["turnover"] for b in p["bars"] if b["session"] < p["exit"] and b["turnover"] is not None]
+        left = sum(q for _, q in p["steps"])
+        for bar in p["bars"]:
+            if bar["session"] >= p["exit"] and left > 0:
+                price = bar["open"] if bar["open"] is not None else bar["close"]
+                qty, paid, fee = self.costs.fill(False, left, price or 0.0, bar["volume"] or 0.0, known[-1] if known else None)
+                if qty:
+                    self.book(run, p, bar, -qty, paid * qty - fee)
+                    left -= qty
+
+    def worth(self, p: dict, session: int) -> float:
+        close = next((b["close"] for b in p["bars"] if b["session"] == session), None)
+        return (close or 0.0) * sum(q for s, q in p["steps"] if s <= session)
+
+    def enter(self, row: dict) -> bool:
+        """Tries one attempt; was it filled?"""
+        signal, fill = row["bars"][0], row["bars"][1] if len(row["bars"]) > 1 else None
+        now, risk = signal["session"], self.risk
+        for p in [p for p in self.held if p["exit"] <= now]:
+            self.sell(row["run"], p)
+            self.held.remove(p)
+        if fill is None or fill["session"] != now + 1 or len(self.held) >= risk["max_open_positions"]:
+            return False
+        cash = sum(v for s, v in self.cash if s <= now)
+        worths = [(p, self.worth(p, now)) for p in self.held]
+        equity = cash + sum(v for _, v in worths)
+        self.peak = max(self.peak, equity)
+        if self.peak > 0 and max(0.0, 1 - equity / self.peak) > risk["drawdown_circuit_breaker"]:
+            return False
+        price, atr = signal["close"], signal["atr"]
+        gap = price - max(0.0, price - risk["atr_mult_stop"] * atr)
+        if gap <= 0:
+            return False
+        of = lambda key: sum(v for p, v in worths if p[key] == row[key])
+        budgets = [risk["max_exposure_per_name"] * equity - of("ticker"), risk["max_total_exposure"] * equity - sum(v for _, v in worths), max(0.0, cash)]
+        if row["sector"] is not None and "max_exposure_per_sector" in risk:
+            budgets.append(risk["max_exposure_per_sector"] * equity - of("sector"))
+        qty = int(min([equity * risk["risk_per_trade"] // gap, *(b // price if b > 0 else 0 for b in budgets)]))
+        at = fill["open"] if fill["open"] else fill["close"]
+        qty, paid, fee = self.costs.fill(True, qty, at or 0.0, fill["volume"] or 0.0, signal["turnover"])
+        if qty <= 0:
+            return False
+        p = {"ticker": row["ticker"], "sector": row["sector"], "bars": row["bars"], "steps": [], "exit": min(fill["session"] + row["hold"], self.last)}
+        self.book(row["run"], p, fill, qty, -(paid * qty + fee))
+        self.held.append(p)
+        return True
+
+    def fills(self, rows: list[dict], bars_of: Callable[[int], list[dict]]) -> list[dict]:
+        """What is bought and sold; bars_of gives an attempt's bars once it is its turn, which few replacements have."""
+        by_draw: dict[int, list[dict]] = {}
+        for r in sorted(rows, key=lambda r: r["attempt"], reverse=True):
+            by_draw.setdefault(r["draw"], []).append(r)
+        queue = [(x[-1]["session"], d) for d, x in by_draw.items()]
+        heapq.heapify(queue)
+        entered = 0
+        while queue and entered < self.entries:
+            _, d = heapq.heappop(queue)
+            row = by_draw[d].pop()
+            if self.enter(row | {"bars": bars_of(row["at"])}):
+                entered += 1
+            elif by_draw[d]:
+                heapq.heappush(queue, (by_draw[d][-1]["session"], d))
+        for p in sorted(self.held, key=lambda p: p["exit"]):
+            self.sell(rows[0]["run"], p)
+        return self.out

@@ -85,7 +85,10 @@ def ab_deltas(spark, sf_dir):
     return d.select("run_id", *[F.round(F.col(c) - F.col(f"_{c}"), 6).alias(f"d_{c}") for c in DELTAS], gate.alias("better"))
 
 
-@query()
+@query(m.sql("""SELECT CAST(i AS INT) AS window, CAST(start AS DATE) AS in_start, CAST(in_end AS DATE) AS in_end, out_start, CAST(least(stop, z) AS DATE) AS out_end FROM (
+ SELECT *, lag(stop) OVER (ORDER BY i) AS before FROM (SELECT k.*, c.date AS out_start, c.date + INTERVAL 6 MONTH AS stop FROM (
+ SELECT i, start, start + INTERVAL 24 MONTH AS in_end, z, (SELECT count(*) FROM cal WHERE date < start + INTERVAL 24 MONTH) + 252 AS at FROM (SELECT i, a + to_months(CAST(6 * i AS INT)) AS start, z FROM (SELECT min(date) AS a, max(date) AS z FROM cal), range(40) t(i))) k
+ JOIN cal c ON c.session = k.at)) WHERE before IS NULL OR before < z""", "bars", cal=CAL))
 def walk_forward_windows(spark, sf_dir):
     days = [x["date"] for x in fe.calendar(m.bars(spark, sf_dir)).orderBy("session").select("date").collect()]
     rows = [(i, *w) for i, w in enumerate(metrics.walk_forward(days))]
@@ -152,7 +155,15 @@ def dq_short_text(spark, sf_dir):
     return r(quality.short_bodies(m.filings(spark, sf_dir), 500), "short_ratio")
 
 
-@query()
+JUMPS = """SELECT ticker, date FROM (SELECT b.ticker, b.date, b.close, last_value(nullif(b.close, 0) IGNORE NULLS) OVER (PARTITION BY b.ticker ORDER BY b.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM bars b) x
+ JOIN LATERAL (SELECT coalesce((SELECT CASE action_type WHEN 'split' THEN 1 / value_or_ratio WHEN 'rights_issue' THEN value_or_ratio ELSE CASE WHEN prev > 0 THEN greatest((prev - value_or_ratio) / prev, 0) ELSE 1 END END FROM actions a WHERE a.ticker = x.ticker AND (SELECT min(date) FROM cal WHERE date >= ex_date) = x.date), 1) AS f) y ON true
+ WHERE abs(close / (prev * f) - 1) > 0.25"""
+LATE = "SELECT ticker || ' ' || last_date || ' ' || ((SELECT max(session) FROM cal) - session) AS x FROM (SELECT ticker, max(date) AS last_date FROM bars GROUP BY ticker) l JOIN cal ON last_date = cal.date WHERE (SELECT max(session) FROM cal) - session > 5"
+GAPS = "SELECT s.ticker || ' ' || cal.date AS x FROM (SELECT ticker, min(date) AS a, max(date) AS z FROM bars GROUP BY ticker) s JOIN cal ON cal.date BETWEEN a AND z WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.ticker = s.ticker AND b.date = cal.date)"
+
+
+@query(m.sql("""SELECT category, n, array_to_string(few, ', ') || CASE WHEN n > len(few) THEN ' (+' || (n - len(few)) || ' more)' ELSE '' END AS examples FROM (SELECT category, count(*) AS n, list_sort(list(DISTINCT x))[1:3] AS few FROM (
+ SELECT 'missing_session' AS category, x FROM gaps UNION ALL SELECT 'bad_volume', ticker || ' ' || date FROM bars WHERE volume IS NULL OR volume <= 0 UNION ALL SELECT 'jump', ticker || ' ' || date FROM jumps UNION ALL SELECT 'stale', x FROM late) GROUP BY category)""", "bars", "actions", cal=CAL, jumps=JUMPS, late=LATE, gaps=GAPS))
 def dq_report(spark, sf_dir):
     """Counts of all bar checks by category, with examples."""
     b = m.bars(spark, sf_dir)
@@ -282,10 +293,10 @@ def insert_first(spark, sf_dir):
     return refdata.insert_new(o.filter("o_custkey % 4 = 0"), o, ["o_custkey"], F.col("o_orderkey"))
 
 
-@query()
+@query("""SELECT source, CAST(epoch(newest) AS BIGINT) AS newest_s, round(hours, 6) AS hours FROM (SELECT source, newest, (SELECT sum(greatest(least(epoch(TIMESTAMP '2024-01-31 12:00:00'), epoch(d) + 86400) - greatest(epoch(newest), epoch(d)), 0)) / 3600 FROM generate_series(date_trunc('day', newest), TIMESTAMP '2024-01-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5) AS hours
+ FROM (SELECT event_type AS source, date_trunc('second', max(ts)) AS newest FROM events WHERE ts < '2024-01-29' GROUP BY 1)) WHERE hours > CASE source WHEN 'click' THEN 100 ELSE 24 END""")
 def filing_silence(spark, sf_dir):
-    """Event types whose newest event lies more business hours back than allowed, as of the end of the log."""
-    e = m.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("published_at"))
-    return quality.silence(e.filter("published_at < '2024-01-29'"), F.lit("2024-01-31 12:00:00").cast("timestamp"), {"click": 100.0})
-
-
+    """Event types whose newest event before the 29th of January lies more business hours back than allowed two days later."""
+    e = m.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.date_trunc("second", "ts").cast("timestamp").alias("published_at"))
+    d = quality.silence(e.filter("published_at < '2024-01-29'"), F.lit("2024-01-31 12:00:00").cast("timestamp"), {"click": 100.0})
+    return d.select("source", F.unix_seconds("newest").alias("newest_s"), F.round("hours", 6).alias("hours"))
