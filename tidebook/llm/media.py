@@ -81,17 +81,38 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes
         start += size
 
 
-def run_of(data: bytes, at: int, given: dict) -> tuple[int | None, np.ndarray, np.ndarray, np.ndarray]:
+class Malformed(ValueError):
+    """Media whose boxes contradict themselves."""
+
+
+def unpack(form: str, data: bytes, at: int, end: int) -> tuple:
+    """struct.unpack_from, but nothing beyond the end of a box."""
+    if at + struct.calcsize(form) > end:
+        raise Malformed("a box ends too early")
+    return struct.unpack_from(form, data, at)
+
+
+def counted(kind: str, each: int, data: bytes, at: int, end: int) -> np.ndarray:
+    """A box's table: its number of rows at at + 4, then rows of each numbers."""
+    (n,) = unpack(">I", data, at + 4, end)
+    if n * each * np.dtype(kind).itemsize > end - at - 8:
+        raise Malformed("a table is longer than its box")
+    return np.frombuffer(data, kind, n * each, at + 8).astype(np.int64)
+
+
+def run_of(data: bytes, at: int, stop: int, given: dict) -> tuple[int | None, np.ndarray, np.ndarray, np.ndarray]:
     """Of a trun box: its data offset if it has one, and durations, sizes and flags of its samples; given: what holds where it is silent."""
-    flags, n = struct.unpack_from(">II", data, at)
+    flags, n = unpack(">II", data, at, stop)
     flags &= 0xFFFFFF
     at += 8
     offset = first = None
     if flags & 1:
-        offset, at = struct.unpack_from(">i", data, at)[0], at + 4
+        offset, at = unpack(">i", data, at, stop)[0], at + 4
     if flags & 4:
-        first, at = struct.unpack_from(">I", data, at)[0], at + 4
+        first, at = unpack(">I", data, at, stop)[0], at + 4
     has = [k for k, bit in (("duration", 0x100), ("size", 0x200), ("flags", 0x400), ("shift", 0x800)) if flags & bit]
+    if n > len(data) or 4 * n * len(has) > stop - at:
+        raise Malformed("more samples than bytes")
     rows = np.frombuffer(data, ">u4", n * len(has), at).reshape(n, len(has)).astype(np.int64)
     duration, size, own = (rows[:, has.index(k)] if k in has else np.full(n, given[k], np.int64) for k in ("duration", "size", "flags"))
     if first is not None and n and "flags" not in has:
@@ -107,21 +128,21 @@ def fragments(data: bytes) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray
     for path, a, b in boxes(data):
         kind = path[-1]
         if kind == b"trex":
-            number, _, *rest = struct.unpack_from(">5I", data, a + 4)
+            number, _, *rest = unpack(">5I", data, a + 4, b)
             preset[number] = dict(zip(("duration", "size", "flags"), rest, strict=True))
         elif kind == b"moof":
             long = a >= 16 and data[a - 16 : a - 8] == struct.pack(">I4s", 1, b"moof")
             moof = end = a - (16 if long else 8)
         elif kind == b"tfhd":
-            flags, number = struct.unpack_from(">II", data, a)
+            flags, number = unpack(">II", data, a, b)
             given, at = dict(preset.get(number, {"duration": 0, "size": 0, "flags": 0})), a + 8
             base = moof if flags & 0x20000 else end
             for bit, key, form in ((1, "base", ">Q"), (2, "entry", ">I"), (8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I")):
                 if flags & bit:
-                    given[key], at = struct.unpack_from(form, data, at)[0], at + struct.calcsize(form)
+                    given[key], at = unpack(form, data, at, b)[0], at + struct.calcsize(form)
             base = end = given.get("base", base)
         elif kind == b"trun":
-            offset, duration, size, own = run_of(data, a, given)
+            offset, duration, size, own = run_of(data, a, b, given)
             start = end if offset is None else base + offset
             end = start + int(size.sum())
             runs.setdefault(number, []).append((start + np.cumsum(size) - size, size, own & 0x10000 == 0, int(duration.sum())))
@@ -139,35 +160,47 @@ def tracks(data: bytes) -> list[dict]:
         if b"trak" not in path or not found:
             continue
         t = found[-1]
-        if kind == b"tkhd":
-            t["id"] = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
-        elif kind == b"mdhd":
-            t["timescale"], t["duration"] = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
+        if kind in (b"tkhd", b"mdhd"):
+            (version,) = unpack(">B", data, a, b)
+            if kind == b"tkhd":
+                (t["id"],) = unpack(">I", data, a + (20 if version else 12), b)
+            else:
+                t["timescale"], t["duration"] = unpack(">IQ" if version else ">II", data, a + (20 if version else 12), b)
         elif kind == b"hdlr":
-            t["handler"] = data[a + 8 : a + 12].decode("latin-1")
+            t["handler"] = unpack(">4s", data, a + 8, b)[0].decode("latin-1")
         elif kind == b"stsd":
-            t["codec"] = data[a + 12 : a + 16].decode("latin-1") if struct.unpack_from(">I", data, a + 4)[0] else ""
+            t["codec"] = unpack(">4s", data, a + 12, b)[0].decode("latin-1") if unpack(">I", data, a + 4, b)[0] else ""
         elif kind == b"stts":
-            t["stts"] = np.frombuffer(data, ">u4", 2 * struct.unpack_from(">I", data, a + 4)[0], a + 8).reshape(-1, 2).astype(np.int64)
+            t["stts"] = counted(">u4", 2, data, a, b).reshape(-1, 2)
         elif kind == b"stsc":
-            t["stsc"] = np.frombuffer(data, ">u4", 3 * struct.unpack_from(">I", data, a + 4)[0], a + 8).reshape(-1, 3).astype(np.int64)
+            t["stsc"] = counted(">u4", 3, data, a, b).reshape(-1, 3)
         elif kind == b"stss":
-            t["keys"] = np.frombuffer(data, ">u4", struct.unpack_from(">I", data, a + 4)[0], a + 8).astype(np.int64) - 1
+            t["keys"] = counted(">u4", 1, data, a, b) - 1
         elif kind == b"stsz":
-            size, n = struct.unpack_from(">II", data, a + 4)
-            t["sizes"] = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
+            size, n = unpack(">II", data, a + 4, b)
+            if size and n > len(data):
+                raise Malformed("more samples than bytes")
+            t["sizes"] = np.full(n, size, np.int64) if size else counted(">u4", 1, data, a + 4, b)
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = np.frombuffer(data, ">u4" if kind == b"stco" else ">u8", struct.unpack_from(">I", data, a + 4)[0], a + 8).astype(np.int64)
+            t["chunks"] = counted(">u4" if kind == b"stco" else ">u8", 1, data, a, b)
     for t in found:
-        runs, n_chunks = t["stsc"], len(t["chunks"])
+        n, n_chunks = len(t["sizes"]), len(t["chunks"])
+        runs = np.array(t["stsc"], np.int64).reshape(-1, 3)
+        ends = np.append(runs[1:, 0], n_chunks + 1)
         each = np.zeros(n_chunks, np.int64)
-        for k, (first, samples, _) in enumerate(runs):
-            each[first - 1 : runs[k + 1][0] - 1 if k + 1 < len(runs) else n_chunks] = samples
-        chunk = np.repeat(np.arange(n_chunks), each)[: len(t["sizes"])]
+        if len(runs) and n_chunks:
+            if runs[0, 0] != 1 or (ends < runs[:, 0]).any() or (ends > n_chunks + 1).any():
+                raise Malformed("runs of chunks that aren't in order")
+            each = np.repeat(runs[:, 1], ends - runs[:, 0])
+        if each.sum() > max(len(data), n) or each.sum() < n:
+            raise Malformed("chunks that don't hold the samples")
+        chunk = np.repeat(np.arange(n_chunks), each)[:n]
         before = np.concatenate([[0], np.cumsum(t["sizes"])])[:-1]
         first = np.concatenate([[0], np.cumsum(each)])[:-1]
         t["offsets"] = t["chunks"][chunk] + before[: len(chunk)] - before[np.minimum(first, max(len(before) - 1, 0))][chunk] if len(chunk) else np.empty(0, np.int64)
-        t["keys"] = np.arange(len(t["sizes"])) if t["keys"] is None else t["keys"]
+        t["keys"] = np.arange(n) if t["keys"] is None else t["keys"]
+        if len(t["keys"]) and not 0 <= t["keys"].min() <= t["keys"].max() < n:
+            raise Malformed("a keyframe that is no sample")
     more = fragments(data)
     for t in found:
         if t["id"] in more:
@@ -232,8 +265,9 @@ def read_media(df: DataFrame, column: str = "media", payload: bool = True) -> Da
 
     tracks has codec, handler, timescale, duration (in its units), numbers of samples and bytes and the byte range of
     every keyframe of every track, in sample order, movie fragments included; they come from the boxes alone. feature
-    sums up the first track; with payload, that one's samples are read back and digested too. Null media, and media
-    without a track, give nulls.
+    sums up the first track; with payload, that one's samples are read back and digested too. Null media, media without
+    a track, and malformed ones (tables longer than their boxes, runs or keyframes of samples that aren't there) give
+    nulls.
     """
     fields = T._parse_datatype_string(READ).fields
     names = [f.name for f in fields]
@@ -241,7 +275,10 @@ def read_media(df: DataFrame, column: str = "media", payload: bool = True) -> Da
     schema = T.StructType([f for f in rest.schema.fields if f.name != column] + fields)
 
     def look(data: bytes | None) -> tuple:
-        found = tracks(data) if data else []
+        try:
+            found = tracks(data) if data else []
+        except (Malformed, RecursionError):
+            found = []
         if not found:
             return (None,) * len(names)
         body = payload_of(data, found[0]) if payload else None
