@@ -20,6 +20,7 @@ MARK = "\ue000"
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _ESCAPED = re.compile(r"\\(\\?)")
+_ESCAPED_ROLE = re.compile(r"\\([\\n]?)")
 
 
 def escape(text: str) -> str:
@@ -31,6 +32,15 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def escape_role(role: str) -> str:
+    """escape(), and a line feed, which ends a role, as a backslash and n: no control string goes on with an n."""
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return _ESCAPED_ROLE.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
 def bracket(turns: list[Turn]) -> str:
     """The bracket template: user turns in [INST], system turns in <<SYS>>, assistant turns closed by </s>, others in [TURN] with their role."""
     out = ["<s>"]
@@ -42,7 +52,7 @@ def bracket(turns: list[Turn]) -> str:
         elif role == "assistant":
             out.append(f" {escape(text)} </s>")
         else:
-            out.append(f"[TURN]{escape(role)}\n{escape(text)}[/TURN]")
+            out.append(f"[TURN]{escape_role(role)}\n{escape(text)}[/TURN]")
     return "".join(out)
 
 
@@ -50,14 +60,14 @@ _PIECE = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>> (?P<system>.*?) <
 
 
 def read_bracket(text: str) -> list[Turn]:
-    """The turns of a text that bracket() made. In a role, format_chats() turns line feeds into spaces first."""
+    """The turns of a text that bracket() made."""
     turns, at = [], len("<s>")
     while at < len(text):
         m = _PIECE.match(text, at)
         if not m:
             raise ValueError(f"no turn at {at}")
         kind = m.lastgroup
-        turns.append((unescape(m["role"]), unescape(m["other"])) if kind == "other" else (kind, unescape(m[kind])))
+        turns.append((unescape_role(m["role"]), unescape(m["other"])) if kind == "other" else (kind, unescape(m[kind])))
         at = m.end()
     return turns
 
@@ -108,7 +118,7 @@ def format_chats(rows: DataFrame, template: Template = bracket, learn: str = "as
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [spans_of(template, [(t["role"].replace("\n", " "), t["text"]) for t in turns], learn) for turns in batch.column(1).to_pylist()]
+            found = [spans_of(template, [(t["role"], t["text"]) for t in turns], learn) for turns in batch.column(1).to_pylist()]
             pairs = lambda k: pa.array([[{"start": a, "end": b} for a, b in x[k]] for x in found], pair)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pairs(1), pairs(2), pa.array([x[3] for x in found], pa.int32())], names=["conv_id", "formatted", "spans", "loss", "rewritten"])
 

@@ -33,7 +33,7 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(3 + sum(length({_escaped('text')}) + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 17 WHEN 'assistant' THEN 6
-            ELSE 14 + length({_escaped('role')}) END) AS BIGINT) AS formatted_chars
+            ELSE 14 + length(replace({_escaped('role')}, chr(10), '\\n')) END) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
 
