@@ -5,46 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table
-from .urls import host_of, judge, mine, path_of, tokens_of
+from .common import joined, kept, table
+from .urls import host_of, judge, mine, path_of, stated, tokens_of
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+#: What a page's article begins with, as many characters as tell most texts apart.
+OPENING = r"(?s)<article>.*?<p>(?:<b>)?([^<]{80})"
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tokens and bad of each page of which something is known.
+
+    A page that a stated rule decides is bad if the rule blocks it. Any other one is bad if, of the labelled documents
+    that begin as its article does, half or more are of low quality or toxic.
+    """
+    pages, url = table(spark, sf_dir, "pages").select("page_id", "url", "html"), F.col("url")
+    host, path = F.coalesce(host_of(url), F.lit("")), F.coalesce(path_of(url), F.lit(""))
+    known = pages.select("page_id", tokens_of(url, host, path).alias("tokens"), stated(host, path, RULES)["action"].alias("action"), F.regexp_extract(F.coalesce("html", F.lit("")), OPENING, 1).alias("opening"))
+    bad = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max((F.col("quality") == 0).cast("int") + F.col("toxic")) > 0).cast("double").alias("bad"))
+    openings = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(80)).alias("opening")).join(bad, "doc_id")
+    openings = openings.groupBy("opening").agg((F.avg("bad") >= 0.5).alias("bad"))
+    by_text = joined(known.filter("action is null and opening != ''"), openings, "opening", "page_id").select("tokens", "bad")
+    return known.filter("action is not null").select("tokens", (F.col("action") == "block").alias("bad")).unionByName(by_text.filter("bad is not null"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page counts as bad where the label of its number says low quality or toxic."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    bad = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max((F.col("quality") == 0).cast("int") + F.col("toxic")) > 0).alias("bad"))
-    url = F.col("url")
-    labelled = pages.join(small(bad), F.col("page_id") == F.col("doc_id")).select(tokens_of(url, F.coalesce(host_of(url), F.lit("")), F.coalesce(path_of(url), F.lit(""))).alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad"))
-    return judge(pages, RULES, mine(labelled)).select("page_id", "host", "path", "rule", "verdict")
+    mined = mine(kept(labelled(spark, sf_dir), "labelled-urls"))
+    found = judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, mined)
+    return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 OP2_SQL = r"""
-WITH p AS (SELECT row_number() OVER () AS rid, page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT rid, page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH RECURSIVE p AS (SELECT row_number() OVER () AS rid, page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT rid, page_id, url, coalesce(regexp_extract(html, '<article>.*?<p>(?:<b>)?([^<]{80})', 1, 's'), '') AS opening,
+             translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
-t AS (SELECT h.*, list_distinct(list_concat(
+t AS (SELECT h.*, list_sort(list_distinct(list_concat(
         list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || regexp_replace(x, '[0-9]+', '0', 'g')),
         list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 's:' || regexp_replace(x, '[0-9]+', '0', 'g')),
-        list_transform(list_filter(regexp_extract_all(coalesce(url, ''), '[?&]([^=&#]*)', 1), lambda x: x <> ''), lambda x: 'q:' || regexp_replace(x, '[0-9]+', '0', 'g')))) AS toks FROM h),
+        list_transform(list_filter(regexp_extract_all(coalesce(url, ''), '[?&]([^=&#]*)', 1), lambda x: x <> ''), lambda x: 'q:' || regexp_replace(x, '[0-9]+', '0', 'g'))))) AS toks,
+      CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+           WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+           WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+           WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
 lab AS (SELECT doc_id, max(CAST(quality = 0 AS INT) + toxic) > 0 AS bad FROM labels GROUP BY doc_id),
-tr AS (SELECT rid, toks, coalesce(bad, false) AS bad FROM t JOIN lab ON page_id = doc_id),
+o AS (SELECT left(text, 80) AS opening, avg(CAST(bad AS INT)) >= 0.5 AS bad FROM documents JOIN lab USING (doc_id) GROUP BY 1),
+tr AS (SELECT rid, toks, rule IN ('net/', 'example.com/de/') AS bad FROM t WHERE rule IS NOT NULL
+       UNION ALL SELECT rid, toks, o.bad FROM t JOIN o USING (opening) WHERE rule IS NULL AND opening <> '' AND o.bad IS NOT NULL),
 tot AS (SELECT count(*) AS n, greatest(20, ceil(count(*) * 0.001)) AS least, avg(CAST(bad AS INT)) AS base FROM tr),
-e AS (SELECT rid, bad, unnest(toks) AS tok FROM tr),
-combos AS (
-  SELECT [tok] AS c, bad FROM e
-  UNION ALL SELECT [a.tok, b.tok], a.bad FROM e a JOIN e b ON a.rid = b.rid AND a.tok < b.tok
-  UNION ALL SELECT [a.tok, b.tok, d.tok], a.bad FROM e a JOIN e b ON a.rid = b.rid AND a.tok < b.tok JOIN e d ON a.rid = d.rid AND b.tok < d.tok),
+e AS (SELECT rid, bad, unnest(toks) AS tok, generate_subscripts(toks, 1) AS k FROM tr),
+combos AS (SELECT rid, bad, [tok] AS c, k FROM e
+           UNION ALL SELECT combos.rid, combos.bad, list_append(c, tok), e.k FROM combos JOIN e ON combos.rid = e.rid AND e.k > combos.k),
 r AS (SELECT c FROM combos, tot GROUP BY c, n, least, base
       HAVING sum(CAST(bad AS INT)) >= least AND sum(CAST(bad AS INT)) >= 0.6 * count(*) AND sum(CAST(bad AS INT)) >= 2.0 * base * count(*)),
 hit AS (SELECT DISTINCT rid FROM t, r WHERE list_has_all(t.toks, r.c)),
-s AS (SELECT page_id, host, path, t.rid, hit.rid IS NOT NULL AS mined,
-      CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
-           WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
-           WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-           WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
-      FROM t LEFT JOIN hit ON t.rid = hit.rid)
+s AS (SELECT page_id, host, path, rule, hit.rid IS NOT NULL AS mined FROM t LEFT JOIN hit ON t.rid = hit.rid)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN mined THEN 'block' ELSE 'allow' END AS verdict
 FROM s
 """
