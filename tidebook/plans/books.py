@@ -213,10 +213,11 @@ def extract_ids(spark, sf_dir):
     return m.table(spark, sf_dir, "pages").select("page_id", text.first_match(r"([0-9]+)", u).alias("number"), kind.alias("kind"))
 
 
-@query(m.sql("SELECT instrument_id, count(*) AS n, min(filing_id) AS first_id FROM filings WHERE filing_id % 3 <> 0 GROUP BY instrument_id", "filings"))
+@query(m.sql("SELECT instrument_id, count(*) AS n, min(filing_id) AS first_id FROM filings WHERE filing_id NOT IN (SELECT doc_id FROM labels) GROUP BY instrument_id", "filings"))
 def discovery_backlog(spark, sf_dir):
-    """Filings not processed yet (two in three here), by instrument; those without one are counted together."""
-    return m.filings(spark, sf_dir).filter("filing_id % 3 <> 0").groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n"), F.min("filing_id").alias("first_id"))
+    """Filings not processed yet (those without a label), by instrument; those without one are counted together."""
+    done = m.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("filing_id"))
+    return m.filings(spark, sf_dir).join(done, "filing_id", "left_anti").groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n"), F.min("filing_id").alias("first_id"))
 
 
 PAIRS = "SELECT CASE WHEN quality = 1 THEN 'relevant' ELSE 'irrelevant' END AS truth, CASE WHEN n_chars > 500 THEN 'relevant' ELSE 'irrelevant' END AS pred FROM labels l JOIN documents d ON l.doc_id = d.doc_id"

@@ -10,6 +10,7 @@ from ..operators import features as fe
 from ..operators import quality, refdata
 from ..operators.asof import align, asof
 from ..sources import market as m
+from ..storage import written
 from .features import CAL, r
 
 QUERIES, SQL = {}, {}
@@ -26,31 +27,30 @@ def query(sql: str | None = None):
 
 
 
-DAYS = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE day(o_orderdate) = 15"
-ASKED = "SELECT ticker, day FROM instruments, days"
+ASKED = "SELECT o_orderkey, ticker, CAST(o_orderdate AS DATE) AS day FROM orders JOIN instruments ON instrument_id = (o_custkey % 5 + 1) * 10 + o_orderkey % 5 + 1"
 
 
 def asked(spark, sf_dir):
-    """Every instrument on the 15th of every month in which there were orders."""
-    days = m.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).filter(F.dayofmonth("day") == 15).distinct()
-    each = m.instruments(spark, sf_dir).select("ticker").agg(F.collect_list("ticker").alias("t"))
-    return days.join(F.broadcast(each)).select(F.explode("t").alias("ticker"), "day")
+    """Every order with its instrument and day."""
+    o = m.table(spark, sf_dir, "orders").select("o_orderkey", m.owner("o_custkey", "o_orderkey").alias("instrument_id"), F.to_date("o_orderdate").alias("day"))
+    return o.join(m.instruments(spark, sf_dir).select("ticker", "instrument_id"), "instrument_id").drop("instrument_id")
 
 
-@query(m.sql("SELECT a.ticker, a.day, f.date AS bar_date, round(f.close, 9) AS close FROM asked a LEFT JOIN LATERAL (SELECT date, close FROM bars b WHERE b.ticker = a.ticker AND b.date <= a.day ORDER BY date DESC LIMIT 1) f ON true", "bars", "instruments", days=DAYS, asked=ASKED))
+@query(m.sql("SELECT a.o_orderkey, a.ticker, a.day, f.date AS bar_date, round(f.close, 9) AS close FROM asked a ASOF LEFT JOIN bars f ON a.ticker = f.ticker AND a.day >= f.date", "bars", "instruments", asked=ASKED))
 def snapshot_asof(spark, sf_dir):
     b = m.bars(spark, sf_dir).select("ticker", "date", F.col("date").alias("bar_date"), "close")
     return r(asof(asked(spark, sf_dir), b, "ticker", "day", "date", ["bar_date", "close"]), "close")
 
 
-@query(m.sql("SELECT a.ticker, a.day, f.as_of_date, f.pe, f.pb FROM asked a LEFT JOIN LATERAL (SELECT as_of_date, pe, pb FROM fundamentals b WHERE b.ticker = a.ticker AND b.as_of_date <= a.day ORDER BY as_of_date DESC LIMIT 1) f ON true", "instruments", "fundamentals", days=DAYS, asked=ASKED))
+@query(m.sql("SELECT a.o_orderkey, a.ticker, a.day, f.as_of_date, f.pe, f.pb FROM asked a ASOF LEFT JOIN fundamentals f ON a.ticker = f.ticker AND a.day >= f.as_of_date", "instruments", "fundamentals", asked=ASKED))
 def fundamentals_asof(spark, sf_dir):
     f = m.fundamentals(spark, sf_dir).withColumn("known", F.col("as_of_date"))
     return asof(asked(spark, sf_dir), f, "ticker", "day", "known", ["as_of_date", "pe", "pb"])
 
 
-@query(m.sql("SELECT a.ticker, a.day, round(f.close, 9) AS close FROM asked a LEFT JOIN LATERAL (SELECT close FROM bars b WHERE b.ticker = a.ticker AND b.date < a.day ORDER BY date DESC LIMIT 1) f ON true", "bars", "instruments", days=DAYS, asked=ASKED))
+@query(m.sql("SELECT a.o_orderkey, a.ticker, a.day, round(f.close, 9) AS close FROM asked a ASOF LEFT JOIN bars f ON a.ticker = f.ticker AND a.day > f.date", "bars", "instruments", asked=ASKED))
 def close_before(spark, sf_dir):
+    """The last close strictly before a day."""
     return r(asof(asked(spark, sf_dir), m.bars(spark, sf_dir), "ticker", "day", "date", ["close"], strict=True), "close")
 
 
@@ -61,11 +61,10 @@ def actions_next_session(spark, sf_dir):
 
 
 @query(m.sql("""SELECT c.run_id, c.date, round(coalesce(last_value(i.close IGNORE NULLS) OVER (PARTITION BY c.run_id ORDER BY c.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
- first_value(i.close IGNORE NULLS) OVER (PARTITION BY c.run_id ORDER BY c.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS close FROM curves c LEFT JOIN quoted i ON c.date = i.date""", "curves", "mkt_index", quoted="SELECT * FROM mkt_index WHERE day(date) % 7 = 0"))
+ first_value(i.close IGNORE NULLS) OVER (PARTITION BY c.run_id ORDER BY c.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS close FROM curves c LEFT JOIN mkt_index i ON c.date = i.date""", "curves", "mkt_index"))
 def benchmark_aligned(spark, sf_dir):
-    """An index that is quoted on some days only, aligned with the dates of every curve."""
-    some = m.index_bars(spark, sf_dir).filter(F.dayofmonth("date") % 7 == 0)
-    return r(align(m.curves(spark, sf_dir).select("run_id", "date"), some, "run_id"), "close")
+    """The index, aligned with the dates of every curve, some of which it isn't quoted on."""
+    return r(align(m.curves(spark, sf_dir).select("run_id", "date"), m.index_bars(spark, sf_dir), "run_id"), "close")
 
 
 @query(m.sql("SELECT ticker, max(date) AS date, round(arg_max(close, date), 9) AS close FROM bars WHERE close IS NOT NULL GROUP BY ticker", "bars"))
@@ -132,7 +131,7 @@ def price_factors(spark, sf_dir):
 @query(m.sql(f"""SELECT b.ticker, b.date, round(close * coalesce(p, 1), 9) AS close, round(high * coalesce(p, 1), 9) AS high, round(volume * coalesce(s, 1), 6) AS volume FROM bars b
  LEFT JOIN (SELECT ticker, ex_date, {FACTOR} AS p, CASE WHEN action_type = 'split' THEN value_or_ratio ELSE 1 END AS s FROM prior) f ON f.ticker = b.ticker AND b.date < f.ex_date""", "bars", "actions", prior=PRIOR))
 def back_adjusted_bars(spark, sf_dir):
-    b = m.bars(spark, sf_dir)
+    b = written(m.bars(spark, sf_dir), "bars")  # read for prices, calendar, closes and sessions
     return r(refdata.back_adjusted(b, m.actions(spark, sf_dir), fe.calendar(b)), "close", "high").withColumn("volume", F.round("volume", 6)).select("ticker", "date", "close", "high", "volume")
 
 

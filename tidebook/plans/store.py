@@ -56,10 +56,11 @@ def cache_misses(spark, sf_dir):
     return research.through_cache(f, cache)[1]
 
 
-@query(m.sql("SELECT CASE WHEN instrument_id <= 20 THEN instrument_id END AS instrument_id, count(*) AS n, min(n_chars) AS first_n FROM filings WHERE filing_id % 2 = 0 GROUP BY 1", "filings"))
+@query(m.sql("SELECT CASE WHEN instrument_id <= 20 THEN instrument_id END AS instrument_id, count(*) AS n, min(n_chars) AS first_n FROM filings WHERE filing_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1", "filings"))
 def unmapped_backlog(spark, sf_dir):
     """Waiting filings by instrument; ids above 20 stand for indices, which count as unmapped."""
-    f = m.filings(spark, sf_dir).filter("filing_id % 2 = 0").withColumn("published_at", F.col("n_chars"))
+    done = m.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("filing_id"))
+    f = m.filings(spark, sf_dir).join(done, "filing_id", "left_anti").withColumn("published_at", F.col("n_chars"))
     i = m.instruments(spark, sf_dir).select("instrument_id", (F.col("instrument_id") > 20).alias("is_index"))
     return research.backlog(f, i).withColumnRenamed("first_at", "first_n")
 
