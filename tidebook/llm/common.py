@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import scratch
+
 #: A word: a run of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows up to which a side keyed by an id is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes, in memory, and rows up to which a side keyed by an id is broadcast; beyond either the join shuffles.
+BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The folder that stands in, in tests on one machine, where no shared folder is named.
-_own: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path under the shared folder that the cluster names; it isn't created."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-        top = _own[0]
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -58,9 +43,60 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if it was counted and has at most so many (short) rows; else a join shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df, a narrow frame, for broadcast if it was counted and is small enough; else a join shuffles it.
+
+    Its size is its number of rows times the width of a row in a hash table of the join, strings at their mean length.
+    """
+    width = 48 + sum(_width(f.dataType) for f in df.schema.fields)
+    most = min(BROADCAST_ROWS, limit // width)
+    if df.limit(most + 1).count() > most:
+        return df
+    long = [F.octet_length(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    inside = [F.aggregate(f.name, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0))) for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType)]
+    if long or inside:
+        total = sum((F.coalesce(F.sum(x), F.lit(0)) for x in [*long, *inside]), F.count(F.lit(1)) * width)
+        if df.agg(total.alias("n")).first()["n"] > limit:
+            return df
+    return F.broadcast(df)
+
+
+def _width(kind: T.DataType) -> int:
+    """Bytes of a value in a row of Spark, without what a string or an array of strings holds."""
+    return 16 + sum(_width(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else 8
+
+
+#: Parts into which rows of one key are dealt, so that no task gets all the rows of a hot one.
+SALTS = 64
+
+
+def _salted(df: DataFrame, spread: str) -> DataFrame:
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+
+
+def with_least(df: DataFrame, by: str, value: str, name: str, spread: str) -> DataFrame:
+    """df with name: the least value of each group by. The rows of a group are dealt into SALTS parts by the column spread.
+
+    Each part's least is found first, then that of the parts, which goes back to them: so a group of any size is at most
+    SALTS rows in one task.
+    """
+    rows = _salted(df, spread)
+    parts = rows.groupBy(by, "_salt").agg(F.min(value).alias("_part"))
+    whole = parts.groupBy(by).agg(F.min("_part").alias(name))
+    return rows.join(parts.select(by, "_salt").join(whole, by), [by, "_salt"]).drop("_salt")
+
+
+def joined(df: DataFrame, side: DataFrame, key: str, spread: str) -> DataFrame:
+    """df joined with side, which has one row for a key; df may have many for one.
+
+    A side of a checked size is broadcast. A larger one goes to the parts, dealt by the column spread, that the rows of a
+    key have, so that a hot key's rows are spread over SALTS tasks.
+    """
+    marked = small(side)
+    if marked is not side:
+        return df.join(marked, key)
+    rows = _salted(df, spread)
+    return rows.join(rows.select(key, "_salt").distinct().join(side, key), [key, "_salt"]).drop("_salt")
 
 
 def text_of(column: str = "text") -> Column:
@@ -87,18 +123,22 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def take_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+def take_rows(docs: DataFrame, chosen: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows of docs as often as chosen says.
 
-    chosen has a row for each pair of doc_id and text_key of docs that is to stay: doc_id, key, rows (how many rows of
-    docs have that pair) and copies (how many shall come out). Pairs with one row, nearly all, go straight through the
-    join; of the others one row is kept and multiplied.
+    chosen has a row for each combination of doc_id, text_key of docs and the columns by that is to stay: doc_id, key,
+    by, rows (how many rows of docs have that combination) and copies (how many shall come out). Combinations with one
+    row, nearly all, go straight through the join; of the others the least row is kept and multiplied.
     """
+    by = by or []
     d = docs.withColumn("_key", text_key())
-    c = chosen.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("rows").alias("_rows"), F.col("copies").alias("_copies"))
-    j = d.join(c, d["doc_id"].eqNullSafe(c["_id"]) & (d["_key"]["a"] == c["_k"]["a"]) & (d["_key"]["b"] == c["_k"]["b"]))
-    single = j.filter("_rows = 1")
-    several = j.filter("_rows > 1").dropDuplicates(["_id", "_k"])
+    c = chosen.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("rows").alias("_rows"), F.col("copies").alias("_copies"), *[F.col(x).alias(f"_by_{x}") for x in by])
+    same = d["doc_id"].eqNullSafe(c["_id"]) & (d["_key"]["a"] == c["_k"]["a"]) & (d["_key"]["b"] == c["_k"]["b"])
+    for x in by:
+        same = same & d[x].eqNullSafe(c[f"_by_{x}"])
+    j = d.join(c, same)
+    single = j.filter("_rows = 1").select(*docs.columns, "_copies")
+    several = j.filter("_rows > 1").groupBy("_id", "_k", *[f"_by_{x}" for x in by]).agg(F.min(F.struct(*docs.columns)).alias("_row"), F.any_value("_copies").alias("_copies")).select("_row.*", "_copies")
     out = single.unionByName(several).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return out.select(*docs.columns)
 

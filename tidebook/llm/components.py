@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, kept
+from .common import forget, kept, with_least
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Links every node's neighbours to the least of them: the larger neighbours, or the smaller ones and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("center"), F.least("a", "m").alias("m"))
-    j = both.join(least, F.col("a") == F.col("center"))
+    j = with_least(both, "a", "b", "low", "b").select("a", "b", F.least("a", "low").alias("m"))
     if large:
         return j.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
     out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(j.select("a", F.col("m").alias("b")))
@@ -22,8 +21,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b); a component is named by its least node.
 
-    Each round is a groupBy and a join; nothing is gathered on the driver but a count and a checksum. The number of
-    rounds grows with the logarithm of the number of nodes.
+    Each round is a groupBy and a join, with the links of a hub in several parts; nothing is gathered on the driver but
+    a count and a checksum. The number of rounds grows with the logarithm of the number of nodes.
     """
     pair = F.when(F.col("a") > F.col("b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = kept(links.filter("a != b").select(pair.alias("p")).select("p.a", "p.b").distinct(), "links")

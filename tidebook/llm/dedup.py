@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small, text_key, texts
+from .common import joined, kept, small, text_key, texts, with_least
 from .components import components
 from .shingles import chunks, mix, shingles
 
@@ -124,21 +124,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     distinct = kept(all_rows.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "texts")
     each = distinct.select("key", F.explode("bands").alias("band"))
     hit = each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = kept(each.join(hit, "band"), "buckets")
+    met = kept(joined(each, hit, "band", "key"), "buckets")
     rows = kept(met.select("key", "band").join(met.groupBy("key").agg(F.sum("n").alias("meets")), "key"), "bucket-rows")
     lead = rows.groupBy("band").agg(F.max(F.struct("meets", "key")).alias("top")).select("band", F.col("top.key").alias("leader"))
-    pairs = kept(rows.join(lead, "band").filter("key != leader").select(F.col("key").alias("one"), F.col("leader").alias("two")).distinct(), "pairs")
-    sets = kept(all_rows.select("key", "set").join(small(rows.select("key").distinct()), "key").dropDuplicates(["key"]), "sets")
+    pairs = kept(joined(rows, lead, "band", "key").filter("key != leader").select(F.col("key").alias("one"), F.col("leader").alias("two")).distinct(), "pairs")
+    sets = kept(joined(all_rows.select("key", "set", "doc_id"), rows.select("key").distinct(), "key", "doc_id").groupBy("key").agg(F.any_value("set").alias("set")), "sets")
     judged = kept(compared(pairs, sets), "compared")
 
     linked = lambda d: d.filter(F.col("jac") >= least - 1e-9).select(F.col("one").alias("a"), F.col("two").alias("b"))
     links = linked(judged)
     labels = kept(components(links), "labels")
-    sides = rows.join(lead, "band").join(judged.select(F.col("one").alias("key"), F.col("two").alias("leader"), "jac"), ["key", "leader"], "left")
+    sides = joined(rows, lead, "band", "key").join(judged.select(F.col("one").alias("key"), F.col("two").alias("leader"), "jac"), ["key", "leader"], "left")
     sides = sides.join(small(labels.withColumnRenamed("node", "key")), "key", "left").select("band", "key", F.coalesce("jac", F.lit(1.0)).alias("jac"), F.coalesce("component", "key").alias("c"))
     apart = sides.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("band")
     marks = distinct.select("key", "bits", F.transform("bands", lambda x: F.hash(x)).alias("marks"))
-    left = kept(sides.join(apart, "band").join(marks, "key"), "apart")
+    left = kept(joined(sides, apart, "band", "key").join(marks, "key"), "apart")
     right = left.select("band", *[F.col(c).alias(f"{c}_") for c in ("key", "jac", "c", "bits", "marks")])
     equal = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_")[k])) for k in range(BITS * COMPONENTS // 64)), F.lit(0))
     most = int(BITS * COMPONENTS * (1 - least + MARGIN) / 2)
@@ -152,9 +152,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
 
     degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     classed = distinct.select("key", "least_id").join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left").select("key", "least_id", F.coalesce("component", "key").alias("c"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    heads = classed.groupBy("c").agg(F.min("least_id").alias("class_id"))
-    by_text = kept(classed.join(heads, "c").select("key", "n_links", "class_id", F.col("c").alias("class_key")), "classes")
-    return all_rows.select("doc_id", "text_key", "key").join(small(by_text), "key").drop("key")
+    by_text = kept(with_least(classed, "c", "least_id", "class_id", "key").select("key", "n_links", "class_id", F.col("c").alias("class_key")), "classes")
+    return joined(all_rows.select("doc_id", "text_key", "key"), by_text, "key", "doc_id").drop("key")
 
 
 def firsts(found: DataFrame) -> DataFrame:
