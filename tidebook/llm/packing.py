@@ -88,8 +88,9 @@ def pack(pieces: DataFrame, length: int = 1024, max_docs: int = 1024, max_cost:
     Each sequence keeps three capacities: length tokens, max_docs pieces and max_cost attention (the sum of squared
     lengths; none: length squared). Pieces that fill a sequence have one alone. The others are dealt by hash into blocks
     of about block pieces, each packed by best_fit() in one task; sequences that stayed at most half full in every
-    capacity, one or two of a block, are opened again and packed together, until they make up a single block.
-    An empty input gives an empty result.
+    capacity, one or two of a block, are opened again and packed together, until they make up a single block or a round
+    leaves as many as it got. Equal pieces go by their row, so repeated documents are packed like any others; other
+    columns than the five are not kept. An empty input gives an empty result.
     """
     max_cost = float(length) ** 2 if max_cost is None else float(max_cost)
     capacity = (length, max_docs, max_cost)
@@ -110,13 +111,13 @@ def pack(pieces: DataFrame, length: int = 1024, max_docs: int = 1024, max_cost:
     held = kept(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     whole = held.filter(F.col("length") >= length).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    done, rest, level = [whole], held.filter(F.col("length") < length), 0
+    done, rest, level, before = [whole], held.filter(F.col("length") < length), 0, -1
     while True:
         n = rest.count()
         blocks = max(1, -(-n // block))
         dealt = rest.select(*columns, "row", F.pmod(F.xxhash64(F.lit(level), "row"), F.lit(blocks)).alias("block"))
         out = kept(dealt.groupBy("block").applyInArrow(packed, schema), "packed")
-        last = blocks == 1 or level == 8
+        last, before = blocks == 1 or n == before, n
         done.append((out if last else out.filter("not loose")).select(*columns, (F.lit(level << 56) + F.col("block") * (1 << 28) + F.col("bin")).alias("sequence_id"), "offset"))
         if last:
             break
