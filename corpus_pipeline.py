@@ -11,18 +11,27 @@ from tidebook.llm.common import kept, table, take_rows
 from tidebook.llm.q_toxicity import THRESHOLD, held_out
 
 
+def aside(docs: DataFrame, used: list[str]) -> DataFrame:
+    """docs with all columns but the used ones in a struct, so that an operator can't take them for its own."""
+    return docs.select(*used, F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in used]).alias("_kept"))
+
+
+def back(found: DataFrame, docs: DataFrame, used: list[str]) -> DataFrame:
+    return found.select(*[F.col(c) if c in used else F.col("_kept")[c].alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold stay; empty and null texts do."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out())
-    scored = toxicity.score(docs.withColumn("_kept", F.struct(*docs.columns)).select("text", "_kept"), index)
-    return scored.filter(F.col("score") < THRESHOLD).select("_kept.*")
+    scored = toxicity.score(aside(docs, ["text"]), index)
+    return back(scored.filter(F.col("score") < THRESHOLD), docs, ["text"])
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's fence stay."""
-    own = docs.withColumn("_kept", F.struct(*docs.columns)).select("doc_id", "text", "lang", "_kept")
-    judged = perplexity.judge(own, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return judged.filter("trusted_like").select("_kept.*")
+    used = ["doc_id", "text", "lang"]
+    judged = perplexity.judge(aside(docs, used), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return back(judged.filter("trusted_like"), docs, used)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +42,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or more."""
     found = mixing.mix(docs.select("doc_id", "text", "source"))
-    chosen = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
-    return take_rows(docs, chosen)
+    chosen = found.groupBy("doc_id", "key", "source").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+    return take_rows(docs, chosen, ["source"])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +59,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Trained models, signatures and a tokenizer are beyond SQL; tests hold the stages against brute force instead.
+#: Trained models, signatures and a tokenizer are beyond SQL; tests hold each stage's decisions against brute force instead.
 ORACLE_SQL = None
 
 
