@@ -9,8 +9,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.operators import desk, gates, load, records
+from tidebook.functions import text
+from tidebook.operators import collect, desk, gates, load, records, universe
 from tidebook.plans import catalogue
+from tidebook.sources import files
 
 SF = "/root/testdata/sf0.001"
 DAY = lambda x: dt.date.fromisoformat(x)
@@ -135,3 +137,36 @@ def test_a_backup_that_cannot_be_restored_is_named(spark):
 @pytest.mark.parametrize("name", ["books_overview", "paper_gate", "service_status"])
 def test_queries_keep_their_columns(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_feeds_of_both_kinds_and_zones(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<rss><channel><item><title> T </title><guid>g</guid><pubDate>Mon, 06 May 2024 09:00:00 +0100</pubDate></item><item><title>U</title><link>l</link><guid> </guid><pubDate>soon</pubDate></item></channel></rss>")
+    (tmp_path / "b.xml").write_text('<feed><entry><title>A</title><id>i</id><link rel="self" href="s"/><link href="h"/><updated>2024-05-06T09:00:00Z</updated></entry><entry><title></title><id>j</id><updated>2024-05-06T09:00:00Z</updated></entry></feed>')
+    utc = lambda d: {r["title"]: (r["dedup_key"], r["link"], str(r["t"])) for r in d.withColumn("t", F.date_format("published_at", "HH:mm")).collect()}
+    assert utc(files.feed_items(spark, str(tmp_path))) == {"T": ("g", None, "08:00"), "A": ("i", "h", "09:00")}
+    assert utc(files.feed_items(spark, str(tmp_path), "Europe/Warsaw")) == {"T": ("g", None, "07:00"), "A": ("i", "h", "07:00")}
+    key = spark.range(1).select(text.item_key(F.lit(" "), F.lit("l"), F.lit("x")), text.item_key(F.lit(None).cast("string"), F.lit(""), F.lit("x"))).first()
+    assert key[0] == "l" and key[1] == hashlib.sha256(b"x\0").hexdigest()
+
+
+def test_a_cycle_is_sound_only_if_all_feeds_are(spark):
+    state = frame(spark, [(1, dt.datetime(2024, 1, 1), None, "old")], "id int, last_success timestamp, last_error timestamp, message string")
+    at = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    done = lambda rows: collect.beacon(state, frame(spark, rows, "feed string, status string"), at).first()
+    assert done([("a", "ok"), ("b", "ok")])["last_success"] == dt.datetime(2024, 1, 2)
+    for rows in ([("a", "ok"), ("b", "skipped")], []):
+        r = done(rows)
+        assert r["last_success"] == dt.datetime(2024, 1, 1) and r["last_error"] == dt.datetime(2024, 1, 2)
+
+
+def test_scans_and_modes(spark):
+    prices = frame(spark, [(1, DAY("2024-01-02"), DAY("2024-01-02"), 1.0, False), (1, DAY("2024-01-02"), DAY("2024-01-05"), 2.0, True), (2, DAY("2024-01-02"), DAY("2024-01-02"), 3.0, False)], "instrument_id int, date date, as_of_date date, close double, adjusted boolean")
+    names = frame(spark, [(1, "A", None), (2, "I", True)], "instrument_id int, ticker string, is_index boolean")
+    assert [r["close"] for r in universe.price_scan(prices, names).collect()] == [1.0]
+    at = lambda x: F.lit(x).cast("date")
+    assert universe.prices_asof(prices, 1, at("2024-01-04"), adjusted=True).isEmpty() and universe.prices_asof(prices, 1, at("2024-01-05"), adjusted=True).count() == 1
+    assert universe.close_series(prices, names, "I").first()["close"] == 3.0 and universe.close_series(prices, names, "no").isEmpty()
+    d = names.select("ticker")
+    assert universe.of_mode(d, d.limit(1), "config").count() == 1 and universe.of_mode(d, d.limit(1), "full").count() == 2
+    with pytest.raises(ValueError):
+        universe.of_mode(d, d, "half")

@@ -196,7 +196,7 @@ def test_files(spark, tmp_path):
     assert files.intraday_json(d, "ticker").count() == 1
     index = spark.createDataFrame([('[{"data":[{"t":1704150000,"o":0,"h":2,"l":1,"c":3}]}]',)], "value string")
     assert one(files.index_json(index), "open", "close") == [(3.0, 3.0)]
-    (tmp_path / "f.xml").write_text("<rss><channel><item><title>T</title><guid>g</guid><pubDate>p</pubDate></item><item><title> </title></item></channel></rss>")
+    (tmp_path / "f.xml").write_text("<rss><channel><item><title>T</title><guid>g</guid><pubDate>Mon, 06 May 2024 09:00:00 +0200</pubDate></item><item><title> </title></item></channel></rss>")
     assert one(files.feed_items(spark, str(tmp_path / "f.xml")), "title", "guid") == [("T", "g")]
 
 

@@ -52,8 +52,17 @@ def channel(default: Column, *texts: Column) -> Column:
     return F.when(whole.rlike(r"(?i)\bESPI\b"), "ESPI").when(whole.rlike(r"(?i)\bEBI\b"), "EBI").otherwise(default)
 
 
-def published_at(raw: Column) -> Column:
-    """The instant of an ISO or mail-style time; without a zone, and for CET and CEST, it is Warsaw time. Null if neither."""
+def published_at(raw: Column, zone: str | None = None) -> Column:
+    """The instant of an ISO or mail-style time; without a zone, and for CET and CEST, it is Warsaw time. Null if neither.
+
+    zone: for feeds whose offsets are decoration; what the clock shows is then a time of that zone.
+    """
+    if zone is not None:
+        bare = F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3},\s*", "")
+        wall = F.regexp_replace(bare, r"(?i)(?:\s*(?:CET|CEST|GMT|UTC|UT|Z)|\s*[+-]\d{2}:?\d{2})$", "")
+        wall = F.regexp_replace(wall, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2})?)(?:\.\d+)?$", "$1 $2")
+        forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm")
+        return F.coalesce(*[F.to_utc_timestamp(F.try_to_timestamp(wall, F.lit(f)), zone) for f in forms])
     bare = F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3},\s*", "")
     named = F.regexp_replace(bare, r"\s+(CET|CEST)$", "")
     zoned = F.regexp_replace(bare, r"\s+(GMT|UTC|UT|Z)$", " +0000")
@@ -63,6 +72,12 @@ def published_at(raw: Column) -> Column:
     return F.coalesce(exact, local)
 
 
+def item_key(guid: Column, link: Column, *parts: Column) -> Column:
+    """What an item is known by: its guid, else its link, else the hash of its parts; blanks count as none."""
+    some = lambda x: F.nullif(F.trim(x), F.lit(""))
+    return F.coalesce(some(guid), some(link), content_hash(*parts))
+
+
 def end_of_day(date: Column) -> Column:
     """The last second of a Warsaw day, as an instant."""
     return F.to_utc_timestamp(F.date_add(date, 1).cast("timestamp"), ZONE) - F.expr("INTERVAL 1 SECOND")

@@ -80,6 +80,13 @@ def unrealised(open_: DataFrame) -> DataFrame:
     return open_.groupBy("user_id").agg(F.sum(F.coalesce("pnl", F.lit(0.0))).alias("unrealised"))
 
 
+def exposures(open_: DataFrame, by: str) -> DataFrame:
+    """user_id, by, worth, share: the value of open_positions() by ticker or sector, and its share of the book's holdings."""
+    d = open_.groupBy("user_id", by).agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("worth"))
+    whole = F.sum("worth").over(Window.partitionBy("user_id"))
+    return d.withColumn("share", F.col("worth") / F.nullif(whole, F.lit(0.0)))
+
+
 def turnover(trades: DataFrame, equity: DataFrame) -> DataFrame:
     """run_id, turnover: what was bought over the mean equity; 0 without purchases or with a mean that isn't above 0."""
     bought = trades.filter("side = 'BUY'").groupBy("run_id").agg(F.sum(F.col("qty") * F.col("price")).alias("bought"))

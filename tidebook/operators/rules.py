@@ -6,7 +6,7 @@ import operator
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPS = {"gt": operator.gt, "lt": operator.lt, "gte": operator.ge, "lte": operator.le, "eq": operator.eq}
@@ -78,3 +78,13 @@ def without_model_features(strategy: dict[str, Any]) -> dict[str, Any] | None:
     """
     left = {k: [r for r in v if not of_model(features_read(r))] for k, v in (strategy.get("entry") or {}).items()}
     return strategy | {"entry": left} if any(left.values()) else None
+
+
+def radar(features: DataFrame, strategy: dict[str, Any], score: str = "llm_score") -> DataFrame:
+    """date, permit, veto, no_score: of the rows that would enter without the model's conditions, how many the whole rule lets
+    in, how many a score keeps out, and how many have no score. No row if nothing is left without these conditions."""
+    plain = without_model_features(strategy)
+    if plain is None:
+        return features.select("date").limit(0).selectExpr("date", "0L as permit", "0L as veto", "0L as no_score")
+    d = features.filter(clause(plain["entry"])).select("date", clause(strategy["entry"]).alias("in"), F.col(score).isNull().alias("none"))
+    return d.groupBy("date").agg(F.count_if(F.col("in")).alias("permit"), F.count_if(~F.col("in") & ~F.col("none")).alias("veto"), F.count_if(~F.col("in") & F.col("none")).alias("no_score"))

@@ -60,3 +60,26 @@ def first_new(found: DataFrame, curated: DataFrame, most: int) -> DataFrame:
     known = found.join(curated.select("ticker"), "ticker", "left_semi")
     others = found.join(curated.select("ticker"), "ticker", "left_anti").orderBy("first_at", "ticker").limit(most)
     return known.unionByName(others)
+
+
+def price_scan(prices: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Raw bars of all instruments that are no index."""
+    own = instruments.filter(~F.coalesce("is_index", F.lit(False))).select("instrument_id")
+    return prices.filter(~F.col("adjusted")).join(own, "instrument_id", "left_semi")
+
+
+def prices_asof(prices: DataFrame, instrument_id: int, as_of: Column, adjusted: bool = False) -> DataFrame:
+    """Bars of an instrument that were known by as_of; the filters reach the files."""
+    return prices.filter((F.col("instrument_id") == instrument_id) & (F.col("adjusted") == adjusted) & (F.col("as_of_date") <= as_of))
+
+
+def close_series(prices: DataFrame, instruments: DataFrame, ticker: str) -> DataFrame:
+    """date, close of a ticker's raw bars; no row for an unknown one."""
+    return prices.filter(~F.col("adjusted")).join(instruments.filter(F.col("ticker") == ticker).select("instrument_id"), "instrument_id", "left_semi").select("date", "close")
+
+
+def of_mode(bars: DataFrame, whitelist: DataFrame, mode: str) -> DataFrame:
+    """Bars of the listed tickers (mode config) or of all (full)."""
+    if mode not in ("config", "full"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return bars if mode == "full" else bars.join(whitelist.select("ticker"), "ticker", "left_semi")

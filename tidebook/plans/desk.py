@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import desk, gates, load, metrics, records
+from ..functions import text
+from ..operators import collect, desk, gates, load, metrics, records, rules, universe
+from ..operators import features as fe
+from ..operators.asof import asof
 from ..sources import market as m
 from .books import METRICS, STEPS
-from .features import r
+from .features import ENTER, PANEL, TR, r
 
 QUERIES, SQL = {}, {}
 
@@ -75,6 +78,13 @@ def unrealised_profit(spark, sf_dir):
     return r(desk.unrealised(open_rows(spark, sf_dir)), "unrealised", places=2)
 
 
+@query(m.sql("SELECT user_id, sector, round(worth, 2) AS worth, round(worth / nullif(sum(worth) OVER (PARTITION BY user_id), 0), 8) AS share FROM (SELECT o.user_id, i.sector, sum(coalesce(value, 0)) AS worth FROM o JOIN instruments i ON o.instrument_id = i.instrument_id GROUP BY 1, 2)", "bars", "instruments", "positions", last=LAST, o=OPEN))
+def sector_exposure(spark, sf_dir):
+    """What open positions of each sector are worth, and their share of the book's holdings."""
+    d = open_rows(spark, sf_dir).join(m.instruments(spark, sf_dir).select("instrument_id", "sector"), "instrument_id")
+    return r(r(desk.exposures(d, "sector"), "worth", places=2), "share", places=8)
+
+
 @query(m.sql("SELECT ticker, side, count(*) AS n, sum(qty) AS qty FROM (SELECT instrument_id, CASE WHEN id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, id % 9 AS qty FROM paper_orders) o JOIN instruments USING (instrument_id) GROUP BY 1, 2", "instruments", "paper_orders"))
 def orders_by_name(spark, sf_dir):
     o = m.paper_orders(spark, sf_dir).select("instrument_id", F.when(F.col("id") % 2 == 0, "BUY").otherwise("SELL").alias("side"), (F.col("id") % 9).alias("qty"))
@@ -294,3 +304,30 @@ def refdata_load(spark, sf_dir):
     b = m.bars(spark, sf_dir)
     adjusted, bad = load.refdata(b, acts, m.instruments(spark, sf_dir), b.select("ticker", "date"))
     return adjusted.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).withColumn("bad", F.lit(bad.count()).cast("long"))
+
+
+@query(m.sql("SELECT date, count(*) FILTER (score > 0) AS permit, count(*) FILTER (score <= 0) AS veto, count(*) FILTER (score IS NULL) AS no_score FROM (SELECT p.date, f.pe - 20 AS score FROM p ASOF LEFT JOIN fundamentals f ON p.ticker = f.ticker AND p.date >= f.as_of_date WHERE " + ENTER + ") GROUP BY date", "bars", "fundamentals", tr=TR, p=PANEL))
+def radar_counts(spark, sf_dir):
+    """Of the names that would enter by price alone, how many a score lets in, keeps out, or doesn't know."""
+    gated = rules.TREND | {"entry": {"all": [*rules.TREND["entry"]["all"], {"feature": "llm_score", "op": "gt", "value": 0.0}]}}
+    scores = m.fundamentals(spark, sf_dir).select("ticker", F.col("as_of_date").alias("known"), (F.col("pe") - 20).alias("llm_score"))
+    return rules.radar(asof(fe.averages(fe.returns(m.bars(spark, sf_dir))), scores, "ticker", "date", "known", ["llm_score"]), gated)
+
+
+@query(m.sql("SELECT ticker, count(*) AS n, round(arg_max(close, date), 9) AS close FROM bars JOIN instruments USING (ticker) WHERE instrument_id % 9 <> 0 AND date <= DATE '1997-06-30' GROUP BY ticker", "bars", "instruments"))
+def price_scan(spark, sf_dir):
+    """Raw bars that were known on a day, without those of indices (numbers divisible by nine)."""
+    i = m.instruments(spark, sf_dir).withColumn("is_index", F.col("instrument_id") % 9 == 0)
+    b = m.bars(spark, sf_dir).join(i.select("ticker", "instrument_id"), "ticker").withColumns({"adjusted": F.lit(False), "as_of_date": F.col("date")})
+    known = universe.price_scan(b, i).filter(F.col("as_of_date") <= F.lit("1997-06-30").cast("date"))
+    return r(known.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max_by("close", "date").alias("close")), "close")
+
+
+@query("SELECT doc_id AS filing_id FROM (SELECT *, row_number() OVER (PARTITION BY source, n_chars % 50, lang ORDER BY doc_id) AS k FROM (SELECT doc_id, source, lang, n_chars, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) AS first FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents d JOIN labels l ON d.doc_id = l.doc_id)) WHERE first = 1 AND (source, n_chars % 50, lang) NOT IN (SELECT source, n_chars % 50, lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id)) WHERE k = 1")
+def collector_cycle(spark, sf_dir):
+    """Documents as items of feeds, of which the labelled ones are stored: what a cycle adds, each text and each report once."""
+    d = m.table(spark, sf_dir, "documents")
+    key = text.item_key(F.lit(" "), F.lit(None).cast("string"), F.col("text"))
+    items = d.select(F.col("doc_id").alias("filing_id"), F.lit(0).alias("feed_ord"), F.col("doc_id").alias("pos"), key.alias("dedup_key"), F.col("source").alias("isin"), (F.col("n_chars") % 50).cast("string").alias("report_no"), F.col("lang").alias("kind"), F.col("doc_id").alias("published_at"))
+    stored = items.join(m.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("filing_id")), "filing_id", "left_semi")
+    return collect.cycle(items, stored).select("filing_id")

@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import item_key, published_at
+
 #: Headers of daily files and of session grids.
 EOD_HEADERS = {"data": "date", "date": "date", "otwarcie": "open", "open": "open", "najwyzszy": "high", "high": "high", "najnizszy": "low", "low": "low", "zamkniecie": "close", "close": "close", "wolumen": "volume", "volume": "volume"}
 GRID_COLUMNS = ("date", "name", "isin", "currency", "open", "high", "low", "close", "change", "volume")
@@ -82,11 +84,19 @@ def intraday_json(payloads: DataFrame, key: str, column: str = "value", drop_las
     return d.select(key, F.timestamp_seconds("t").alias("bar_start"), "open", "high", "low", "close", "volume")
 
 
-def feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """title, link, guid, published_raw, description of the items of RSS files; items without a title are left out."""
-    schema = "title string, link string, guid string, pubDate string, description string"
-    d = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    return d.filter("trim(title) <> ''").select(F.trim("title").alias("title"), "link", "guid", F.col("pubDate").alias("published_raw"), "description")
+def feed_items(spark: SparkSession, path: str, zone: str | None = None) -> DataFrame:
+    """title, link, guid, published_raw, published_at, description, dedup_key of the items of RSS and of Atom files.
+
+    Items without a title, or with a time that can't be read, are left out. zone: see published_at().
+    """
+    rss = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, guid string, pubDate string, description string").load(path)
+    rss = rss.select("title", "link", "guid", F.col("pubDate").alias("published_raw"), "description")
+    atom = spark.read.format("xml").option("rowTag", "entry").schema("title string, link array<struct<_href:string,_rel:string>>, id string, published string, updated string, summary string").load(path)
+    own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    atom = atom.select("title", F.get(own, F.lit(0))["_href"].alias("link"), F.col("id").alias("guid"), F.coalesce("published", "updated").alias("published_raw"), F.col("summary").alias("description"))
+    d = rss.unionByName(atom).filter("trim(title) <> ''").withColumn("title", F.trim("title"))
+    at = published_at(F.col("published_raw"), zone)
+    return d.withColumns({"published_at": at, "dedup_key": item_key(F.col("guid"), F.col("link"), F.col("title"), F.col("published_raw"), F.col("description"))}).filter("published_at is not null")
 
 
 def fundamentals_csv(spark: SparkSession, path: str, instruments: DataFrame) -> DataFrame:
