@@ -11,6 +11,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,7 +68,7 @@ class Index:
         size = len(labels)
         x = (1.0 + np.log(n)) * idf[term]
         norm = np.sqrt(np.bincount(example, x * x, size))
-        x = np.where(norm[example] > 0, x / np.maximum(norm[example], 1e-300), 0.0)
+        x /= np.maximum(norm, 1e-300)[example]
         n_terms, commonest = np.bincount(example, minlength=size), np.full(size, -1)
         by_n = np.lexsort((term, n))  # the commonest term tells languages apart
         commonest[example[by_n]] = term[by_n]
@@ -81,8 +82,9 @@ class Index:
         self.block_label = self.labels[::block]
         p = at[example]
         self.telling_norm = np.sqrt(np.bincount(p, telling[term] * x**2, total))
-        o = np.lexsort((p, term))
-        term, p, x = term[o], p[o], x[o].astype(np.float32)
+        o = np.lexsort((p, term)).astype(np.int32)
+        term, p, x = term[o], p[o].astype(np.int32), x[o].astype(np.float32)
+        del o
         lists = np.bincount(term, minlength=len(vocabulary))
         long = np.flatnonzero(lists >= max(1.0, long_share * size))
         self.row = np.full(len(vocabulary), -1, np.int32)
@@ -264,9 +266,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int,
     flat = rows_of["words"].combine_chunks().flatten().dictionary_encode()
     for w in flat.dictionary.to_pylist():
         number[w] = next(fresh)
-    term = flat.indices.to_numpy().astype(np.int64)
-    example = np.repeat(np.arange(len(label)), [len(x) for x in rows_of["counts"]])
-    n = rows_of["counts"].combine_chunks().flatten().to_numpy().astype(float)
+    term = flat.indices.to_numpy().astype(np.int32)
+    example = np.repeat(np.arange(len(label), dtype=np.int32), pc.list_value_length(rows_of["counts"]).to_numpy())
+    n = rows_of["counts"].combine_chunks().flatten().to_numpy().astype(np.float32)
+    ids = rows_of["doc_id"].to_numpy().copy()
+    del rows_of, flat  # the driver holds numbers only from here on
+    pa.default_memory_pool().release_unused()
     known = spark.sparkContext.broadcast(number)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +290,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int,
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1]))
     with_1, with_0 = (np.bincount(term[label[example] == y], minlength=len(number)) for y in (1, 0))
     telling = telling_part(with_1, with_0, n1, len(label) - n1)
-    index = Index.build(number, idf, telling, label, rows_of["doc_id"].to_numpy(), example, term, n)
+    index = Index.build(number, idf, telling, label, ids, example, term, n)
+    del example, term, n
+    known.unpersist()
     index.prior = prior
     shared = spark.sparkContext.broadcast(index)
 
