@@ -44,13 +44,13 @@ def open_rows(spark, sf_dir):
     return desk.open_positions(m.positions(spark, sf_dir), m.instruments(spark, sf_dir), last_closes(spark, sf_dir), equity(spark, sf_dir))
 
 
-@query(m.sql("SELECT s.user_id, cash, e.equity, e.exposure, n_open, n_pending, n_unsent, strategy_name, round(delta, 4) AS delta, round(delta_pct, 8) AS delta_pct, round(e.equity / 100000 - 1, 8) AS total_return FROM paper_state s LEFT JOIN (SELECT user_id, arg_max(equity, date) AS equity, arg_max(exposure, date) AS exposure FROM curve GROUP BY 1) e ON s.user_id = e.user_id LEFT JOIN n ON s.user_id = n.user_id LEFT JOIN (SELECT * FROM (VALUES (0, 'trend'), (1, 'value')) v(id, strategy_name)) st ON s.strategy_id = st.id LEFT JOIN c ON s.user_id = c.user_id", "paper_state", "positions", "paper_orders", "curves", curve=CURVE, n=COUNTS, c=CHANGE).replace("e.equity, e.exposure,", "round(e.equity, 4) AS equity, CAST(e.exposure AS DOUBLE) AS exposure,"))
+@query(m.sql("SELECT s.user_id, cash, e.equity, e.exposure, n_open, n_pending, n_unsent, strategy_name, round(delta, 6) AS delta, round(delta_pct, 8) AS delta_pct, round(e.equity / 100000 - 1, 8) AS total_return FROM paper_state s LEFT JOIN (SELECT user_id, arg_max(equity, date) AS equity, arg_max(exposure, date) AS exposure FROM curve GROUP BY 1) e ON s.user_id = e.user_id LEFT JOIN n ON s.user_id = n.user_id LEFT JOIN (SELECT * FROM (VALUES (0, 'trend'), (1, 'value')) v(id, strategy_name)) st ON s.strategy_id = st.id LEFT JOIN c ON s.user_id = c.user_id", "paper_state", "positions", "paper_orders", "curves", curve=CURVE, n=COUNTS, c=CHANGE).replace("e.equity, e.exposure,", "round(e.equity, 6) AS equity, CAST(e.exposure AS DOUBLE) AS exposure,"))
 def books_overview(spark, sf_dir):
     """A row for each book: money, newest equity, counts, strategy and the change of the day."""
     kinds = spark.createDataFrame([(0, "trend", 1), (1, "value", 1)], "id int, name string, version int")
     d = desk.overview(m.paper_state(spark, sf_dir), kinds, equity(spark, sf_dir), m.positions(spark, sf_dir), m.paper_orders(spark, sf_dir))
     out = d.select("user_id", "cash", "equity", "exposure", "n_open", "n_pending", "n_unsent", "strategy_name", "delta", "delta_pct", "total_return")
-    return r(r(out, "equity", "delta", places=4), "delta_pct", "total_return", places=8)
+    return r(r(out, "equity", "delta", places=6), "delta_pct", "total_return", places=8)
 
 
 @query(m.sql(COUNTS, "positions", "paper_orders"))
@@ -58,19 +58,19 @@ def book_counts(spark, sf_dir):
     return desk.counts(m.positions(spark, sf_dir), m.paper_orders(spark, sf_dir))
 
 
-@query(m.sql("SELECT user_id, round(delta, 4) AS delta, round(delta_pct, 8) AS delta_pct FROM c", "paper_state", "curves", curve=CURVE, c=CHANGE))
+@query(m.sql("SELECT user_id, round(delta, 6) AS delta, round(delta_pct, 8) AS delta_pct FROM c", "paper_state", "curves", curve=CURVE, c=CHANGE))
 def day_change(spark, sf_dir):
-    return r(r(desk.day_change(equity(spark, sf_dir), m.paper_state(spark, sf_dir).select("user_id", "initial_capital")), "delta", places=4), "delta_pct", places=8)
+    return r(r(desk.day_change(equity(spark, sf_dir), m.paper_state(spark, sf_dir).select("user_id", "initial_capital")), "delta", places=6), "delta_pct", places=8)
 
 
 OPEN = "SELECT p.*, ticker, last_close, last_close * qty AS value, (last_close - entry_price) * qty AS pnl FROM positions p JOIN instruments i ON p.instrument_id = i.instrument_id LEFT JOIN last l ON p.instrument_id = l.instrument_id WHERE status = 'OPEN'"
 
 
-@query(m.sql("SELECT position_id, o.user_id, ticker, round(value, 4) AS value, round(pnl, 4) AS pnl, round(last_close / nullif(entry_price, 0) - 1, 8) AS pnl_pct, round(value / nullif(e.equity, 0), 8) AS weight, round(1 - stop_price / nullif(last_close, 0), 8) AS stop_buffer, coalesce(1 - stop_price / nullif(last_close, 0) < 0.03, false) AS near_stop, row_number() OVER (PARTITION BY o.user_id ORDER BY coalesce(value, 0) DESC, position_id) AS rank FROM o LEFT JOIN (SELECT user_id, arg_max(equity, date) AS equity FROM curve GROUP BY 1) e ON o.user_id = e.user_id", "bars", "instruments", "positions", "curves", curve=CURVE, last=LAST, o=OPEN))
+@query(m.sql("SELECT position_id, o.user_id, ticker, round(value, 9) AS value, round(pnl, 9) AS pnl, round(last_close / nullif(entry_price, 0) - 1, 8) AS pnl_pct, round(value / nullif(e.equity, 0), 8) AS weight, round(1 - stop_price / nullif(last_close, 0), 8) AS stop_buffer, coalesce(1 - stop_price / nullif(last_close, 0) < 0.03, false) AS near_stop, row_number() OVER (PARTITION BY o.user_id ORDER BY coalesce(value, 0) DESC, position_id) AS rank FROM o LEFT JOIN (SELECT user_id, arg_max(equity, date) AS equity FROM curve GROUP BY 1) e ON o.user_id = e.user_id", "bars", "instruments", "positions", "curves", curve=CURVE, last=LAST, o=OPEN))
 def open_positions(spark, sf_dir):
     """Open positions by falling value within their book."""
     d = open_rows(spark, sf_dir).select("position_id", "user_id", "ticker", "value", "pnl", "pnl_pct", "weight", "stop_buffer", "near_stop", "rank")
-    return r(r(d, "value", "pnl", places=4), "pnl_pct", "weight", "stop_buffer", places=8)
+    return r(r(d, "value", "pnl", places=9), "pnl_pct", "weight", "stop_buffer", places=8)
 
 
 @query(m.sql("SELECT user_id, round(sum(coalesce(pnl, 0)), 2) AS unrealised FROM o GROUP BY 1", "bars", "instruments", "positions", last=LAST, o=OPEN))
