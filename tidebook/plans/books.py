@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..operators import features as fe
-from ..operators import metrics, quality, refdata
+from ..operators import metrics, quality
 from ..sources import market as m
+from ..storage import scratch
+from ..tables import Table
 from .features import CAL, PANEL, TR, r
 
 QUERIES, SQL = {}, {}
@@ -279,19 +281,26 @@ def retention_keep(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 1 UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey % 5 = 1")
 def upsert_by_key(spark, sf_dir):
-    """Updates replace rows of equal key and add the others."""
+    """Updates of a stored table replace rows of equal key and add the others; written twice, they are there once."""
     c = m.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     base = c.filter("c_custkey % 5 <> 1")
     changed = base.filter("c_custkey % 10 = 0").withColumn("c_acctbal", F.lit(0.0))
     added = c.filter("c_custkey % 5 = 1").withColumn("c_custkey", F.col("c_custkey") + 1000000)
-    return refdata.upsert(base, changed.unionByName(added), ["c_custkey"])
+    t = Table(spark, scratch(spark, "customers"), ["c_custkey"])
+    t.upsert(base)
+    for _ in range(2):
+        t.upsert(changed.unionByName(added))
+    return t.read()
 
 
 @query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey % 4 <> 0 GROUP BY o_custkey")
 def insert_first(spark, sf_dir):
     """Of orders the first of each customer that isn't stored yet (a quarter is)."""
     o = m.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    return refdata.insert_new(o.filter("o_custkey % 4 = 0"), o, ["o_custkey"], F.col("o_orderkey"))
+    t = Table(spark, scratch(spark, "firsts"), ["o_custkey"])
+    t.insert_first(o.filter("o_custkey % 4 = 0").withColumn("o_orderkey", F.lit(-1).cast(o.schema["o_orderkey"].dataType)), F.col("o_orderkey"))
+    t.insert_first(o, F.col("o_orderkey"))
+    return t.read().filter("o_orderkey >= 0")
 
 
 @query("""SELECT source, CAST(epoch(newest) AS BIGINT) AS newest_s, round(hours, 6) AS hours FROM (SELECT source, newest, (SELECT sum(greatest(least(epoch(TIMESTAMP '2024-01-31 12:00:00'), epoch(d) + 86400) - greatest(epoch(newest), epoch(d)), 0)) / 3600 FROM generate_series(date_trunc('day', newest), TIMESTAMP '2024-01-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5) AS hours

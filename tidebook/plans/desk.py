@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import collect, desk, gates, load, metrics, records, rules, universe
+from ..operators import collect, desk, gates, load, metrics, records, rules, stored, universe
 from ..operators import features as fe
 from ..operators.asof import asof
 from ..sources import market as m
+from ..storage import scratch, written
+from ..tables import Table
 from .books import METRICS, STEPS
 from .features import ENTER, PANEL, TR, r
+from .joins import FACTOR, PRIOR
 
 QUERIES, SQL = {}, {}
 
@@ -204,13 +207,14 @@ def load_absences(spark, sf_dir):
     return load.absences(session_rows(spark, sf_dir), universe_rows(spark, sf_dir), F.lit("1995-01-01").cast("date"), F.lit("1995-12-31").cast("date"))
 
 
-@query("SELECT 'c' || c_custkey AS ticker, c_nationkey AS id FROM customer WHERE c_nationkey = 3 AND c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_nationkey = 3)")
+FILES = "SELECT CAST(o_orderdate AS DATE) AS date, o_custkey, o_orderpriority AS name, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS isin FROM orders"
+
+
+@query(m.sql("SELECT min(isin) AS isin FROM f WHERE name = '5-LOW' AND date = (SELECT max(date) FROM f WHERE date <= DATE '1996-05-11' AND date > DATE '1996-05-11' - 14)", f=FILES))
 def index_isin(spark, sf_dir):
-    """The isin of an index by name in any case: of the newest file that has rows."""
-    c = m.table(spark, sf_dir, "customer").filter("c_nationkey = 3")
-    rows = c.select(F.lit("2024-01-05").cast("date").alias("date"), F.lit("Wig20tr").alias("name"), F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("isin"))
-    found = load.index_isin(rows, "WIG20TR", F.lit("2024-01-10").cast("date"))
-    return found.select(F.concat(F.lit("c"), F.col("isin").cast("long").cast("string")).alias("ticker"), F.lit(3).cast("long").alias("id"))
+    """The isin of an index by name in any case, of the newest of a fortnight's files: orders are lines of day files, priorities names."""
+    rows = m.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"), F.initcap("o_orderpriority").alias("name"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("isin"))
+    return load.index_isin(rows, "5-low", F.lit("1996-05-11").cast("date"))
 
 
 @query("SELECT s_suppkey AS id, s_name AS ticker, CASE WHEN s_suppkey % 4 = 0 AND s_suppkey % 8 <> 0 THEN 'PL' || s_nationkey END AS isin FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY 'New' || s_suppkey), 'New' || s_suppkey, 'PL' || s_nationkey FROM supplier WHERE s_suppkey % 5 = 0")
@@ -228,10 +232,14 @@ def membership_load(spark, sf_dir):
     """The ranges of one index are replaced as a whole, those of another stay."""
     i = m.instruments(spark, sf_dir)
     rows = m.membership(spark, sf_dir).join(i.select("ticker", "instrument_id"), "ticker").select("instrument_id", "date_from", "date_to", F.lit("file").alias("source"))
-    stored = rows.withColumn("index_name", F.lit("old")).unionByName(rows.withColumn("index_name", F.lit("wig")))
+    before = rows.withColumn("index_name", F.lit("old")).unionByName(rows.withColumn("index_name", F.lit("wig")))
     given = i.filter("instrument_id % 3 = 0").select(F.lit("WIG").alias("index_name"), F.upper("ticker").alias("ticker"), F.lit("1997-01-01").cast("date").alias("date_from"), F.when(F.col("instrument_id") % 4 == 0, F.lit("1999-01-01").cast("date")).alias("date_to"), F.lit("file").alias("source"))
     unknown = given.limit(1).withColumn("ticker", F.lit("nobody"))
-    return load.membership(stored, given.unionByName(unknown), i)[0].select("index_name", "instrument_id", "date_from", "date_to")
+    t = stored.membership_table(spark, scratch(spark, "membership"))
+    t.replace(before.select("index_name", "instrument_id", "date_from", "date_to", "source"))
+    for _ in range(2):
+        stored.store_membership(t, given.unionByName(unknown), i)
+    return t.read().select("index_name", "instrument_id", "date_from", "date_to")
 
 
 @query("SELECT n_nationkey AS ticker, CASE WHEN n_nationkey % 4 = 0 THEN 'close' ELSE 'ok' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
@@ -274,7 +282,11 @@ def label_upsert(spark, sf_dir):
     """Labels of filings, of which later ones replace earlier ones."""
     d = m.table(spark, sf_dir, "labels")
     first = d.groupBy(F.col("doc_id").alias("filing_id")).agg(F.max(F.struct(F.when(F.col("quality") == 1, "bullish").otherwise("irrelevant").alias("label"))).alias("x")).select("filing_id", F.col("x.label").alias("label"), F.col("filing_id").alias("labelled_at"))
-    return records.labelled(first, d.filter("toxic = 1").select(F.col("doc_id").alias("filing_id"), F.lit("bearish").alias("label"), (F.col("doc_id") + 1).alias("labelled_at"))).select("filing_id", "label")
+    later = d.filter("toxic = 1").select(F.col("doc_id").alias("filing_id"), F.lit("bearish").alias("label"), (F.col("doc_id") + 1).alias("labelled_at"))
+    t = Table(spark, scratch(spark, "labels"), ["filing_id"])
+    for rows in (first, later, later):
+        stored.store_labels(t, rows)
+    return t.read().select("filing_id", "label")
 
 
 @query(m.sql("SELECT 'prices' AS what, CAST(max(date) AS VARCHAR) AS detail, false AS stale FROM bars UNION ALL SELECT 'demo bars', CAST(count(*) FILTER (instrument_id = 12) AS VARCHAR), count(*) FILTER (instrument_id = 12) > 0 FROM bars JOIN instruments USING (ticker) UNION ALL SELECT 'collector', strftime(max(ts), '%Y-%m-%d %H:%M:%S'), date_diff('second', date_trunc('second', max(ts)), TIMESTAMP '2024-02-01 00:00:00') / 60 > 120 FROM events UNION ALL SELECT 'filings', CAST(count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS VARCHAR), false FROM documents UNION ALL SELECT 'paper ' || user_id, CAST((SELECT count(DISTINCT date) FROM bars WHERE date > s.last_settled_date) AS VARCHAR), (SELECT count(DISTINCT date) FROM bars WHERE date > s.last_settled_date) >= 2 FROM paper_state s UNION ALL SELECT 'backup', strftime(max(ts), '%Y-%m-%d %H:%M:%S'), date_diff('second', date_trunc('second', max(ts)), TIMESTAMP '2024-02-01 00:00:00') / 3600 > 36 FROM events", "bars", "instruments", "paper_state"))
@@ -296,14 +308,18 @@ def relabelled_bars(spark, sf_dir):
     return load.relabelled(b, b, F.lit("1992-01-03").cast("date")).select("ticker", "date", "source")
 
 
-@query(m.sql("SELECT ticker, count(*) AS n, max(bad) AS bad FROM bars, (SELECT count(*) AS bad FROM instruments WHERE instrument_id % 4 = 0) GROUP BY 1", "bars", "instruments"))
+@query(m.sql(f"""SELECT b.ticker, b.date, round(close * coalesce(p, 1), 9) AS close, (SELECT count(*) FROM actions JOIN instruments USING (ticker) WHERE instrument_id % 4 = 0) AS bad FROM bars b
+ LEFT JOIN (SELECT ticker, ex_date, {FACTOR} AS p FROM prior) f ON f.ticker = b.ticker AND b.date < f.ex_date""", "bars", "actions", "instruments", prior=PRIOR + " WHERE a.ticker IN (SELECT ticker FROM instruments WHERE instrument_id % 4 <> 0)"))
 def refdata_load(spark, sf_dir):
-    """Adjusted bars are built anew from raw ones; actions without a positive value (a quarter) are reported."""
-    acts = m.actions(spark, sf_dir).join(m.instruments(spark, sf_dir).select("ticker", "instrument_id"), "ticker")
+    """Actions are stored but for those without a positive value (a quarter), and adjusted bars built anew from them."""
+    i = m.instruments(spark, sf_dir)
+    acts = m.actions(spark, sf_dir).join(i.select("ticker", "instrument_id"), "ticker")
     acts = acts.withColumn("value_or_ratio", F.when(F.col("instrument_id") % 4 == 0, -1.0).otherwise(F.col("value_or_ratio"))).drop("instrument_id")
-    b = m.bars(spark, sf_dir)
-    adjusted, bad = load.refdata(b, acts, m.instruments(spark, sf_dir), b.select("ticker", "date"))
-    return adjusted.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).withColumn("bad", F.lit(bad.count()).cast("long"))
+    b = written(m.bars(spark, sf_dir), "bars")
+    actions, adjusted = Table(spark, scratch(spark, "actions"), ["ticker", "ex_date", "action_type"]), Table(spark, scratch(spark, "adjusted"), ["ticker", "date"])
+    bad = stored.store_refdata(actions, adjusted, b, acts, i, fe.calendar(b))
+    n = bad.agg(F.count(F.lit(1)).alias("bad"))
+    return r(adjusted.read().select("ticker", "date", "close").join(F.broadcast(n)), "close")
 
 
 @query(m.sql("SELECT date, count(*) FILTER (score > 0) AS permit, count(*) FILTER (score <= 0) AS veto, count(*) FILTER (score IS NULL) AS no_score FROM (SELECT p.date, f.pe - 20 AS score FROM p ASOF LEFT JOIN fundamentals f ON p.ticker = f.ticker AND p.date >= f.as_of_date WHERE " + ENTER + ") GROUP BY date", "bars", "fundamentals", tr=TR, p=PANEL))

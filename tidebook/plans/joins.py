@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import money
 from ..operators import features as fe
-from ..operators import quality, refdata
+from ..operators import pairing, quality, refdata
 from ..operators.asof import align, asof
 from ..sources import market as m
 from ..storage import written
@@ -26,7 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-
 ASKED = "SELECT o_orderkey, ticker, CAST(o_orderdate AS DATE) AS day FROM orders JOIN instruments ON instrument_id = (o_custkey % 5 + 1) * 10 + o_orderkey % 5 + 1"
 
 
@@ -88,27 +86,35 @@ def max_adjusted_rows(spark, sf_dir):
 FLOW = """SELECT o_custkey AS ticker, o_orderkey AS seq, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 3 = 0 THEN 'ENTER' ELSE 'EXIT' END AS action FROM orders"""
 
 
-@query("WITH flow AS (" + FLOW + """), days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM flow)),
- n AS (SELECT f.*, idx, sum(CASE WHEN action = 'ENTER' THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY seq) AS entry FROM flow f JOIN days d ON f.date = d.date)
- SELECT ticker, CAST(entry AS BIGINT) AS entry, max(CASE WHEN action = 'ENTER' THEN date END) AS entered,
-        greatest(1, coalesce(arg_min(CASE WHEN action = 'EXIT' THEN idx END, CASE WHEN action = 'EXIT' THEN seq END), (SELECT max(idx) FROM days)) - max(CASE WHEN action = 'ENTER' THEN idx END)) AS sessions
- FROM n WHERE entry > 0 GROUP BY ticker, entry""")
-def trade_pairing(spark, sf_dir):
-    """Each entry with the first exit after it (or the last session), and the sessions between: orders stand for decisions."""
+#: A queue for each ticker, decision by decision: entries wait in open, and each exit takes the first of them.
+QUEUES = "WITH RECURSIVE flow AS (" + FLOW + """), days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM flow)),
+ d AS (SELECT ticker, action, idx, f.date, row_number() OVER (PARTITION BY ticker ORDER BY f.date, seq) AS k FROM flow f JOIN days ON f.date = days.date),
+ q AS (SELECT DISTINCT ticker, 0::BIGINT AS k, 0::BIGINT AS n, []::STRUCT(entry BIGINT, idx BIGINT, date DATE)[] AS open, NULL::STRUCT(entry BIGINT, idx BIGINT, date DATE) AS closed, NULL::BIGINT AS until, NULL::DATE AS exited FROM d
+  UNION ALL SELECT q.ticker, d.k, n + CASE WHEN action = 'ENTER' THEN 1 ELSE 0 END,
+   CASE WHEN action = 'ENTER' THEN list_append(open, {'entry': n + 1, 'idx': d.idx, 'date': d.date}) ELSE open[2:] END,
+   CASE WHEN action = 'EXIT' THEN open[1] END, d.idx, d.date FROM q JOIN d ON d.ticker = q.ticker AND d.k = q.k + 1),
+ pairs AS (SELECT ticker, closed.entry AS entry, closed.date AS entered, exited, greatest(1, until - closed.idx) AS sessions FROM q WHERE closed IS NOT NULL
+  UNION ALL SELECT ticker, x.entry, x.date, NULL, greatest(1, (SELECT max(idx) FROM days) - x.idx) FROM (SELECT ticker, unnest(open) AS x FROM q QUALIFY k = max(k) OVER (PARTITION BY ticker))) """
+
+
+def flow(spark, sf_dir):
+    """Orders as decisions: every third one enters."""
     o = m.table(spark, sf_dir, "orders")
-    flow = o.select(F.col("o_custkey").alias("ticker"), F.col("o_orderkey").alias("seq"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 3 == 0, "ENTER").otherwise("EXIT").alias("action"))
-    return pair_trades(flow)
-
-
-def pair_trades(flow):
-    """ticker, entry (its number), entered, sessions of decisions (ticker, seq, date, action)."""
-    days = fe.calendar(flow)
-    enter, out = F.col("action") == "ENTER", F.col("action") == "EXIT"
-    w = Window.partitionBy("ticker").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    n = flow.join(days, "date").withColumn("entry", F.sum(enter.cast("long")).over(w)).filter("entry > 0")
-    a = n.groupBy("ticker", "entry").agg(F.max(F.when(enter, F.col("date"))).alias("entered"), F.max(F.when(enter, F.col("session"))).alias("since"), F.min_by("session", F.when(out, F.col("seq"))).alias("until"))
-    last = days.agg(F.max("session").alias("last"))
-    return a.join(F.broadcast(last)).select("ticker", "entry", "entered", F.greatest(F.lit(1), F.coalesce("until", "last") - F.col("since")).alias("sessions"))
+    return o.select(F.col("o_custkey").alias("ticker"), F.col("o_orderkey").alias("seq"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 3 == 0, "ENTER").otherwise("EXIT").alias("action"))
+
+
+@query(QUEUES + "SELECT ticker, entry, entered, exited, sessions FROM pairs")
+def trade_pairing(spark, sf_dir):
+    """Each entry with the exit that closes it in the order of a queue, and the sessions between."""
+    d = flow(spark, sf_dir)
+    return pairing.pair_trades(d, fe.calendar(d))
+
+
+@query(QUEUES + "SELECT sessions, count(*) AS n FROM (SELECT sessions FROM pairs UNION ALL SELECT 1 WHERE NOT EXISTS (SELECT 1 FROM pairs)) GROUP BY sessions")
+def holding_periods(spark, sf_dir):
+    """How often each number of sessions was held."""
+    d = flow(spark, sf_dir)
+    return pairing.holdings(pairing.pair_trades(d, fe.calendar(d))).groupBy("sessions").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(m.sql("SELECT s.ticker, cal.date FROM (SELECT ticker, min(date) AS a, max(date) AS b FROM bars GROUP BY ticker) s JOIN cal ON cal.date BETWEEN a AND b LEFT JOIN bars ON bars.ticker = s.ticker AND bars.date = cal.date WHERE bars.date IS NULL", "bars", cal=CAL))
