@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,8 +19,10 @@ from pyspark.sql import types as T
 from .common import append, texts, with_columns
 from .tokens import BYTE_LEVEL_PATTERN
 
-#: Words whose ids a worker remembers, and the longest such word in bytes: 60 MB or so.
-MEMORY, MEMORABLE = 300_000, 64
+#: Words whose ids a worker remembers, and the longest such word in bytes: 25 MB or so.
+MEMORY, MEMORABLE = 120_000, 64
+#: Rows of a batch that are turned into Python objects at a time.
+ROWS = 256
 
 
 def byte_signs() -> dict[str, int]:
@@ -119,8 +122,8 @@ class Automaton:
         """
         token = {b: t for t, b in enumerate(self.label) if b and t not in self.special.values()}
         longest = max(map(len, token), default=1)
-        place, state = self.place.tolist(), self.state.tolist()
-        edges = [self.closed[a:b].tolist() for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
+        place, state = array("i", self.place.tolist()), array("i", self.state.tolist())
+        edges = [array("i", self.closed[a:b].tolist()) for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
 
         def walk(w: bytes) -> list[int]:
             n = len(w)
@@ -192,6 +195,12 @@ def compiled(path: str) -> Automaton:
     return Automaton.load(path)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs with ids: what the tokenizers library's encode(text, add_special_tokens=False) gives, as little-endian unsigned
     32-bit numbers (binary).
@@ -206,7 +215,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(shared.value)
-        for batch in batches:
+        for batch in parts_of(batches):
             yield append(batch, ids=pa.array(list(map(of, texts(batch))), pa.binary()))
 
     return rest.mapInArrow(encoded, with_columns(rest.schema, [T.StructField("ids", T.BinaryType())]))
@@ -223,7 +232,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
-        for batch in batches:
+        for batch in parts_of(batches):
             at = batch.schema.get_field_index("ids")
             found = [automaton.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(at).to_pylist()]
             yield append(batch, decoded=pa.array(found, pa.string()))
