@@ -22,8 +22,8 @@ def back(found: DataFrame, docs: DataFrame, used: list[str]) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold stay; empty and null texts do."""
-    index = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out())
-    scored = toxicity.score(aside(docs, ["text"]), index)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out())
+    scored = toxicity.score(aside(docs, ["text"]), model)
     return back(scored.filter(F.col("score") < THRESHOLD), docs, ["text"])
 
 

@@ -29,8 +29,8 @@ def docs(spark):
 
 
 def test_toxic_and_poor_documents_go_and_no_others(spark, docs):
-    index = toxicity.fit(docs, table(spark, SF, "labels").select("doc_id", "toxic"), ~held_out())
-    bad = {r["doc_id"] for r in toxicity.score(docs.select("doc_id", "text"), index).filter("score >= 0.3").collect()}
+    model = toxicity.fit(docs, table(spark, SF, "labels").select("doc_id", "toxic"), ~held_out())
+    bad = {r["doc_id"] for r in toxicity.score(docs.select("doc_id", "text"), model).filter("score >= 0.3").collect()}
     odd = docs.withColumns({"score": F.lit("own"), "bits": F.lit("own"), "evidence": F.lit(1)})
     out = corpus_pipeline.drop_toxic(spark, odd, SF)
     assert out.columns == odd.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] not in bad) and 0 < len(bad) < 40

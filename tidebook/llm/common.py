@@ -70,8 +70,8 @@ def _width(kind: T.DataType) -> int:
 SALTS = 64
 
 
-def _salted(df: DataFrame, spread: str) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+def _salted(df: DataFrame, *spread: str) -> DataFrame:
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
 
 
 def with_least(df: DataFrame, by: str, value: str, name: str, spread: str) -> DataFrame:
@@ -86,17 +86,17 @@ def with_least(df: DataFrame, by: str, value: str, name: str, spread: str) -> Da
     return rows.join(parts.select(by, "_salt").join(whole, by), [by, "_salt"]).drop("_salt")
 
 
-def joined(df: DataFrame, side: DataFrame, key: str, spread: str) -> DataFrame:
+def joined(df: DataFrame, side: DataFrame, key: str, *spread: str, how: str = "inner") -> DataFrame:
     """df joined with side, which has one row for a key; df may have many for one.
 
-    A side of a checked size is broadcast. A larger one goes to the parts, dealt by the column spread, that the rows of a
+    A side of a checked size is broadcast. A larger one goes to the parts, dealt by the columns spread, that the rows of a
     key have, so that a hot key's rows are spread over SALTS tasks.
     """
     marked = small(side)
     if marked is not side:
-        return df.join(marked, key)
-    rows = _salted(df, spread)
-    return rows.join(rows.select(key, "_salt").distinct().join(side, key), [key, "_salt"]).drop("_salt")
+        return df.join(marked, key, how)
+    rows = _salted(df, *spread)
+    return rows.join(rows.select(key, "_salt").distinct().join(side, key), [key, "_salt"], how).drop("_salt")
 
 
 def text_of(column: str = "text") -> Column:

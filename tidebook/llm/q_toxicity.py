@@ -18,8 +18,8 @@ def held_out() -> Column:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out())
-    return score(docs, index).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out())
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 QUERIES = {"op10_toxicity": op10_toxicity}

@@ -7,16 +7,16 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, kept, texts, with_columns
+from .common import append, joined, kept, text_of, texts, with_columns
 
 _WORD = re.compile(r"\w+")
 #: Texts whose neighbours are looked up together.
@@ -28,6 +28,28 @@ def terms(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, which stand for them; those of the last words are kept, 20 MB or so."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h -= (h >> 63) << 64
+        if len(self) >= 100_000:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_hash = _Hashes().__getitem__
+
+
+def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(the hash of each term of a text, how often it occurs)."""
+    c = terms(text)
+    return np.fromiter(map(_hash, c), np.int64, len(c)), np.fromiter(c.values(), float, len(c))
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... size[0] numbers, then those from start[1], and so on."""
     ends = np.cumsum(size)
@@ -38,14 +60,14 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Index:
     """Unit TF-IDF vectors of labelled examples as postings by term.
 
-    A term's vector length is (1 + ln n) * ln((documents + 1) / (documents with it + 1)). All terms of all examples are
-    indexed; other words of a text are outside the space of the vectors. Examples lie in blocks of one label. The
+    A term's vector length is (1 + ln n) * ln((documents + 1) / (documents with it + 1)). vocabulary has the hashes of all
+    terms of all examples, rising; a text's other words count in its length only. Examples lie in blocks of one label. The
     postings of term t, places of examples and weights, begin at term_at[t]. Long lists, of terms in a share of long_share
     of the examples or more, are in full[row[t]] instead, a weight for each place, with the largest weight of each block
     in top; so they take at most 1 / long_share times the mean number of an example's terms rows.
     """
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray
     idf: np.ndarray
     telling: np.ndarray
     labels: np.ndarray
@@ -60,10 +82,11 @@ class Index:
     telling_norm: np.ndarray = field(default_factory=lambda: np.zeros(0))
     block_label: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     prior: float = 0.5
+    documents: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
     @classmethod
-    def build(cls, vocabulary: dict[str, int], idf: np.ndarray, telling: np.ndarray, labels: np.ndarray, ids: np.ndarray, example: np.ndarray, term: np.ndarray, n: np.ndarray, block: int = 64, long_share: float = 0.1) -> Index:
+    def build(cls, vocabulary: np.ndarray, idf: np.ndarray, telling: np.ndarray, labels: np.ndarray, ids: np.ndarray, example: np.ndarray, term: np.ndarray, n: np.ndarray, block: int = 64, long_share: float = 0.1) -> Index:
         """From the examples' labels and ids, and how often (n) each term occurs in each example: rows sorted by example."""
         size = len(labels)
         x = (1.0 + np.log(n)) * idf[term]
@@ -97,15 +120,26 @@ class Index:
         self.term_at = np.searchsorted(term[~in_full], np.arange(len(vocabulary) + 1))
         return self
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of a text's unit vector; a term that all documents have weighs nothing."""
-        get = self.vocabulary.get
-        t, n = np.array([get(w, -1) for w in counts], np.int64), np.array(list(counts.values()), float)
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """The term of each hash of a word, -1 for a word of no example."""
+        if not len(self.vocabulary):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words, at, -1)
+
+    def vector(self, words: np.ndarray, n: np.ndarray, rest: float | None = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of a text's unit vector, from hashes of its words and how often they occur.
+
+        rest: the squared length of the part that lies outside the examples' terms; None: those words occur in no document.
+        A term that all documents have weighs nothing.
+        """
+        t = self.places(words)
         known = t >= 0
-        t, n = t[known], n[known]
-        x = (1.0 + np.log(n)) * self.idf[t]
-        norm = math.sqrt(float(x @ x))
-        return (t, x / norm) if norm else (t[:0], x[:0])
+        x = (1.0 + np.log(n[known])) * self.idf[t[known]]
+        if rest is None:
+            rest = float((((1.0 + np.log(n[~known])) * math.log(1.0 + self.documents)) ** 2).sum())
+        norm = math.sqrt(float(x @ x) + rest)
+        return (t[known], x / norm) if norm else (t[:0], x[:0])
 
     def short_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """For each vector and place the sum of products over the terms with short lists."""
@@ -230,14 +264,67 @@ def telling_part(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np
     return np.where(part >= 0.01, part, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int, int] = (4_000, 2_000), k: int = 16) -> Index:
-    """The index of a bounded sample of labelled rows, with frequencies over all documents.
+@dataclass
+class Model:
+    """The index of examples; and rest, for the hash (key) of every text of the documents the squared length of what its words
+    that no example has add to its vector."""
+
+    index: Index
+    rest: DataFrame
+
+
+def _lengths(docs: DataFrame, vocabulary: np.ndarray) -> tuple[DataFrame, np.ndarray, int]:
+    """(key and rest of every distinct text, the number of documents with each term of vocabulary, and of all documents).
+
+    One pass over the words: a task sums up what it has of the vocabulary, and gives the other words of each text, whose
+    document frequencies are counted by hash, joined back and summed up by text. Copies of a text count as documents, but
+    are one text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Index.build(vocabulary, np.zeros(len(vocabulary)), np.zeros(len(vocabulary)), *[np.zeros(0, np.int64)] * 4, np.zeros(0)))
+    names = ["key", "word", "n"]
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, df, rows = shared.value, np.zeros(len(shared.value.vocabulary), np.int64), 0
+        for batch in batches:
+            keys, held = batch.column(0).to_numpy(), []
+            for key, text in zip(keys.tolist(), texts(batch), strict=True):
+                words, n = hashed(text)
+                t = index.places(words)
+                df[t[t >= 0]] += 1
+                held.append((key, words[t < 0], n[t < 0]))
+            rows += len(held)
+            sizes = [len(w) for _, w, _ in held]
+            columns = [np.repeat(keys, sizes), np.concatenate([w for _, w, _ in held]), np.concatenate([n for *_, n in held])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=names)
+            plain = keys[np.array(sizes) == 0]  # texts without such words
+            yield pa.RecordBatch.from_arrays([pa.array(plain), pa.nulls(len(plain), pa.int64()), pa.array(np.zeros(len(plain)))], names=names)
+        seen = np.flatnonzero(df)
+        words = pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(index.vocabulary[seen])])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), words, pa.array(np.concatenate([[rows], df[seen]]).astype(float))], names=names)
+
+    found = kept(docs.select(F.xxhash64(text_of()).alias("key"), "text").mapInArrow(parted, "key long, word long, n double"), "words")
+    shared.unpersist()
+    total = found.filter("key is null").groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # a row a term, and that of all documents
+    none = total["word"].is_null()
+    documents, terms_of, df = int(pc.sum(total.filter(none)["n"]).as_py() or 0), total.filter(pc.invert(none)), np.zeros(len(vocabulary))
+    df[np.searchsorted(vocabulary, terms_of["word"].to_numpy())] = terms_of["n"].to_numpy()
+    pairs = found.filter("key is not null").groupBy("key", "word").agg(F.any_value("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    pairs = kept(pairs, "word-pairs")
+    counts = pairs.filter("word is not null").groupBy("word").agg(F.sum("copies").alias("df"))
+    long = joined(pairs, counts, "word", "key")
+    size = F.pow((1 + F.log("n")) * F.log((F.lit(documents) + 1) / (F.col("df") + 1)), F.lit(2))
+    parts = long.select("key", size.alias("size")).unionByName(pairs.filter("word is null").select("key", F.lit(0.0).alias("size")))
+    return kept(parts.groupBy("key").agg(F.sum("size").alias("rest")), "text-lengths"), df, documents
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int, int] = (4_000, 2_000), k: int = 16) -> Model:
+    """The model of a bounded sample of labelled rows, with frequencies of all words over all documents.
 
     labels: doc_id and toxic (0 or 1; of several rows for a document the largest counts). train: on the columns of
     labels, which of them may be used. Sample: of each label the first rows in the order of a hash, per_class of label
-    0 and 1; every word of their whole texts is a term, so the sample bounds the index. Document frequencies of these
-    terms cover all of docs. Votes are calibrated on the examples themselves, each without itself, weighted to the
-    labels' own proportions. Of several rows of docs with a labelled doc_id one is taken, by its text's hash.
+    0 and 1; every word of their whole texts is a term, so the sample bounds the index. Words are told apart by 64-bit
+    hashes. Document frequencies cover all of docs. Votes are calibrated on the examples themselves, each without itself,
+    weighted to the labels' own proportions. Of several rows of docs with a labelled doc_id one is taken, by its text's hash.
     """
     spark = docs.sparkSession
     rows = kept(labels.filter(train).groupBy("doc_id").agg(F.max("toxic").alias("label")).filter("doc_id is not null and label in (0, 1)"), "labels-used")
@@ -248,52 +335,34 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int,
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [terms(x) for x in texts(batch)]
-            of = [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            found = [hashed(x) for x in texts(batch)]
+            order = [np.argsort(w) for w, _ in found]
+            of = [pa.array([w[o] for (w, _), o in zip(found, order, strict=True)], pa.list_(pa.int64())), pa.array([n[o].astype(np.int32) for (_, n), o in zip(found, order, strict=True)], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *of], names=["doc_id", "label", "hash", "words", "counts"])
 
-    own = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("hash"), "text").mapInArrow(bags, "doc_id long, label int, hash long, words array<string>, counts array<int>")
+    own = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("hash"), "text").mapInArrow(bags, "doc_id long, label int, hash long, words array<long>, counts array<int>")
     held = kept(own.groupBy("doc_id").agg(F.min_by(F.struct("label", "words", "counts"), F.struct("hash", "words")).alias("x")).select("doc_id", "x.*"), "examples")
-    rows_of = held.orderBy("doc_id").toArrow()  # the examples' bags of words: the index that every task gets
+    vocabulary = np.sort(held.select(F.explode("words").alias("word")).distinct().toArrow()["word"].to_numpy())
+    rest, df, documents = _lengths(docs, vocabulary)
+    rows_of = held.orderBy("doc_id").toArrow()  # numbers of the examples' words: the index that every task gets
     label = rows_of["label"].to_numpy().astype(np.int64)
     n1 = int(label.sum())
     if not n1:
-        index = Index.build({}, np.zeros(0), np.zeros(0), label[:0], label[:0], label[:0], label[:0], np.zeros(0))
-        index.prior, index.steps = prior, (np.array([0.0, 1.0]), np.array([prior, prior]))
-        return index
-    number: dict[str, int] = {}
-    fresh = count()
-    flat = rows_of["words"].combine_chunks().flatten().dictionary_encode()
-    for w in flat.dictionary.to_pylist():
-        number[w] = next(fresh)
-    term = flat.indices.to_numpy().astype(np.int32)
+        index = Index.build(vocabulary[:0], np.zeros(0), np.zeros(0), label[:0], label[:0], label[:0], label[:0], np.zeros(0))
+        index.prior, index.documents, index.steps = prior, documents, (np.array([0.0, 1.0]), np.array([prior, prior]))
+        return Model(index, rest)
+    term = np.searchsorted(vocabulary, rows_of["words"].combine_chunks().flatten().to_numpy()).astype(np.int32)
     example = np.repeat(np.arange(len(label), dtype=np.int32), pc.list_value_length(rows_of["counts"]).to_numpy())
     n = rows_of["counts"].combine_chunks().flatten().to_numpy().astype(np.float32)
     ids = rows_of["doc_id"].to_numpy().copy()
-    del rows_of, flat  # the driver holds numbers only from here on
+    del rows_of
     pa.default_memory_pool().release_unused()
-    known = spark.sparkContext.broadcast(number)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = known.value
-        rows, df = 0, np.zeros(len(place), np.int64)
-        for batch in batches:
-            for x in texts(batch):
-                rows += 1
-                df[[place[w] for w in set(_WORD.findall(x.lower())) if w in place]] += 1
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], seen])), pa.array(np.concatenate([[rows], df[seen]]))], names=["term", "n"])
-
-    total = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df, at = np.zeros(len(number) + 1), total["term"].to_numpy()
-    df[at] = total["n"].to_numpy()  # the place of -1 is the last one: the number of documents
-    idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1]))
-    with_1, with_0 = (np.bincount(term[label[example] == y], minlength=len(number)) for y in (1, 0))
+    idf = np.log((1.0 + documents) / (1.0 + df))
+    with_1, with_0 = (np.bincount(term[label[example] == y], minlength=len(vocabulary)) for y in (1, 0))
     telling = telling_part(with_1, with_0, n1, len(label) - n1)
-    index = Index.build(number, idf, telling, label, ids, example, term, n)
+    index = Index.build(vocabulary, idf, telling, label, ids, example, term, n)
     del example, term, n
-    known.unpersist()
-    index.prior = prior
+    index.prior, index.documents = prior, documents
     shared = spark.sparkContext.broadcast(index)
 
     def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int,
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
                 ids, words, counts = (part.column(i).to_pylist() for i in (0, 2, 3))
-                vectors = [x.vector(dict(zip(w, c, strict=True))) for w, c in zip(words, counts, strict=True)]
+                vectors = [x.vector(np.array(w, np.int64), np.array(c, float)) for w, c in zip(words, counts, strict=True)]
                 votes = [v for v, _, _ in x.votes(vectors, k, but=ids)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(votes, pa.float64())], names=["doc_id", "label", "vote"])
 
@@ -310,31 +379,38 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int,
     votes = parts.mapInArrow(without_itself, "doc_id long, label int, vote double").orderBy("doc_id").toArrow()
     y = votes["label"].to_numpy()
     index.steps = isotonic(votes["vote"].to_numpy(), y.astype(float), np.where(y == 1, prior / n1, (1 - prior) / max(1, len(label) - n1)))
-    return index
+    shared.unpersist()
+    return Model(index, rest)
 
 
-def score(docs: DataFrame, index: Index, k: int = 16, evidence: int = 3) -> DataFrame:
+def score(docs: DataFrame, model: Model, k: int = 16, evidence: int = 3) -> DataFrame:
     """docs with score (calibrated chance of label 1) and evidence (the nearest examples: doc_id, similarity, label).
 
-    Empty and null texts, and those without a word of the examples, have no neighbour and get the calibrated prior.
-    Equal texts get equal scores. Columns of these names are replaced; no row is shuffled.
+    Similarities are of whole texts: words that no example has make a text longer. docs are rows of those that the model was
+    fitted to; in another text such words count as seen in no document. Empty and null texts, and those without a word
+    of the examples, have no neighbour and get the calibrated prior. Equal texts get equal scores, repeated rows too; a
+    very long text takes time in proportion to its distinct words. Columns of these names are replaced. The lengths of
+    texts, 16 bytes each, are broadcast if they are small, else rows meet them by their text's hash.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(model.index)
     near_type = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))
     added = [T.StructField("score", T.DoubleType()), T.StructField("evidence", near_type)]
-    rest = docs.select(*[c for c in docs.columns if c not in ("score", "evidence")])
+    rest = docs.select(*[c for c in docs.columns if c not in ("score", "evidence", "_key", "_rest")])
+    known = model.rest.select(F.col("key").alias("_key"), F.col("rest").alias("_rest"))
+    marked = joined(rest.withColumn("_key", F.xxhash64(text_of())), known, "_key", *rest.columns, how="left").select(*rest.columns, "_rest")
     arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared.value
         for batch in batches:
             found, why = [], []
-            held = texts(batch)
+            held = list(zip(texts(batch), batch.column(batch.num_columns - 1).to_pylist(), strict=True))
             for start in range(0, len(held), BATCH):
-                for vote, near, cosine in x.votes([x.vector(terms(t)) for t in held[start : start + BATCH]], k):
+                for vote, near, cosine in x.votes([x.vector(*hashed(t), r) for t, r in held[start : start + BATCH]], k):
                     found.append(x.calibrated(vote))
                     top = np.lexsort((near, -cosine))[:evidence]
                     why.append([{"doc_id": int(x.ids[near[i]]), "similarity": float(cosine[i]), "label": int(x.labels[near[i]])} for i in top])
-            yield append(batch, score=pa.array(found, pa.float64()), evidence=pa.array(why, arrow))
+            bare = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+            yield append(bare, score=pa.array(found, pa.float64()), evidence=pa.array(why, arrow))
 
-    return rest.mapInArrow(scored, with_columns(rest.schema, added))
+    return marked.mapInArrow(scored, with_columns(rest.schema, added))
