@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import normal
+from .records import numbered
+
 EULER_GAMMA = 0.5772156649015329
 
 
@@ -69,37 +71,45 @@ def moments(curves: DataFrame) -> DataFrame:
     return a.select("run_id", "n_obs", F.when(n >= 2, _or_zero(F.try_divide("mean", "dev"))).otherwise(0.0).alias("sharpe_pp"), skew.alias("skew"), kurt.alias("kurtosis"))
 
 
-def expected_max_sharpe(trials: int, variance: float) -> float:
+def expected_max_sharpe(trials: Column, variance: Column) -> Column:
     """What the best of so many trials without skill would show; 0 for one trial or equal ones."""
-    if trials <= 1 or variance <= 0:
-        return 0.0
-    q = NormalDist().inv_cdf
-    return math.sqrt(variance) * ((1 - EULER_GAMMA) * q(1 - 1 / trials) + EULER_GAMMA * q(1 - 1 / (trials * math.e)))
+    n = F.greatest(trials, F.lit(2)).cast("double")
+    best = (1 - EULER_GAMMA) * normal.quantile(1 - 1 / n) + EULER_GAMMA * normal.quantile(1 - 1 / (n * math.e))
+    return F.when((trials > 1) & (variance > 0), F.sqrt(variance) * best).otherwise(0.0)
 
 
-def probabilistic_sharpe(sharpe_pp: float, bar: float, n_obs: int, skew: float, kurtosis: float) -> float:
+def probabilistic_sharpe(sharpe_pp: Column, bar: Column, n_obs: Column, skew: Column, kurtosis: Column) -> Column:
     """The chance that the true Sharpe ratio of a period is above bar."""
-    if n_obs < 2:
-        return 0.0
-    spread = 1 - skew * sharpe_pp + (kurtosis - 1) / 4 * sharpe_pp**2
-    return NormalDist().cdf((sharpe_pp - bar) * math.sqrt(n_obs - 1) / math.sqrt(max(spread, 1e-12)))
+    spread = 1 - skew * sharpe_pp + (kurtosis - 1) / 4 * sharpe_pp * sharpe_pp
+    z = (sharpe_pp - bar) * F.sqrt(F.greatest(n_obs - 1.0, F.lit(0.0))) / F.sqrt(F.greatest(spread, F.lit(1e-12)))
+    return F.when(n_obs >= 2, normal.cdf(z)).otherwise(0.0)
+
 
+def deflated_sharpe(curves: DataFrame, trials: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """moments() of each run with sr_star and dsr, given how many configurations were tried and how their Sharpe ratios vary.
 
-def deflated_sharpe(curves: DataFrame, trials: int, variance: float) -> DataFrame:
-    """dsr of each run, given how many configurations were tried and how their Sharpe ratios vary."""
-    bar = expected_max_sharpe(trials, variance)
+    trials: n_trials and variance, a row for each value of the columns by, which curves have too; one row without by.
+    """
     m = moments(curves)
-    z = (F.col("sharpe_pp") - bar) * F.sqrt(F.col("n_obs") - 1.0) / F.sqrt(F.greatest(1 - F.col("skew") * F.col("sharpe_pp") + (F.col("kurtosis") - 1) / 4 * F.pow("sharpe_pp", F.lit(2)), F.lit(1e-12)))
-    return m.withColumn("sr_star", F.lit(bar)).withColumn("dsr", F.when(F.col("n_obs") >= 2, normal_cdf(z)).otherwise(0.0))
+    if by:
+        m = m.join(curves.select("run_id", *by).distinct(), "run_id").join(trials, list(by))
+    else:
+        m = m.join(F.broadcast(trials))  # one row
+    bar = expected_max_sharpe(F.col("n_trials"), F.col("variance"))
+    m = m.withColumn("sr_star", bar)
+    return m.withColumn("dsr", probabilistic_sharpe(*map(F.col, ("sharpe_pp", "sr_star", "n_obs", "skew", "kurtosis"))))
 
 
-def normal_cdf(z: Column) -> Column:
-    """The normal distribution function, by the error function's continued series of Abramowitz and Stegun 7.1.26 (to 1.5e-7)."""
-    x = F.abs(z) / math.sqrt(2.0)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    half = poly * F.exp(-x * x) / 2
-    return F.when(z >= 0, 1 - half).otherwise(half)
+def validated(curves: DataFrame, runs: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(deflated_sharpe() of the runs out of sample, the registry of trials with theirs added).
+
+    runs: run_id, config_hash, walk_forward_windows; a run without windows is in-sample: it isn't logged and has no dsr.
+    stored: id, config_hash, metrics (JSON). New trials get the next ids in the order of run_ids.
+    """
+    out = curves.join(runs.filter("walk_forward_windows > 0").select("run_id", "config_hash"), "run_id")
+    new = moments(out).join(runs.select("run_id", "config_hash"), "run_id").select("run_id", "config_hash", F.to_json(F.struct("sharpe_pp")).alias("metrics"))
+    log = stored.select("id", "config_hash", "metrics").unionByName(numbered(stored, new, ["run_id"]).select("id", "config_hash", "metrics"))
+    return deflated_sharpe(out, trial_stats(log)), log
 
 
 def trial_stats(trials: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import money, text
+from ..functions import money, normal, text
 from ..operators import features as fe
 from ..operators import metrics, quality
 from ..sources import market as m
@@ -49,13 +49,48 @@ def return_moments(spark, sf_dir):
     return r(metrics.moments(m.curves(spark, sf_dir)), "sharpe_pp", "skew").withColumn("kurtosis", F.round("kurtosis", 5))
 
 
-@query()
+TRIALS = "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS config_hash, value / 1000 AS v FROM events"
+OF_RUNS = "SELECT run_id, count(ret) AS n_obs, avg(ret) / stddev_pop(ret) AS sharpe_pp, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurtosis FROM steps GROUP BY run_id"
+LATEST = "SELECT count(*) AS n_trials, var_pop(v) AS variance FROM (SELECT v FROM {} QUALIFY row_number() OVER (PARTITION BY config_hash ORDER BY id DESC) = 1)"
+#: Quantiles at 1 - 1 / n and 1 - 1 / (n e) of the number of trials.
+ENDS = "SELECT n_trials, variance, unnest([1, 2]) AS k, 1 - 1 / (n_trials * unnest([1.0::DOUBLE, exp(1.0::DOUBLE)])) AS p FROM latest"
+BAR = f"SELECT n_trials, sqrt(variance) * ((1 - {metrics.EULER_GAMMA!r}) * max(q) FILTER (k = 1) + {metrics.EULER_GAMMA!r} * max(q) FILTER (k = 2)) AS sr_star FROM quantiles GROUP BY n_trials, variance"
+Z = "SELECT *, (sharpe_pp - sr_star) * sqrt(n_obs - 1) / sqrt(greatest(1 - skew * sharpe_pp + (kurtosis - 1) / 4 * sharpe_pp * sharpe_pp, 1e-12)) AS z FROM of_runs, bar"
+DEFLATED = {"steps": STEPS, "of_runs": OF_RUNS}
+BARS_OF = {"ends": ENDS, "quantiles": normal.quantile_sql("ends", "p", "q"), "bar": BAR, "z": Z}
+
+
+def trial_rows(spark, sf_dir):
+    """A registry of trials: the event log, each user a configuration."""
+    e = m.table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("config_hash"), F.to_json(F.struct((F.col("value") / 1000).alias("sharpe_pp"))).alias("metrics"))
+
+
+@query(m.sql(f"SELECT run_id, n_obs, n_trials, round(variance, 6) AS variance, round(sharpe_pp, 6) AS sharpe_pp, round(skew, 6) AS skew, round(kurtosis, 5) AS kurtosis, round(sr_star, 6) AS sr_star, round({normal.cdf_sql('z')}, 6) AS dsr FROM z, (SELECT variance FROM latest)", "curves", **DEFLATED, trials=TRIALS, latest=LATEST.format("trials"), **BARS_OF))
 def deflated_sharpe(spark, sf_dir):
-    """The chance that each run's Sharpe ratio is skill, given a registry of trials: one for each user of the event log."""
+    """The chance that each run's Sharpe ratio is skill, given a registry of trials."""
+    d = metrics.deflated_sharpe(m.curves(spark, sf_dir), metrics.trial_stats(trial_rows(spark, sf_dir)))
+    return r(d, "dsr", "sr_star", "sharpe_pp", "skew", "variance").withColumn("kurtosis", F.round("kurtosis", 5))
+
+
+LOG = "SELECT * FROM trials UNION ALL SELECT (SELECT max(id) FROM trials) + row_number() OVER (ORDER BY run_id), CAST(length(run_id) % 3 AS VARCHAR), sharpe_pp FROM of_runs WHERE length(run_id) % 2 = 0"
+
+
+@query(m.sql(f"SELECT run_id, n_trials, round(sr_star, 6) AS sr_star, round({normal.cdf_sql('z')}, 6) AS dsr FROM z WHERE length(run_id) % 2 = 0", "curves", **DEFLATED, trials=TRIALS, log=LOG, latest=LATEST.format("log"), **BARS_OF))
+def validated_runs(spark, sf_dir):
+    """Runs out of sample, logged as trials of their configurations and judged by all that were tried; the others, whose names
+    have an odd number of letters, are in-sample."""
+    c = m.curves(spark, sf_dir)
+    runs = c.select("run_id").distinct().select("run_id", (F.length("run_id") % 3).cast("string").alias("config_hash"), ((F.length("run_id") + 1) % 2).alias("walk_forward_windows"))
+    d, _ = metrics.validated(c, runs, trial_rows(spark, sf_dir))
+    return r(d.select("run_id", "n_trials", "sr_star", "dsr"), "sr_star", "dsr")
+
+
+@query(f"SELECT event_id, round(z, 8) AS z FROM ({normal.quantile_sql('(SELECT event_id, (event_id % 9999 + 0.5) / 9999::DOUBLE AS p FROM events)', 'p', 'z')})")
+def normal_scores(spark, sf_dir):
+    """Normal quantiles of numbers that are evenly spread between 0 and 1."""
     e = m.table(spark, sf_dir, "events")
-    trials = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("config_hash"), F.to_json(F.struct((F.col("value") / 1000).alias("sharpe_pp"))).alias("metrics"))
-    s = metrics.trial_stats(trials).first()
-    return r(metrics.deflated_sharpe(m.curves(spark, sf_dir), s["n_trials"], s["variance"]), "dsr", "sr_star", "sharpe_pp", "skew").withColumn("kurtosis", F.round("kurtosis", 5))
+    return e.select("event_id", F.round(normal.quantile((F.col("event_id") % 9999 + 0.5) / 9999), 8).alias("z"))
 
 
 @query("""WITH t AS (SELECT user_id, arg_max(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100, event_id) AS v FROM events GROUP BY user_id)
