@@ -287,15 +287,6 @@ def recent_trades(spark, sf_dir):
     return m.table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query(m.sql("""SELECT x.ticker, x.close, stop, CASE WHEN x.close <= stop THEN 'BREACH' WHEN x.close <= stop * 1.05 THEN 'NEAR' END AS state FROM (SELECT ticker, arg_max(close, bar_start) AS close, max(bar_start) AS t FROM intraday GROUP BY ticker) x
- JOIN (SELECT ticker, median(close) AS stop FROM intraday GROUP BY ticker) s ON x.ticker = s.ticker WHERE x.close <= stop * 1.05""", "intraday"))
-def stop_monitor(spark, sf_dir):
-    """Newest five-minute bar of each name against a stop (its median close): near it or below."""
-    i = m.intraday(spark, sf_dir)
-    d = i.groupBy("ticker").agg(F.max_by("close", "bar_start").alias("close"), F.percentile("close", F.lit(0.5)).alias("stop"))
-    return d.withColumn("state", F.when(F.col("close") <= F.col("stop"), "BREACH").when(F.col("close") <= F.col("stop") * 1.05, "NEAR")).filter("state is not null")
-
-
 @query(m.sql("SELECT ticker, epoch_us(bar_start) // 1000000 AS bar_start_s, round(open, 9) AS open, round(high, 9) AS high, round(low, 9) AS low, round(close, 9) AS close, volume FROM intraday", "intraday"))
 def intraday_bars(spark, sf_dir):
     return r(m.intraday(spark, sf_dir).withColumn("bar_start_s", F.unix_seconds("bar_start")).drop("bar_start"), "open", "high", "low", "close")

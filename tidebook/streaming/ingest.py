@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.refdata import insert_new
+from ..operators.stored import store_filings
 from ..storage import scratch
+from ..tables import Table
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and gives what it wrote."""
+def drain(stream: DataFrame, name: str, mode: str = "append", folders: tuple[str, str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there and gives what it wrote; folders: of its output and its state, to go on from."""
     spark = stream.sparkSession
-    out = scratch(spark, name)
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{name}-state")).outputMode(mode).trigger(availableNow=True).start()
+    out, state = folders or (scratch(spark, name), scratch(spark, f"{name}-state"))
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -31,21 +30,15 @@ def five_minute_bars(trades: DataFrame, late: str = "10 minutes") -> DataFrame:
     return d.select("ticker", F.col("w.start").alias("bar_start"), "open", "high", "low", "close", "volume")
 
 
-def keep_first(key: list[str], first: str, read: Callable[[], DataFrame], append: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: of rows with a new key the one of least first is appended; stored ones are never changed.
+def filings_stream(source: DataFrame, table: Table, name: str = "filings", state: str | None = None) -> None:
+    """Drains a stream of filings (dedup_key, published_at, ...) into a table, first write wins.
 
-    A batch that runs again appends nothing, as its keys are stored then.
+    A batch reads the keys of the buckets that it touches, not the table; one that runs again changes nothing. state is the
+    checkpoint's folder, which a later drain goes on from.
     """
 
-    def each(batch: DataFrame, _epoch: int) -> None:
-        append(insert_new(read(), batch, key, F.col(first)))
-
-    return each
-
+    def each(batch: DataFrame, epoch: int) -> None:
+        store_filings(table, batch, (name, epoch))
 
-def filings_stream(spark: SparkSession, source: DataFrame, store: str) -> None:
-    """Drains a stream of filings (dedup_key, published_at, ...) into the Parquet folder store, first write wins."""
-    schema = source.schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(store)
-    each = keep_first(["dedup_key"], "published_at", lambda: spark.read.schema(schema).parquet(store), lambda d: d.write.mode("append").parquet(store))
-    source.writeStream.foreachBatch(each).option("checkpointLocation", scratch(spark, "filings-state")).trigger(availableNow=True).start().awaitTermination()
+    place = state or scratch(source.sparkSession, f"{name}-state")
+    source.writeStream.foreachBatch(each).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
