@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from datetime import date, timedelta
 from hashlib import sha256
 from pathlib import Path
@@ -41,23 +42,31 @@ def daily_csv(spark: SparkSession, path: str) -> DataFrame:
     return d.select(day.alias("date"), *prices, F.coalesce(F.col("volume").try_cast("double"), F.lit(0.0)).alias("volume")).dropna()
 
 
-def session_grid(spark: SparkSession, rows: list[list[str]]) -> DataFrame:
-    """Rows of a session's sheet below its header: date, name, isin, currency, prices, volume.
-
-    The header must name at least four of the known columns. Short rows, rows without prices (suspended names) and
-    closes of 0 or less are left out; no volume is 0.
-    """
+def grid_header(rows: Sequence[Sequence]) -> list[Sequence]:
+    """The rows of a session's sheet below its header, which must name at least four of the known columns; short ones are left out."""
     words = ("data", "nazwa", "isin", "waluta", "kurs zamknięcia", "wolumen")
     at = next((i for i, row in enumerate(rows) if sum(any(w == str(c).strip().lower() for c in row) for w in words) >= 4), None)
     if at is None:
         raise ValueError("no header")
-    body = [[str(c) if c is not None else None for c in row[:10]] for row in rows[at + 1 :] if len(row) >= 10]
-    d = spark.createDataFrame(body, ", ".join(f"{c} string" for c in GRID_COLUMNS))
+    return [row[: len(GRID_COLUMNS)] for row in rows[at + 1 :] if len(row) >= len(GRID_COLUMNS)]
+
+
+def grid_rows(cells: DataFrame, *keep: str) -> DataFrame:
+    """date, name, isin, currency, prices, volume of cells (text columns by the names of GRID_COLUMNS), and the columns keep.
+
+    Rows without prices (suspended names) and closes of 0 or less are left out; no volume is 0.
+    """
     day = F.coalesce(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")), F.try_to_timestamp("date", F.lit("dd-MM-yyyy"))).cast("date")
-    out = d.select(day.alias("date"), F.trim("name").alias("name"), F.trim("isin").alias("isin"), F.trim("currency").alias("currency"), *[number(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], F.coalesce(number(F.col("volume")), F.lit(0.0)).alias("volume"))
+    out = cells.select(*keep, day.alias("date"), F.trim("name").alias("name"), F.trim("isin").alias("isin"), F.trim("currency").alias("currency"), *[number(F.col(c)).alias(c) for c in ("open", "high", "low", "close")], F.coalesce(number(F.col("volume")), F.lit(0.0)).alias("volume"))
     return out.dropna(subset=["date", "close", "open", "high", "low"]).filter("close > 0")
 
 
+def session_grid(spark: SparkSession, rows: list[list[str]]) -> DataFrame:
+    """grid_rows() of one sheet that is at hand; sheets that are to be fetched come through fetched.sessions()."""
+    body = [[str(c) if c is not None else None for c in row] for row in grid_header(rows)]
+    return grid_rows(spark.createDataFrame(body, ", ".join(f"{c} string" for c in GRID_COLUMNS)))
+
+
 def index_json(payloads: DataFrame, column: str = "value") -> DataFrame:
     """date, open, high, low, close, volume of index charts: seconds become Warsaw dates; an o, h or l of 0 or less is the close."""
     shape = "array<struct<data:array<struct<t:bigint,o:double,h:double,l:double,c:double>>>>"
