@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from .common import append, texts, with_columns
 from .tokens import BYTE_LEVEL_PATTERN
 
-#: Words whose ids a worker remembers, and the longest such word in bytes: 25 MB or so.
-MEMORY, MEMORABLE = 120_000, 64
+#: Words whose ids a worker remembers, and the longest such word in bytes: 50 MB or so.
+MEMORY, MEMORABLE = 250_000, 64
 #: Rows of a batch that are turned into Python objects at a time.
 ROWS = 256
 
@@ -122,7 +122,7 @@ class Automaton:
         """
         token = {b: t for t, b in enumerate(self.label) if b and t not in self.special.values()}
         longest = max(map(len, token), default=1)
-        place, state = array("i", self.place.tolist()), array("i", self.state.tolist())
+        place, state = self.place.tolist(), self.state.tolist()
         edges = [array("i", self.closed[a:b].tolist()) for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
 
         def walk(w: bytes) -> list[int]:
