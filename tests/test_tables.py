@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook import tables
-from tidebook.operators import pairing, stored
+from tidebook.operators import pairing, snapshots, stored
 from tidebook.storage import scratch
 from tidebook.tables import Conflict, Table
 
@@ -145,6 +145,32 @@ def test_unknown_labels_raise(spark):
         stored.store_labels(t, spark.createDataFrame([(1, "splendid", 1)], "filing_id long, label string, labelled_at long"))
 
 
+# --- snapshots ---------------------------------------------------------------------------------------------------------------
+
+
+def test_a_snapshot_that_cannot_stand_in_is_named(spark):
+    a, b = spark.range(3), spark.range(5)
+    then, now = {"t": a, "w": a, "v": a, "m": b}, {"t": b, "u": a, "v": a.withColumn("x", F.lit(1)), "m": a}
+    got = snapshots.compared(snapshots.described(then), snapshots.described(now))
+    assert rows(got) == [("m", 5, 3, "more rows than now"), ("t", 3, 5, None), ("u", None, 3, "not in the snapshot"), ("v", 3, 3, "lacks x"), ("w", 3, None, "not known")]
+
+
+def test_snapshots_outlive_later_batches_and_go_when_they_are_old(spark):
+    tables = {"t": Table(spark, scratch(spark, "t"), ["id"], buckets=2), "none": Table(spark, scratch(spark, "none"), ["id"])}
+    log = snapshots.log_table(spark, scratch(spark, "log"))
+    at = lambda day: F.lit(f"2024-03-{day:02d}").cast("timestamp")
+    for day in range(1, 6):
+        tables["t"].upsert(made(spark, (day, "a", day)))
+        snapshots.take(log, tables, at(day))
+        snapshots.take(log, tables, at(day))  # again: the same snapshot
+    assert log.read().count() == 5
+    snapshots.retain(log, tables, daily=2, monthly=1)
+    days = sorted(r["d"] for r in log.read().select(F.dayofmonth("taken_at").alias("d")).collect())
+    assert days == [1, 4, 5] and tables["t"].versions() == [1, 4, 5]
+    assert [snapshots.restore(log, tables, at(d))["t"].count() for d in (1, 3, 4, 9)] == [1, 1, 4, 5]
+    assert snapshots.restore(log, tables, F.lit("2020-01-01").cast("timestamp")) == {}
+
+
 # --- pairing in the order of a queue -------------------------------------------------------------------------------------
 
 

@@ -61,18 +61,3 @@ def compared(metrics: DataFrame, baseline: str, floors: dict[str, float] | None
         notes = [F.lit("floors missing")]
     d = d.withColumns({"better": better, "notes": F.concat_ws("; ", *notes)})
     return d.withColumn("accepted", F.col("better") & (F.col("notes") == ""))
-
-
-def restorable(live: dict[str, DataFrame], snapshot: dict[str, DataFrame]) -> list[tuple[str, int, int, str | None]]:
-    """(table, rows of the snapshot, rows now, what is wrong or None) for each table of either side.
-
-    A snapshot is older, so it may have fewer rows, but not more; it must have the same tables and their columns.
-    """
-    out = []
-    for name in sorted({*live, *snapshot}):
-        a, b = snapshot.get(name), live.get(name)
-        n, m = (x.count() if x is not None else 0 for x in (a, b))
-        lacking = sorted(set(b.columns) - set(a.columns)) if a is not None and b is not None else []
-        wrong = "not in the snapshot" if a is None else "not known" if b is None else f"lacks {', '.join(lacking)}" if lacking else "more rows than now" if n > m else None
-        out.append((name, n, m, wrong))
-    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, normal, text
 from ..operators import features as fe
-from ..operators import metrics, quality
+from ..operators import metrics, quality, snapshots
 from ..sources import market as m
 from ..storage import scratch
 from ..tables import Table
@@ -299,10 +299,27 @@ KEEP = """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM or
 @query(KEEP)
 def retention_keep(spark, sf_dir):
     """The fourteen newest snapshots and the first of each of the twelve newest months: one row for each day there was one."""
-    d = m.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().withColumn("month", F.date_trunc("month", "day"))
-    newest = d.orderBy(F.desc("day")).limit(14).select("day")
-    firsts = d.groupBy("month").agg(F.min("day").alias("day")).orderBy(F.desc("month")).limit(12).select("day")
-    return newest.union(firsts).distinct()
+    return snapshots.kept(m.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")))
+
+
+@query("""SELECT 'customer' AS "table", count(*) AS rows_then, count(*) AS rows_now, 'lacks c_name' AS wrong FROM customer
+ UNION ALL SELECT 'events', 2 * count(*), count(*), 'more rows than now' FROM events UNION ALL SELECT 'nation', NULL, count(*), 'not in the snapshot' FROM nation
+ UNION ALL SELECT 'old', count(*), NULL, 'not known' FROM region UNION ALL SELECT 'orders', count(*) FILTER (o_orderdate < TIMESTAMP '1998-01-01'), count(*), NULL FROM orders""")
+def restore_check(spark, sf_dir):
+    """A snapshot of stored tables against what is there now: one lost a column, one has too many rows, one is missing, one is
+    unknown, and the orders have only grown."""
+    at = lambda name: m.table(spark, sf_dir, name)
+    tables = {n: Table(spark, scratch(spark, f"live-{n}"), k, buckets=4) for n, k in {"orders": ["o_orderkey"], "old": ["r_regionkey"], "customer": ["c_custkey"], "events": ["copy", "event_id"]}.items()}
+    tables["orders"].overwrite(at("orders").filter("o_orderdate < timestamp '1998-01-01'"))
+    tables["old"].overwrite(at("region"))
+    tables["customer"].overwrite(at("customer").drop("c_name"))
+    tables["events"].overwrite(at("events").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))))
+    log = snapshots.log_table(spark, scratch(spark, "snapshots"))
+    snapshots.take(log, tables, F.lit("2024-01-01").cast("timestamp"))
+    tables["orders"].upsert(at("orders"))
+    then = snapshots.restore(log, tables, F.lit("2024-02-01").cast("timestamp"))
+    now = {"orders": tables["orders"].read()} | {n: at(n) for n in ("customer", "nation")} | {"events": at("events").withColumn("copy", F.lit(1))}
+    return snapshots.compared(snapshots.described(then), snapshots.described(now))
 
 
 @query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 1 UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey % 5 = 1")

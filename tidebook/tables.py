@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,12 +158,14 @@ class Table:
         self._commit(m, {b: [f] for b, f in self._write(rows).items()}, rows.schema, batch)
         return True
 
-    def vacuum(self, keep: int = 2) -> None:
-        """Deletes all but the newest versions, and the folders that none of those names. No batch may run meanwhile."""
+    def vacuum(self, keep: int = 2, also: Sequence[int] = ()) -> None:
+        """Deletes all but the newest versions and those of also, and the folders that none of these names. No batch may run meanwhile."""
         known = self.versions()
-        for v in known[:-keep]:
-            self._fs.delete(self._at(f"manifests/{v:08d}.json"), False)
-        used = {f.rpartition("/")[0] for v in known[-keep:] for names in self.manifest(v)["folders"].values() for f in names}
+        stay = {*known[-keep:], *also}
+        for v in known:
+            if v not in stay:
+                self._fs.delete(self._at(f"manifests/{v:08d}.json"), False)
+        used = {f.rpartition("/")[0] for v in stay & {*known} for names in self.manifest(v)["folders"].values() for f in names}
         for s in self._fs.listStatus(self._at("data")) if self._fs.exists(self._at("data")) else []:
             if f"data/{s.getPath().getName()}" not in used:
                 self._fs.delete(s.getPath(), True)
