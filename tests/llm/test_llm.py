@@ -147,17 +147,36 @@ def test_longer_rules_are_those_of_brute_force(spark):
     assert got == {c for c, v in found.items() if not any(set(o) < set(c) and found[o] >= v for o in found)} and ("a", "b", "c", "d") in got
 
 
-def test_a_mined_rule_decides_urls(spark):
-    """On the given tables some url that no stated rule fits is blocked by a mined one."""
+def test_only_rules_that_other_labels_bear_out_block(spark):
+    """h:win is bad in both halves; h:luck only where rules are mined from; h:rare has too few pages that are held back."""
+    mined_from = [(["h:win", "s:a"], True)] * 30 + [(["h:luck", "s:a"], True)] * 30 + [(["h:rare", "s:b"], True)] * 30 + [(["h:good", "s:b"], False)] * 200
+    held = [(["h:win", "s:a"], True)] * 9 + [(["h:win", "s:b"], False)] + [(["h:luck", "s:a"], False)] * 8 + [(["h:luck", "s:a"], True)] * 2 + [(["h:rare", "s:b"], True)] * 2 + [(["h:good"], False)] * 60 + [(None, True), (["h:win"], None)]
+    schema = "tokens array<string>, bad boolean"
+    rules = urls.mine(spark.createDataFrame([*mined_from, (None, True)], schema))
+    assert {tuple(r["tokens"]) for r in rules.collect()} >= {("h:win",), ("h:luck",), ("h:rare",)}
+    good = urls.borne_out(rules, spark.createDataFrame(held, schema))
+    assert {tuple(r["tokens"]) for r in good.collect()} == {("h:win",), ("h:win", "s:a")} & {tuple(r["tokens"]) for r in rules.collect()}
+    pages = spark.createDataFrame([(1, "http://win/x", "p"), (2, "http://luck/x", "p"), (2, "http://luck/x", "p"), (3, None, "p"), (4, "", "p"), (5, "http://good/" + "a/" * 500_000, "p")], "page_id long, url string, verdict string")
+    got = sorted((r["page_id"], r["verdict"]) for r in urls.judge(pages, [], good).collect())
+    assert got == [(1, "block"), (2, "allow"), (2, "allow"), (3, "allow"), (4, "allow"), (5, "allow")]
+    assert urls.borne_out(rules, spark.createDataFrame([], schema)).count() == 0
+    assert urls.judge(pages.limit(0), [("block", "net/")], good).count() == 0
+
+
+def test_labels_come_from_whole_articles(spark):
+    """Every page's article is a document's whole text; a text that only begins alike has no part in it."""
     from tidebook.llm import q_urls
 
     sf = "/root/testdata/sf0.01"
-    assert not urls.mine(q_urls.labelled(spark, sf)).isEmpty()
-    got = q_urls.op2_url_filters(spark, sf).filter("rule is null").groupBy("verdict").count().collect()
-    assert {r["verdict"] for r in got} == {"allow", "block"}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.sha2(urls.article_of(F.col("html")), 256).alias("text"))
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.sha2(urls.squeezed(F.col("text")), 256).alias("text")).distinct()
+    assert pages.join(texts, "text").count() == pages.count()
+    odd = spark.createDataFrame([(None,), ("",), ("<article><h1>x</h1></article>",), ("<article><h1>T</h1><p>a &amp;lt; b<br>\n c</article>",)], "html string")
+    assert [r[0] for r in odd.select(urls.article_of(F.col("html"))).collect()] == [None, None, None, "a &lt; b c"]
     assert_same(q_urls.op2_url_filters(spark, sf), q_urls.OP2_SQL, sf)
 
 
+
 # --- mixing ------------------------------------------------------------------------------------------
 
 

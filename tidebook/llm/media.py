@@ -208,6 +208,9 @@ def tracks(data: bytes) -> list[dict]:
             t["duration"] = max(t["duration"], sum(int(n * d) for n, d in t["stts"]) + duration)
             t["keys"] = np.concatenate([t["keys"], len(t["sizes"]) + np.flatnonzero(keys)])
             t["offsets"], t["sizes"] = np.concatenate([t["offsets"], offsets]), np.concatenate([t["sizes"], sizes])
+        left = len(data) - t["offsets"]
+        if ((t["offsets"] < 0) | (t["sizes"] < 0) | (left < 0) | (t["sizes"] > left)).any():
+            raise Malformed("a sample that isn't in the file")
     return found
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import kept, small
 
 BAD = "label=bad"
+#: Entities of texts in pages, the one of & last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -56,7 +58,9 @@ def mine(labelled: DataFrame, least_rows: int = 20, support: float = 0.001, conf
     labelled: tokens, bad. FP-growth counts all sets of tokens with the label that occur in least_rows rows and in a
     share of support of all rows at least. Of these the ones of enough confidence and lift stay, however many tokens
     they have (unless longest says otherwise), and among them those of which no part is a rule of as much confidence.
+    Rows with null tokens don't count, null labels count as good; repeated rows count as often as they stand there.
     """
+    labelled = labelled.filter("tokens is not null")
     n = labelled.count()
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "tokens array<string>, confidence double, lift double, rows long")
@@ -75,12 +79,47 @@ def mine(labelled: DataFrame, least_rows: int = 20, support: float = 0.001, conf
     return rules.join(covered, "tokens", "left_anti")
 
 
+def _at_rarest(rules: DataFrame) -> DataFrame:
+    """tokens of each rule and token, the one that fewest rules hold: an inverted index with each rule in one list."""
+    each = rules.select("tokens", F.explode("tokens").alias("token"))
+    return each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+
+
+def borne_out(mined: DataFrame, held: DataFrame, least_rows: int = 5, confidence: float = 0.6, lift: float = 2.0) -> DataFrame:
+    """The mined rules that labels they were not mined from bear out.
+
+    held: tokens, bad. Of its rows that have all tokens of a rule there must be least_rows, and they must be bad in a share of
+    confidence, and of lift times the share of all held rows, at least. Without held rows no rule is borne out.
+    """
+    rows = held.withColumn("_row", F.monotonically_increasing_id()).select("_row", "bad", F.col("tokens").alias("own"), F.explode("tokens").alias("token"))
+    met = rows.join(small(_at_rarest(mined)), "token").filter(F.size(F.array_except("tokens", "own")) == 0)
+    seen = met.groupBy("tokens").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col("bad").cast("int")).alias("_share"))
+    base = held.agg(F.avg(F.col("bad").cast("int")).alias("_base"))
+    good = seen.join(F.broadcast(base)).filter((F.col("_n") >= least_rows) & (F.col("_share") >= confidence) & (F.col("_share") >= lift * F.col("_base")))
+    return mined.join(good.select("tokens"), "tokens", "left_semi")
+
+
+def article_of(html: Column) -> Column:
+    """The text of a page's article without its heading: tags count as blanks, runs of white space as one; null without one."""
+    body = F.regexp_extract(html, r"(?s)<article>(.*?)</article>", 1)
+    bare = F.regexp_replace(F.regexp_replace(body, r"(?s)<h1>.*?</h1>", " "), r"<[^>]*>", " ")
+    for name, sign in ENTITIES:
+        bare = F.replace(bare, F.lit(name), F.lit(sign))
+    return F.nullif(squeezed(bare), F.lit(""))
+
+
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " "))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame) -> DataFrame:
     """page_id, url, host, path, rule and verdict of every row of pages (page_id, url).
 
     A stated rule decides where one fits; elsewhere a url is blocked if all tokens of a mined rule are among its own.
     Mined rules are found by an inverted index: each stands under its token that fewest rules hold, and is compared
-    whole where a url has that token. Each distinct url is looked up once. A null url has no token and is allowed.
+    whole where a url has that token. Each distinct url is looked up once. A null url has no token and is allowed, an empty one
+    too; repeated rows get the same verdict; a very long url has as many tokens as it has parts. Other columns of pages are
+    left out. An empty table stays empty.
     """
     d = pages.select("page_id", "url").withColumns({"host": F.coalesce(host_of(F.col("url")), F.lit("")), "path": F.coalesce(path_of(F.col("url")), F.lit(""))})
     d = d.withColumn("_rule", stated(F.col("host"), F.col("path"), rules))
@@ -88,8 +127,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame) -> D
     mined = kept(mined, "url-rules-kept")
     if mined.isEmpty():
         return said(F.lit("allow"))
-    each = mined.select("tokens", F.explode("tokens").alias("token"))
-    rare = each.join(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    rare = _at_rarest(mined)
     open_urls = d.filter("_rule is null and url is not null").select("url", "host", "path").distinct()
     looked = open_urls.select("url", tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("own")).select("url", "own", F.explode("own").alias("token"))
     blocked = looked.join(small(rare), "token").filter(F.size(F.array_except("tokens", "own")) == 0).select("url").distinct()
