@@ -98,9 +98,10 @@ def penalized(confidence: Column, ok: Column, factor: float = 0.5) -> Column:
 
 
 def verdict_score(verdict: Column, conviction: Column) -> Column:
-    """The verdict's sign times conviction, within -1 and 1; null for an unknown verdict."""
+    """The verdict's sign times conviction, within -1 and 1; null for an unknown verdict or conviction."""
     sign = F.when(verdict == "bullish", 1.0).when(verdict == "bearish", -1.0).when(verdict == "neutral", 0.0)
-    return F.greatest(F.least(sign * conviction, F.lit(1.0)), F.lit(-1.0))
+    score = sign * conviction
+    return F.when(score.isNotNull(), F.greatest(F.least(score, F.lit(1.0)), F.lit(-1.0)))
 
 
 def relevance_score(label: Column) -> Column:

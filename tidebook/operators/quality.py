@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import price_factor
+from .asof import asof
 from .features import previous_valid_close
 
 
@@ -102,3 +103,61 @@ def silence(filings: DataFrame, now: Column, most: dict[str, float], default: fl
         limit = F.when(F.col("source") == name, F.lit(float(hours))).otherwise(limit)
     d = filings.groupBy("source").agg(F.max("published_at").alias("newest")).withColumn("hours", business_hours(F.col("newest"), now))
     return d.filter(F.col("hours") > limit)
+
+
+def no_data(universe: DataFrame, bars: DataFrame) -> DataFrame:
+    """ticker of the universe's entries without any bar, whether they are known or not."""
+    return universe.select("ticker").distinct().join(bars.select("ticker").distinct(), "ticker", "left_anti")
+
+
+def price_checks(bars: DataFrame, universe: DataFrame, index: DataFrame, index_name: str, actions: DataFrame, most_behind: int = 5, most_move: float = 0.25) -> DataFrame:
+    """category, ticker, detail of all that is wrong with bars (ticker, date, close, volume).
+
+    universe: ticker and delisted_on. index: the benchmark's bars (date), whose dates are the exchange's calendar. Of
+    instruments that were delisted by its end none is stale. If the benchmark has no bar, that is said (no_data), and what
+    needs the calendar is silent; if it ends before the newest bar, it is stale itself.
+    """
+    own = bars.join(universe.select("ticker").distinct(), "ticker", "left_semi")
+    days = index.select("date").distinct().withColumn("session", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))  # a row a day
+    end = days.agg(F.max("date").alias("end"), F.count(F.lit(1)).alias("n"))
+    last = own.groupBy("ticker").agg(F.max("date").alias("last")).join(universe.select("ticker", "delisted_on").distinct(), "ticker").join(F.broadcast(end))
+    before = days.select(F.col("date").alias("last"), F.col("session").alias("at"))
+    known = asof(last.filter("end is not null and (delisted_on is null or delisted_on > end)").withColumn("_all", F.lit(1)), before.withColumn("_all", F.lit(1)), "_all", "last", "last", ["at"])
+    behind = F.col("n") - 1 - F.coalesce("at", F.lit(-1))
+    late = known.withColumn("behind", behind).filter(F.col("behind") > most_behind).select("ticker", "last", "behind")
+    newest = own.agg(F.max("date").alias("newest")).join(F.broadcast(end))
+    lag = newest.filter("newest > end").select(F.lit(index_name).alias("ticker"), "end", "newest")
+    none = end.filter("n = 0").select(F.lit(index_name).alias("ticker"))
+    moves = jumps(own, action_factors(actions, days, own), most_move).select("ticker", "date")
+    found = {"no_data": no_data(universe, bars).unionByName(none), "missing_session": missing_sessions(own, days), "bad_volume": bad_volume(own).select("ticker", "date"), "unexplained_jump": moves, "stale_ticker": late, "stale_benchmark": lag}
+    return report(found)
+
+
+def filings_checks(filings: DataFrame, feeds: DataFrame, now: Column, silent: float = 12.0, feed_silent: float = 48.0, volume_days: int = 3, least: int = 10, text_days: int = 7, chars: int = 200, ratio: float = 0.5, sample: int = 3) -> DataFrame:
+    """category, source, value of what is wrong with filings (source, published_at, instrument_id, full_text) at an instant.
+
+    feeds: name, enabled and max_hours (null: feed_silent). filings_silent: business hours since the newest filing, of the
+    collector; feed_silent: those of an enabled feed; a null value says that nothing was ever stored. filings_low_volume:
+    filings of the last volume_days, if under least. filings_missing_text: the share of short texts among a feed's filings
+    of known instruments of the last text_days, from sample of them on. Without an enabled feed nothing else is said than
+    that the collector is silent. Filings are read once and summed up by source.
+    """
+    since = lambda days: F.col("published_at") >= now - F.make_dt_interval(F.lit(days))
+    mapped = F.col("instrument_id").isNotNull() & since(text_days)
+    short = F.length(F.coalesce("full_text", F.lit(""))) < chars
+    by = filings.groupBy("source").agg(F.max("published_at").alias("newest"), F.count_if(since(volume_days)).alias("recent"), F.count_if(mapped).alias("mapped"), F.count_if(mapped & short).alias("short"))
+    on = feeds.filter("enabled").select(F.col("name").alias("source"), F.coalesce("max_hours", F.lit(float(feed_silent))).alias("most"))
+    some = on.agg(F.count(F.lit(1)).alias("n_feeds"))
+    whole = by.agg(F.max("newest").alias("newest"), F.coalesce(F.sum("recent"), F.lit(0)).alias("recent")).join(F.broadcast(some))
+    hours = business_hours(F.col("newest"), now)
+    row = lambda d, category, source, value: d.select(F.lit(category).alias("category"), source.alias("source"), value.cast("double").alias("value"))
+    collector, nothing = F.lit("collector"), F.lit(None)
+    own = on.join(by, "source", "left")
+    return (
+        row(whole.filter((F.col("n_feeds") == 0) | F.col("newest").isNull()), "filings_silent", collector, nothing)
+        .unionByName(row(whole.filter((F.col("n_feeds") > 0) & (hours > silent)), "filings_silent", collector, hours))
+        .unionByName(row(own.filter("newest is null"), "feed_silent", F.col("source"), nothing))
+        .unionByName(row(own.filter(hours > F.col("most")), "feed_silent", F.col("source"), hours))
+        .unionByName(row(whole.filter((F.col("n_feeds") > 0) & (F.col("recent") < least)), "filings_low_volume", collector, F.col("recent")))
+        .unionByName(row(own.filter((F.col("mapped") >= sample) & (F.col("short") > ratio * F.col("mapped"))), "filings_missing_text", F.col("source"), F.col("short") / F.col("mapped")))
+    )

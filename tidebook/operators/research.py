@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +15,25 @@ from ..functions import text
 ATTEMPTS = 3
 
 
-def waiting(filings: DataFrame, as_of: Column, attempts: int = ATTEMPTS) -> DataFrame:
-    """Filings known by an instant that are neither processed nor given up."""
-    return filings.filter((F.col("published_at") <= as_of) & ~F.col("processed") & (F.col("attempts") < attempts))
+def waiting(filings: DataFrame, as_of: Column | datetime, attempts: int = ATTEMPTS, instrument_id: int | None = None) -> DataFrame:
+    """Filings known by an instant that are neither processed nor given up; of one instrument, if it is named.
+
+    A datetime must have a time zone: a naive one could mean any.
+    """
+    if isinstance(as_of, datetime):
+        if as_of.tzinfo is None:
+            raise ValueError("as_of needs a time zone")
+        as_of = F.timestamp_micros(F.lit(round(as_of.timestamp() * 1_000_000)))
+    found = filings.filter((F.col("published_at") <= as_of) & ~F.col("processed") & (F.col("attempts") < attempts))
+    return found if instrument_id is None else found.filter(F.col("instrument_id") == instrument_id)
+
+
+def sole_instrument(names: DataFrame, instruments: DataFrame, name: str = "name") -> DataFrame:
+    """names with instrument_id, that of the one instrument whose ticker or name it is, in any case; null if none or several are."""
+    keys = instruments.select(F.explode(F.array(F.upper("ticker"), F.upper("name"))).alias("_key"), "instrument_id").filter("_key is not null").distinct()
+    sole = keys.groupBy("_key").agg(F.count_distinct("instrument_id").alias("_n"), F.min("instrument_id").alias("_id")).filter("_n = 1")
+    d = names.drop("instrument_id").withColumn("_asked", F.upper(F.trim(name)))
+    return d.join(sole, F.col("_asked") == F.col("_key"), "left").withColumnRenamed("_id", "instrument_id").drop("_asked", "_key", "_n")
 
 
 def backlog(filings: DataFrame, instruments: DataFrame) -> DataFrame:

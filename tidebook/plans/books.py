@@ -9,7 +9,7 @@ from ..functions import money, normal, text
 from ..operators import features as fe
 from ..operators import metrics, quality, snapshots
 from ..sources import market as m
-from ..storage import scratch
+from ..storage import scratch, written
 from ..tables import Table
 from .features import CAL, PANEL, TR, r
 
@@ -243,11 +243,62 @@ def dedup_earliest(spark, sf_dir):
     return m.filings(spark, sf_dir).groupBy("content_hash").agg(F.min("filing_id").alias("filing_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query(r"""SELECT page_id, nullif(regexp_extract(url, '([0-9]+)', 1), '') AS number, CASE WHEN regexp_matches(url, '(?i)\bblog\b') THEN 'BLOG' WHEN regexp_matches(url, '(?i)\bwww\b') THEN 'WWW' ELSE 'OTHER' END AS kind FROM pages""")
+TITLES = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN c_name || ' S.A. (EBI) : raport' WHEN 1 THEN c_name || ' sp. z o.o., S.A.: report ' WHEN 2 THEN ' ' || o_orderpriority ELSE c_name || ' ASA (' END || CASE WHEN o_orderkey % 3 = 0 THEN ' nr ' || (o_orderkey % 90 + 1) || ' / 2024' ELSE '' END AS title,
+ 'ESPI ' || o_clerk || CASE WHEN o_orderkey % 5 < 2 THEN ' PL' || lpad(CAST(o_custkey AS VARCHAR), 10, 'X') ELSE ' none' END AS body FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+@query(f"""WITH t AS ({TITLES.replace("o_clerk", "o_orderpriority")})
+ SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 THEN regexp_extract(body, 'PL[A-Z0-9]{{10}}') END AS isin, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 90 + 1) || '/2024' END AS report_no,
+ CASE WHEN o_orderkey % 4 <> 2 THEN regexp_extract(title, '^(Customer#[0-9]+)') || CASE WHEN o_orderkey % 4 = 3 THEN ' ASA' ELSE '' END END AS issuer, CASE WHEN o_orderkey % 2 = 0 THEN 'ESPI' WHEN o_orderkey % 4 = 0 THEN 'EBI' WHEN contains(title, 'EBI') THEN 'EBI' ELSE 'OTHER' END AS channel FROM t""")
 def extract_ids(spark, sf_dir):
-    u = F.col("url")
-    kind = F.when(u.rlike(r"(?i)\bblog\b"), "BLOG").when(u.rlike(r"(?i)\bwww\b"), "WWW").otherwise("OTHER")
-    return m.table(spark, sf_dir, "pages").select("page_id", text.first_match(r"([0-9]+)", u).alias("number"), kind.alias("kind"))
+    """ISIN, report number, issuer and system of titles and texts that name them in several ways, or not at all."""
+    key, c = F.col("o_orderkey"), F.col("c_name")
+    o = m.table(spark, sf_dir, "orders").join(m.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k = key % 4
+    head = F.when(k == 0, F.concat(c, F.lit(" S.A. (EBI) : raport"))).when(k == 1, F.concat(c, F.lit(" sp. z o.o., S.A.: report "))).when(k == 2, F.concat(F.lit(" "), "o_orderpriority")).otherwise(F.concat(c, F.lit(" ASA (")))
+    title = F.concat(head, F.when(key % 3 == 0, F.concat(F.lit(" nr "), (key % 90 + 1).cast("string"), F.lit(" / 2024"))).otherwise(""))
+    body = F.concat(F.lit("ESPI "), "o_orderpriority", F.when(key % 5 < 2, F.concat(F.lit(" PL"), F.lpad(F.col("o_custkey").cast("string"), 10, "X"))).otherwise(" none"))
+    d = o.select("o_orderkey", title.alias("title"), body.alias("body"))
+    t, b = F.col("title"), F.col("body")
+    system = F.when(key % 2 == 0, text.channel(F.lit("OTHER"), t, b)).otherwise(text.channel(F.lit("OTHER"), t))
+    return d.select("o_orderkey", text.isin(t, b).alias("isin"), text.report_number(t, b).alias("report_no"), text.issuer(t).alias("issuer"), system.alias("channel"))
+
+
+CHECKED = "SELECT ticker, delisted_on, instrument_id FROM instruments UNION ALL SELECT 'new ' || instrument_id, NULL, 0 FROM instruments WHERE instrument_id % 10 = 1"
+QUOTED = "SELECT row_number() OVER (ORDER BY date) - 1 AS session, date FROM mkt_index WHERE date <= DATE '1998-08-31'"
+CUT = "SELECT b.* FROM bars b JOIN instruments i USING (ticker) WHERE instrument_id % 6 > 0 OR date < DATE '1998-07-01'"
+
+
+@query(m.sql("""SELECT 'no_data' AS category, ticker, '' AS detail FROM u WHERE ticker NOT IN (SELECT ticker FROM bars) UNION ALL
+ SELECT 'stale_benchmark', 'WIG', (SELECT max(date) FROM q) || ' ' || (SELECT max(date) FROM c) UNION ALL
+ SELECT 'stale_ticker', ticker, last || ' ' || behind FROM (SELECT ticker, last, (SELECT count(*) FROM q WHERE date > last) AS behind FROM (SELECT ticker, max(date) AS last FROM c GROUP BY ticker) JOIN u USING (ticker) WHERE delisted_on IS NULL OR delisted_on > (SELECT max(date) FROM q)) WHERE behind > 5 UNION ALL
+ SELECT 'bad_volume', ticker, CAST(date AS VARCHAR) FROM c WHERE volume IS NULL OR volume <= 0""", "bars", "instruments", "mkt_index", u=CHECKED, q=QUOTED, c=CUT))
+def price_checks(spark, sf_dir):
+    """Entries without bars, names that stopped (a sixth), and an index that ends before they do, by the index' calendar."""
+    i = m.instruments(spark, sf_dir)
+    u = i.select("ticker", "delisted_on").unionByName(i.filter("instrument_id % 10 = 1").select(F.concat(F.lit("new "), F.col("instrument_id").cast("string")).alias("ticker"), F.lit(None).cast("date").alias("delisted_on")))
+    b = written(m.bars(spark, sf_dir).join(i.select("ticker", "instrument_id"), "ticker").filter("instrument_id % 6 > 0 or date < date '1998-07-01'").drop("instrument_id"), "bars")
+    index = written(m.index_bars(spark, sf_dir).filter("date <= date '1998-08-31'"), "index")
+    return quality.price_checks(b, u, index, "WIG", m.actions(spark, sf_dir)).filter("category not in ('missing_session', 'unexplained_jump')")
+
+
+FEEDS = "SELECT * FROM (VALUES ('click', true, 100.0::DOUBLE), ('view', true, NULL), ('purchase', false, NULL), ('never', true, NULL), ('signup', true, 1.0::DOUBLE)) v(name, enabled, max_hours)"
+NOW = "TIMESTAMP '2024-02-02 12:00:00'"
+HOURS = "(SELECT sum(greatest(least(epoch(" + NOW + "), epoch(d) + 86400) - greatest(epoch(newest), epoch(d)), 0)) / 3600 FROM generate_series(date_trunc('day', newest), " + NOW + ", INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5)"
+
+
+@query(m.sql(f"""SELECT 'filings_silent' AS category, 'collector' AS source, round({HOURS}, 6) AS value FROM (SELECT max(seen) AS newest FROM f) WHERE {HOURS} > 12 UNION ALL
+ SELECT 'feed_silent', name, round({HOURS}, 6) FROM (SELECT name, coalesce(max_hours, 48) AS most, max(seen) AS newest FROM feeds LEFT JOIN f ON name = source WHERE enabled GROUP BY ALL) WHERE newest IS NULL OR {HOURS} > most UNION ALL
+ SELECT 'filings_low_volume', 'collector', count(*) FROM f WHERE seen >= {NOW} - INTERVAL 3 DAY HAVING count(*) < 10000000 UNION ALL
+ SELECT 'filings_missing_text', name, round(count(*) FILTER (k < 100) / count(*), 6) FROM feeds JOIN f ON name = source WHERE enabled AND mapped AND seen >= {NOW} - INTERVAL 7 DAY GROUP BY name HAVING count(*) >= 3 AND count(*) FILTER (k < 100) > 0.05 * count(*)""",
+ feeds=FEEDS, f="SELECT event_type AS source, date_trunc('second', ts) AS seen, user_id % 4 > 0 AS mapped, CAST(value AS BIGINT) AS k FROM events"))
+def filings_checks(spark, sf_dir):
+    """Events as filings of feeds, of which one is off and one never gave anything, three days after the log's end."""
+    e = m.table(spark, sf_dir, "events")
+    body = F.repeat(F.lit("x"), F.round("value").cast("int"))
+    f = e.select(F.col("event_type").alias("source"), F.date_trunc("second", "ts").cast("timestamp").alias("published_at"), F.when(F.col("user_id") % 4 > 0, F.col("user_id")).alias("instrument_id"), body.alias("full_text"))
+    feeds = spark.createDataFrame([("click", True, 100.0), ("view", True, None), ("purchase", False, None), ("never", True, None), ("signup", True, 1.0)], "name string, enabled boolean, max_hours double")
+    return r(quality.filings_checks(f, feeds, F.lit("2024-02-02 12:00:00").cast("timestamp"), least=10_000_000, chars=100, ratio=0.05), "value")
 
 
 @query(m.sql("SELECT instrument_id, count(*) AS n, min(filing_id) AS first_id FROM filings WHERE filing_id NOT IN (SELECT doc_id FROM labels) GROUP BY instrument_id", "filings"))
@@ -267,10 +318,10 @@ def per_class_f1(spark, sf_dir):
     return r(metrics.per_class(d.select(pick(F.col("quality") == 1).alias("truth"), pick(F.col("n_chars") > 500).alias("pred")), ["relevant", "irrelevant", "uncertain"]), "precision", "recall", "f1")
 
 
-@query("SELECT event_id, CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN -1.0 WHEN 'purchase' THEN 0.0 END * least(value / 100, 1) AS score FROM events WHERE value >= 0 AND event_type IN ('click', 'view', 'purchase')")
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN -1.0 WHEN 'purchase' THEN 0.0 END * CASE WHEN value > 100 THEN 1 ELSE value / 100 END AS score FROM events")
 def verdict_score(spark, sf_dir):
-    e = m.table(spark, sf_dir, "events").filter("value >= 0 and event_type in ('click', 'view', 'purchase')")
-    verdict = F.when(F.col("event_type") == "click", "bullish").when(F.col("event_type") == "view", "bearish").otherwise("neutral")
+    e = m.table(spark, sf_dir, "events")
+    verdict = F.when(F.col("event_type") == "click", "bullish").when(F.col("event_type") == "view", "bearish").when(F.col("event_type") == "purchase", "neutral")
     return e.select("event_id", text.verdict_score(verdict, F.col("value") / 100).alias("score"))
 
 

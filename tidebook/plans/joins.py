@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..operators import features as fe
-from ..operators import pairing, quality, refdata
+from ..operators import pairing, quality, refdata, research
 from ..operators.asof import align, asof
 from ..sources import market as m
 from ..storage import written
@@ -141,19 +141,17 @@ def back_adjusted_bars(spark, sf_dir):
     return r(refdata.back_adjusted(b, m.actions(spark, sf_dir), fe.calendar(b)), "close", "high").withColumn("volume", F.round("volume", 6)).select("ticker", "date", "close", "high", "volume")
 
 
-@query("""WITH names AS (SELECT upper(s_name) AS name, s_suppkey AS id FROM supplier UNION SELECT 'SUP-' || (s_suppkey % 50), s_suppkey FROM supplier),
- asked AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'sup-' || (o_orderkey % 80) ELSE (SELECT min(s_name) FROM supplier) END AS name FROM orders)
- SELECT o_orderkey, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS instrument_id FROM asked LEFT JOIN names ON upper(asked.name) = names.name GROUP BY o_orderkey""")
+@query("""WITH i AS (SELECT s_suppkey AS id, 'S' || s_suppkey % 50 AS ticker, s_name AS name FROM supplier), keys AS (SELECT upper(ticker) AS k, id FROM i UNION SELECT upper(name), id FROM i),
+ asked AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 's' || l_suppkey % 60 WHEN 1 THEN ' supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') ELSE lower((SELECT min(s_name) FROM supplier)) END AS name FROM lineitem)
+ SELECT name, count(*) AS n, min(id) AS instrument_id FROM (SELECT a.*, CASE WHEN (SELECT count(DISTINCT id) FROM keys WHERE k = upper(trim(a.name))) = 1 THEN (SELECT min(id) FROM keys WHERE k = upper(trim(a.name))) END AS id FROM (SELECT DISTINCT name FROM asked) a) JOIN asked USING (name) GROUP BY name""")
 def issuer_resolution(spark, sf_dir):
-    """Names that stand for exactly one supplier, by name or by a code that several may share."""
+    """Names of line items' suppliers that stand for exactly one of them, by name or by a ticker that several may share."""
     s = m.table(spark, sf_dir, "supplier")
-    keys = F.array(F.upper("s_name"), F.concat(F.lit("SUP-"), (F.col("s_suppkey") % 50).cast("string")))
-    names = s.select(F.explode(keys).alias("name"), F.col("s_suppkey").alias("id")).distinct()
-    sole = names.groupBy("name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).filter("n = 1")
-    least = s.agg(F.min("s_name").alias("least"))
-    o = m.table(spark, sf_dir, "orders").select("o_orderkey").join(F.broadcast(least))
-    asked = o.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("sup-"), (F.col("o_orderkey") % 80).cast("string"))).otherwise(F.col("least")).alias("name"))
-    return asked.join(sole, F.upper(asked["name"]) == sole["name"], "left").select("o_orderkey", F.col("id").alias("instrument_id"))
+    known = s.select(F.col("s_suppkey").alias("instrument_id"), F.concat(F.lit("S"), (F.col("s_suppkey") % 50).cast("string")).alias("ticker"), F.col("s_name").alias("name"))
+    least, k, key = s.agg(F.lower(F.min("s_name")).alias("least")), F.col("l_linenumber") % 3, F.col("l_suppkey")
+    own = F.when(k == 0, F.concat(F.lit("s"), (key % 60).cast("string"))).when(k == 1, F.concat(F.lit(" supplier#"), F.lpad(key.cast("string"), 9, "0"))).otherwise(F.col("least"))
+    asked = m.table(spark, sf_dir, "lineitem").join(F.broadcast(least)).select(own.alias("name"))
+    return research.sole_instrument(asked, known).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("instrument_id").alias("instrument_id"))
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
