@@ -27,3 +27,14 @@ def align(dates: DataFrame, series: DataFrame, by: str | None = None) -> DataFra
     back = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("close", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return d.withColumn("close", F.coalesce(back, ahead))
+
+
+def session_by(d: DataFrame, column: str, sessions: DataFrame, name: str = "session") -> DataFrame:
+    """d with name: the session (of sessions: date, session) of the last day at or before a column's date; null before the first.
+
+    Only distinct dates are compared, so the one task that orders them holds a few rows for each day, however many d has.
+    """
+    dates = d.select(F.col(column).alias("_day")).filter("_day is not null").distinct().withColumn("_all", F.lit(1))
+    known = sessions.select(F.lit(1).alias("_all"), F.col("date").alias("_known"), F.col("session").alias(name))
+    found = asof(dates, known, "_all", "_day", "_known", [name]).select("_day", name)
+    return d.join(found, d[column] == found["_day"], "left").drop("_day")

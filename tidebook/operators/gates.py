@@ -1,4 +1,4 @@
-"""Whether a paper book may run, whether a candidate strategy is better, and whether a backup can be restored."""
+"""Whether a paper book may run, and whether a candidate strategy is better."""
 
 from __future__ import annotations
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import price_factor
-from .asof import asof
+from .asof import session_by
 from .features import previous_valid_close
 
 
@@ -121,8 +121,8 @@ def price_checks(bars: DataFrame, universe: DataFrame, index: DataFrame, index_n
     days = index.select("date").distinct().withColumn("session", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))  # a row a day
     end = days.agg(F.max("date").alias("end"), F.count(F.lit(1)).alias("n"))
     last = own.groupBy("ticker").agg(F.max("date").alias("last")).join(universe.select("ticker", "delisted_on").distinct(), "ticker").join(F.broadcast(end))
-    before = days.select(F.col("date").alias("last"), F.col("session").alias("at"))
-    known = asof(last.filter("end is not null and (delisted_on is null or delisted_on > end)").withColumn("_all", F.lit(1)), before.withColumn("_all", F.lit(1)), "_all", "last", "last", ["at"])
+    alive = last.filter("end is not null and (delisted_on is null or delisted_on > end)")
+    known = session_by(alive, "last", days, "at")
     behind = F.col("n") - 1 - F.coalesce("at", F.lit(-1))
     late = known.withColumn("behind", behind).filter(F.col("behind") > most_behind).select("ticker", "last", "behind")
     newest = own.agg(F.max("date").alias("newest")).join(F.broadcast(end))

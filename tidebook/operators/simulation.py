@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import Costs
 from . import rules, universe
-from .asof import asof
+from .asof import asof, session_by
 from .book import Replay
 from .quality import next_session
 
@@ -41,9 +41,7 @@ def candidates(run_id: str, features: DataFrame, instruments: DataFrame, calenda
     on = next_session(actions, calendar).join(calendar, "date").join(able, "ticker", "left_semi")
     on = asof(on.select("ticker", "session", "date", "action_type", "value_or_ratio"), features.select("ticker", F.col("date").alias("_at"), F.col("close").alias("close_before")), "ticker", "date", "_at", ["close_before"], strict=True)
     acts = on.groupBy("ticker", "session").agg(F.array_sort(F.collect_list(F.struct(F.col("action_type").alias("kind"), F.col("value_or_ratio").alias("value")))).alias("actions"), F.max("close_before").alias("close_before"))
-    ends = calendar.agg(F.collect_list(F.struct("date", "session")).alias("days"))  # for the session of the last day of listing
-    until = F.array_max(F.transform(F.filter("days", lambda x: x["date"] <= F.col("delisted_on")), lambda x: x["session"]))
-    ids = instruments.join(F.broadcast(ends)).select("ticker", F.col("instrument_id").alias("_id"), F.when(F.col("delisted_on").isNotNull(), until).alias("until"))
+    ids = session_by(instruments.select("ticker", F.col("instrument_id").alias("_id"), "delisted_on"), "delisted_on", calendar, "until").drop("delisted_on")
     d = bars.drop("delisted_on").join(acts, ["ticker", "session"], "full").join(ids, "ticker")
     return d.select(F.lit(run_id).alias("run_id"), "session", F.coalesce("instrument_id", "_id").alias("id"), "sector", "open", "close", "volume", "atr", "turnover", F.coalesce("enter_ok", F.lit(False)).alias("enter_ok"), F.coalesce("exit_rule", F.lit(False)).alias("exit_rule"), "until", "actions", "close_before")
 
