@@ -92,3 +92,40 @@ def test_an_unknown_verdict_has_no_score(spark):
 
     d = spark.createDataFrame([("bullish", 2.0), ("bearish", 0.4), ("neutral", 1.0), ("splendid", 1.0), (None, 1.0), ("bullish", None)], "v string, c double")
     assert [r[0] for r in d.select(text.verdict_score(F.col("v"), F.col("c"))).collect()] == [1.0, -0.4, 0.0, None, None, None]
+
+
+def test_made_up_bars_equal_a_loop(spark):
+    import hashlib
+    import math
+
+    from tidebook.sources import files
+
+    got = {(r["ticker"], r["date"]): tuple(r)[2:] for r in files.demo_bars(spark.createDataFrame([("pko", False), ("wig20", True), (None, False)], "ticker string, is_index boolean"), 60).collect()}
+    assert len(got) == 120
+    for ticker, index in (("pko", False), ("wig20", True)):
+        seed = int(hashlib.sha256(ticker.encode()).hexdigest(), 16) % 2**32
+        base = price = 2000.0 if index else 100.0 + seed % 80
+        at, i, n = date(2015, 1, 1), 0, 0
+        while n < 60:
+            if at.weekday() < 5:
+                wave = math.sin((seed % 1000 + i) / 17) * 0.4 + math.cos((seed % 333 + i) / 9) * 0.3
+                price = max(1.0, price * (1.0004 + seed % 7 * 0.00005) + wave * 0.05 * base / 100)
+                assert got[ticker, at] == pytest.approx((price * 0.998, price * 1.012, price * 0.988, price, 200_000 + i % 60 * 3_000), abs=6e-5)
+                n += 1
+            at, i = at + timedelta(days=1), i + 1
+    assert files.demo_bars(spark.createDataFrame([], "ticker string, is_index boolean"), 5).count() == 0
+
+
+def test_overrides_of_unknown_decisions_are_refused(spark):
+    from tidebook.operators import stored
+    from tidebook.storage import scratch
+    from tidebook.tables import Table
+
+    t = Table(spark, scratch(spark, "overrides"), ["id"], buckets=2)
+    schema = "user_id string, at timestamp, decision_id long, action string, reason string"
+    asked = spark.createDataFrame([("u", datetime(2024, 1, 2), 5, "skip", "x"), ("u", datetime(2024, 1, 1), None, "buy", None), ("u", datetime(2024, 1, 3), 99, "skip", None)], schema)
+    decisions = spark.createDataFrame([(5,), (5,)], "id long")
+    refused = [stored.append_overrides(t, asked, decisions, ("d", 1)) for _ in range(2)][-1]
+    assert [r["decision_id"] for r in refused.collect()] == [99]
+    assert rows(t.read().select("id", "decision_id")) == [(1, None), (2, 5)]
+    assert stored.append_overrides(t, asked.limit(0), decisions, ("d", 2)).count() == 0

@@ -73,3 +73,13 @@ def append_log(table: Table, rows: DataFrame, batch: tuple[str, int], order: Col
     there = table.read()
     numbered = records.numbered(there.select("id") if there is not None else rows.sparkSession.createDataFrame([], "id long"), rows.withColumn("_order", order), ["_order"])
     return table.insert_first(numbered.drop("_order").select("id", *rows.columns), F.col("id"), batch)
+
+
+def append_overrides(table: Table, overrides: DataFrame, decisions: DataFrame, batch: tuple[str, int]) -> DataFrame:
+    """Appends overrides (user_id, at, decision_id, action, reason) to their journal under the next ids, in the order of at; gives
+    back those of decisions that don't exist, which are refused. One without a decision stands for itself."""
+    known = decisions.select(F.col("id").alias("decision_id")).distinct().withColumn("_known", F.lit(True))
+    d = overrides.join(known, "decision_id", "left")
+    good = d.filter("decision_id is null or _known").select(*overrides.columns)
+    append_log(table, good, batch, F.struct("at", "user_id", "action", "reason"))
+    return d.filter("decision_id is not null and _known is null").select(*overrides.columns)

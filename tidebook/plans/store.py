@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import guards, research, scoring
+from ..operators import guards, research, scoring, stored
+from ..sources import files
 from ..sources import market as m
 from ..storage import scratch
+from ..tables import Table
 from .features import r
 
 QUERIES, SQL = {}, {}
@@ -81,6 +83,30 @@ def session_window(spark, sf_dir):
     return e.select("event_id", guards.ingest_end(F.col("ts")).alias("last_day"), guards.in_session(F.col("ts"), [0, 1, 2, 3, 4], "09:00", "17:05").alias("in_session"))
 
 
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT p_brand AS ticker, ('0x' || right(sha256(p_brand), 8))::BIGINT AS seed, ends_with(p_brand, '1') AS is_index FROM part),
+ days AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM range(0, 430) r(i) WHERE isodow(DATE '2015-01-01' + CAST(i AS INT)) <= 5),
+ p AS (SELECT ticker, seed, CASE WHEN is_index THEN 2000.0::DOUBLE ELSE 100.0::DOUBLE + seed % 80 END AS base, 0::BIGINT AS k, -1::BIGINT AS i, CASE WHEN is_index THEN 2000.0::DOUBLE ELSE 100.0::DOUBLE + seed % 80 END AS price FROM t
+  UNION ALL SELECT ticker, seed, base, d.k, d.i, greatest(1.0::DOUBLE, price * (1 + (0.0004::DOUBLE + seed % 7 * 0.00005::DOUBLE)) + (sin((seed % 1000 + d.i) / 17.0::DOUBLE) * 0.4::DOUBLE + cos((seed % 333 + d.i) / 9.0::DOUBLE) * 0.3::DOUBLE) * 0.05::DOUBLE * base / 100.0::DOUBLE) FROM p JOIN days d ON d.k = p.k + 1 AND d.k <= 300)
+ SELECT ticker, DATE '2015-01-01' + CAST(i AS INT) AS date, round(price, 4) AS close, CAST(200000 + i % 60 * 3000 AS DOUBLE) AS volume FROM p WHERE k > 0""")
+def demo_market(spark, sf_dir):
+    """Made-up bars of all brands, those that end in 1 being indices: 300 sessions."""
+    names = m.table(spark, sf_dir, "part").select(F.col("p_brand").alias("ticker"), F.col("p_brand").endswith("1").alias("is_index")).distinct()
+    return files.demo_bars(names, 300).select("ticker", "date", "close", "volume")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey + 7 END AS decision_id FROM orders WHERE o_orderstatus = 'P'),
+ good AS (SELECT * FROM o WHERE decision_id IS NULL OR decision_id IN (SELECT o_orderkey FROM orders))
+ SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id, o_orderkey AS user_id, decision_id FROM good""")
+def override_journal(spark, sf_dir):
+    """Overrides of decisions, of which those that don't exist are refused; written twice, they are there once."""
+    o = m.table(spark, sf_dir, "orders")
+    asked = o.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("user_id"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey") + 7).alias("decision_id"), F.lit("skip").alias("action"), F.lit(None).cast("string").alias("reason"))
+    t = Table(spark, scratch(spark, "overrides"), ["id"], buckets=4)
+    for _ in range(2):
+        stored.append_overrides(t, asked, o.select(F.col("o_orderkey").alias("id")), ("day", 1))
+    return t.read().select("id", "user_id", "decision_id")
+
+
 def job_stage(k: int, fails: str) -> str:
     """SQL of a run over what the one before left: claims in turn, those that are admitted, and what came of them."""
     return f"""SELECT h, first, n, usd, attempts + CASE WHEN admitted AND ({fails}) THEN 1 ELSE 0 END AS attempts, ok OR (admitted AND NOT ({fails})) AS ok FROM (

@@ -136,3 +136,26 @@ def synthetic_bars(spark: SparkSession, tickers: list[str], days: int, base: flo
     close = F.lit(base) * F.pow(F.lit(1 + drift), "i") * (1 + 0.03 * F.sin(F.col("i") / 20 + F.col("phase")) + 0.01 * F.cos(F.col("i") / 7 + F.col("phase")))
     d = d.withColumn("close", F.round(close, 4))
     return d.select("ticker", "date", F.round(F.col("close") * 0.999, 4).alias("open"), F.round(F.col("close") * 1.01, 4).alias("high"), F.round(F.col("close") * 0.99, 4).alias("low"), "close", (F.lit(100_000.0) + F.col("i") % 50 * 1_000).alias("volume"))
+
+
+def demo_bars(names: DataFrame, days: int, start: date = date(2015, 1, 1)) -> DataFrame:
+    """ticker, date, open, high, low, close, volume of made-up bars on the first weekdays from start, for names (ticker, is_index).
+
+    A price follows from the one before: it grows by a drift, and waves whose phase is the ticker's hash move it; it
+    never falls under 1. Each ticker's prices are one fold over its days, so tickers are parallel.
+    """
+    # Bases and drifts by the hash, waves, spreads and volumes.
+    seed = F.conv(F.right(F.sha2("ticker", 256), F.lit(8)), 16, 10).cast("long")
+    every = F.sequence(F.lit(0), F.lit(days * 7 // 5 + 7))
+    weekdays = F.slice(F.filter(every, lambda i: F.weekday(F.date_add(F.lit(start), i)) < 5), 1, days)
+    d = names.filter("ticker is not null").select("ticker", seed.alias("seed"), F.when(F.col("is_index"), 2000.0).otherwise(100.0 + seed % 80).alias("base"), weekdays.alias("days"))
+    drift = 0.0004 + F.col("seed") % 7 * 0.00005
+
+    def after(price: Column, i: Column) -> Column:
+        noise = F.sin((F.col("seed") % 1000 + i) / 17.0) * 0.4 + F.cos((F.col("seed") % 333 + i) / 9.0) * 0.3
+        return F.greatest(F.lit(1.0), price * (1 + drift) + noise * 0.05 * F.col("base") / 100.0)
+
+    prices = F.aggregate("days", F.array(F.col("base")), lambda done, i: F.concat(done, F.array(after(F.element_at(done, -1), i))))
+    rows = d.select("ticker", F.explode(F.arrays_zip(F.col("days").alias("i"), F.slice(prices, 2, days).alias("price"))).alias("x"))
+    p = lambda k: F.round(F.col("x.price") * k, 4)
+    return rows.select("ticker", F.date_add(F.lit(start), F.col("x.i")).alias("date"), p(0.998).alias("open"), p(1.012).alias("high"), p(0.988).alias("low"), p(1.0).alias("close"), (200_000 + F.col("x.i") % 60 * 3_000).cast("double").alias("volume"))
