@@ -210,7 +210,7 @@ def load_absences(spark, sf_dir):
 FILES = "SELECT CAST(o_orderdate AS DATE) AS date, o_custkey, o_orderpriority AS name, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS isin FROM orders"
 
 
-@query(m.sql("SELECT min(isin) AS isin FROM f WHERE name = '5-LOW' AND date = (SELECT max(date) FROM f WHERE date <= DATE '1996-05-11' AND date > DATE '1996-05-11' - 14)", f=FILES))
+@query(m.sql("SELECT min(isin) AS isin FROM f WHERE name = '5-LOW' AND date = (SELECT max(date) FROM f WHERE date <= DATE '1996-05-11' AND date > DATE '1996-05-11' - 14) HAVING count(*) > 0", f=FILES))
 def index_isin(spark, sf_dir):
     """The isin of an index by name in any case, of the newest of a fortnight's files: orders are lines of day files, priorities names."""
     rows = m.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"), F.initcap("o_orderpriority").alias("name"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("isin"))
