@@ -111,7 +111,8 @@ def format_chats(rows: DataFrame, template: Template = bracket, learn: str = "as
 
     rows: conv_id, turn, role, text. Turns go by turn; equal ones by role and text, so repeated rows give repeated
     turns. Null texts and roles are empty; null conv_ids make one conversation. A conversation is one output row, so
-    its turns meet in one row too.
+    its turns meet in one row too; as each prefix is rendered anew, its time grows with the square of its turns. Other
+    columns of rows are left out. An empty table stays empty.
     """
 
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

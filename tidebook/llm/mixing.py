@@ -133,7 +133,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     docs: doc_id, text, source. Every document of a source is taken floor(r) times, r = target / source_size, and once
     more with the chance that is left, decided by balanced(): the words and the documents that a source gives stay near
     their targets. A document without words (null, empty) is taken as if r were r of its source. Rows that agree in
-    doc_id, text and source are told apart by a number only. An empty table stays empty.
+    doc_id, text and source are told apart by a number only. Of a text only its size and two hashes are kept, however long it
+    is; other columns of docs are left out. An empty table stays empty.
     """
     rows = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("source").cast("string").alias("source"), size_of().alias("size")), "sizes")
     goals = kept(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, limit), "targets")

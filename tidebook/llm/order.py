@@ -88,7 +88,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: int, length:
     lies at byte (k % shard_rows) * 2 * length of shard k // shard_rows, and a reader can resume anywhere. layout.json
     says so. Shards are written in waves of neighbouring slots, each with a shuffle of its own, so that at most a part
     of 1 / waves of the ids is in shuffle files at a time. A shard is written under another name and moved when whole;
-    a task that runs again writes the same bytes. Without documents there is no shard.
+    a task that runs again writes the same bytes. Without documents there is no shard. Null texts are empty and have the end
+    id alone; repeated rows are sequences of their own; a very long text is many sequences. Other columns of docs are left out.
     """
     spark = docs.sparkSession
     cut = kept(cut_sequences(docs, tokenizer, length, end_id), "sequences")

@@ -281,7 +281,9 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, fold: int
     language and band of length, so that a fence is one of texts that the model has not seen. A text passes if its bits
     are at most the fence of its language and band, or else of its band, of its language, or of all texts. Texts without
     characters pass. Without any trusted text that is kept from training every fence is infinite and all pass. Columns
-    of the result's names are replaced; repeated rows are judged alike; an empty table stays empty.
+    of the result's names are replaced; repeated rows are judged alike; a very long text is judged whole, in windows; an
+    empty table stays empty. Fences are approximate quantiles (percentile_approx), exact up to 10,000 texts of a group;
+    beyond that they may depend a little on how rows are dealt to tasks.
     """
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).filter("q = 1 and doc_id is not null").select("doc_id", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(fold)) == 0).alias("_held"))
     good = kept(good, "trusted-ids")

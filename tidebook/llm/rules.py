@@ -108,7 +108,8 @@ def judge(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows:
 
     base_failed: under 20 words, or over 30 % of the words in windows that recur. failed_rule: null where base_failed
     or where no rule rejects; which of several rejecting rules it names depends on the measured order, kept doesn't.
-    Empty and null texts fail the base. An empty table stays empty.
+    Empty and null texts fail the base; repeated rows and equal texts are judged alike, rules of equal order by name; a very
+    long text is judged whole. Columns of the result's names are replaced. An empty table stays empty.
     """
     rules = default_rules() if rules is None else rules
     order = [x["rule"] for x in rule_order(docs, rules, sample_rows)]
