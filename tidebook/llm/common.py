@@ -86,13 +86,13 @@ def with_least(df: DataFrame, by: str, value: str, name: str, spread: str) -> Da
     return rows.join(parts.select(by, "_salt").join(whole, by), [by, "_salt"]).drop("_salt")
 
 
-def joined(df: DataFrame, side: DataFrame, key: str, *spread: str, how: str = "inner") -> DataFrame:
+def joined(df: DataFrame, side: DataFrame, key: str, *spread: str, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
     """df joined with side, which has one row for a key; df may have many for one.
 
     A side of a checked size is broadcast. A larger one goes to the parts, dealt by the columns spread, that the rows of a
     key have, so that a hot key's rows are spread over SALTS tasks.
     """
-    marked = small(side)
+    marked = small(side, limit)
     if marked is not side:
         return df.join(marked, key, how)
     rows = _salted(df, *spread)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import scratch
 from .common import append, joined, kept, text_of, texts, with_columns
+from .order import filesystem
 
 _WORD = re.compile(r"\w+")
 #: Texts whose neighbours are looked up together.
@@ -83,7 +88,6 @@ class Index:
     block_label: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     prior: float = 0.5
     documents: float = 0.0
-    steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
 
     @classmethod
     def build(cls, vocabulary: np.ndarray, idf: np.ndarray, telling: np.ndarray, labels: np.ndarray, ids: np.ndarray, example: np.ndarray, term: np.ndarray, n: np.ndarray, block: int = 64, long_share: float = 0.1) -> Index:
@@ -231,9 +235,6 @@ class Index:
             out.append((float((w @ self.labels[near] + mass * self.prior) / (w.sum() + mass)), near, cosine))
         return out
 
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, *self.steps))
-
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the best rising fit of y on x (pool adjacent violators), between which one interpolates."""
@@ -264,14 +265,29 @@ def telling_part(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np
     return np.where(part >= 0.01, part, 0.0)
 
 
+@lru_cache(maxsize=1)
+def _loaded(file: str) -> Index:
+    """The index that a task wrote; a worker process reads it once."""
+    files, path = filesystem(file)
+    with files.open_input_stream(path) as f:
+        return pickle.loads(f.read())
+
+
 @dataclass
 class Model:
-    """The index of examples; and rest, for the hash (key) of every text of the documents the squared length of what its words
-    that no example has add to its vector."""
+    """The file of the index of examples, in the shared folder (None: there is no toxic example), and empty, an index without
+    any; steps, points between which votes become chances; and rest, for the hash (key) of every text of the documents the
+    squared length of what its words that no example has add to its vector. So the driver holds no example."""
 
-    index: Index
+    file: str | None
+    empty: Index
+    steps: tuple[np.ndarray, np.ndarray]
     rest: DataFrame
 
+    @property
+    def index(self) -> Index:
+        return _loaded(self.file) if self.file else self.empty
+
 
 def _lengths(docs: DataFrame, vocabulary: np.ndarray) -> tuple[DataFrame, np.ndarray, int]:
     """(key and rest of every distinct text, the number of documents with each term of vocabulary, and of all documents).
@@ -311,7 +327,7 @@ def _lengths(docs: DataFrame, vocabulary: np.ndarray) -> tuple[DataFrame, np.nda
     pairs = found.filter("key is not null").groupBy("key", "word").agg(F.any_value("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     pairs = kept(pairs, "word-pairs")
     counts = pairs.filter("word is not null").groupBy("word").agg(F.sum("copies").alias("df"))
-    long = joined(pairs, counts, "word", "key")
+    long = joined(pairs, counts, "word", "key", limit=1 << 20)  # pairs are narrow: a shuffle of them costs less than a broadcast
     size = F.pow((1 + F.log("n")) * F.log((F.lit(documents) + 1) / (F.col("df") + 1)), F.lit(2))
     parts = long.select("key", size.alias("size")).unionByName(pairs.filter("word is null").select("key", F.lit(0.0).alias("size")))
     return kept(parts.groupBy("key").agg(F.sum("size").alias("rest")), "text-lengths"), df, documents
@@ -344,29 +360,43 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int,
     held = kept(own.groupBy("doc_id").agg(F.min_by(F.struct("label", "words", "counts"), F.struct("hash", "words")).alias("x")).select("doc_id", "x.*"), "examples")
     vocabulary = np.sort(held.select(F.explode("words").alias("word")).distinct().toArrow()["word"].to_numpy())
     rest, df, documents = _lengths(docs, vocabulary)
-    rows_of = held.orderBy("doc_id").toArrow()  # numbers of the examples' words: the index that every task gets
-    label = rows_of["label"].to_numpy().astype(np.int64)
-    n1 = int(label.sum())
-    if not n1:
-        index = Index.build(vocabulary[:0], np.zeros(0), np.zeros(0), label[:0], label[:0], label[:0], label[:0], np.zeros(0))
-        index.prior, index.documents, index.steps = prior, documents, (np.array([0.0, 1.0]), np.array([prior, prior]))
-        return Model(index, rest)
-    term = np.searchsorted(vocabulary, rows_of["words"].combine_chunks().flatten().to_numpy()).astype(np.int32)
-    example = np.repeat(np.arange(len(label), dtype=np.int32), pc.list_value_length(rows_of["counts"]).to_numpy())
-    n = rows_of["counts"].combine_chunks().flatten().to_numpy().astype(np.float32)
-    ids = rows_of["doc_id"].to_numpy().copy()
-    del rows_of
+    known, folder = spark.sparkContext.broadcast((vocabulary, df, documents, prior)), scratch(spark, "index")
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The examples, at most sum(per_class) rows, meet in one task, which writes the index and gives its sizes and file. A
+        task that runs again writes a file of its own."""
+        parts = [b.select(["doc_id", "label", "words", "counts"]) for b in batches]
+        vocabulary, df, documents, prior = known.value
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        label, ids = t["label"].to_numpy().astype(np.int64), t["doc_id"].to_numpy().copy()
+        term = np.searchsorted(vocabulary, pc.list_flatten(t["words"]).to_numpy()).astype(np.int32)
+        example = np.repeat(np.arange(len(label), dtype=np.int32), pc.list_value_length(t["counts"]).to_numpy())
+        n = pc.list_flatten(t["counts"]).to_numpy().astype(np.float32)
+        n1 = int(label.sum())
+        with_1, with_0 = (np.bincount(term[label[example] == y], minlength=len(vocabulary)) for y in (1, 0))
+        index = Index.build(vocabulary, np.log((1.0 + documents) / (1.0 + df)), telling_part(with_1, with_0, n1, len(label) - n1), label, ids, example, term, n)
+        index.prior, index.documents = prior, documents
+        files, path = filesystem(folder)
+        files.create_dir(path, recursive=True)
+        name = f"{uuid.uuid4().hex}.index"
+        with files.open_output_stream(f"{path}/{name}") as f:
+            pickle.dump(index, f, 5)
+        yield pa.RecordBatch.from_arrays([pa.array([len(label)]), pa.array([n1]), pa.array([f"{folder}/{name}"])], names=["n", "n1", "file"])
+
+    made = held.coalesce(1).sortWithinPartitions("doc_id").mapInArrow(built, "n long, n1 long, file string").collect()  # a row at most
+    known.unpersist()
+    size, n1, file = made[0] if made else (0, 0, None)
+    empty = Index.build(vocabulary[:0], np.zeros(0), np.zeros(0), *[np.zeros(0, np.int64)] * 4, np.zeros(0))
+    empty.prior, empty.documents = prior, documents
+    del vocabulary, df
     pa.default_memory_pool().release_unused()
-    idf = np.log((1.0 + documents) / (1.0 + df))
-    with_1, with_0 = (np.bincount(term[label[example] == y], minlength=len(vocabulary)) for y in (1, 0))
-    telling = telling_part(with_1, with_0, n1, len(label) - n1)
-    index = Index.build(vocabulary, idf, telling, label, ids, example, term, n)
-    del example, term, n
-    index.prior, index.documents = prior, documents
-    shared = spark.sparkContext.broadcast(index)
+    if not n1:
+        return Model(None, empty, (np.array([0.0, 1.0]), np.array([prior, prior])), rest)
 
     def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = shared.value
+        x = _loaded(file)
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
@@ -375,12 +405,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: tuple[int,
                 votes = [v for v, _, _ in x.votes(vectors, k, but=ids)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(votes, pa.float64())], names=["doc_id", "label", "vote"])
 
-    parts = held.repartition(max(1, min(64, len(label) // 64)), "doc_id")
+    parts = held.repartition(max(1, min(64, size // 64)), "doc_id")
     votes = parts.mapInArrow(without_itself, "doc_id long, label int, vote double").orderBy("doc_id").toArrow()
     y = votes["label"].to_numpy()
-    index.steps = isotonic(votes["vote"].to_numpy(), y.astype(float), np.where(y == 1, prior / n1, (1 - prior) / max(1, len(label) - n1)))
-    shared.unpersist()
-    return Model(index, rest)
+    steps = isotonic(votes["vote"].to_numpy(), y.astype(float), np.where(y == 1, prior / n1, (1 - prior) / max(1, size - n1)))
+    return Model(file, empty, steps, rest)
 
 
 def score(docs: DataFrame, model: Model, k: int = 16, evidence: int = 3) -> DataFrame:
@@ -392,7 +421,7 @@ def score(docs: DataFrame, model: Model, k: int = 16, evidence: int = 3) -> Data
     very long text takes time in proportion to its distinct words. Columns of these names are replaced. The lengths of
     texts, 16 bytes each, are broadcast if they are small, else rows meet them by their text's hash.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.index)
+    file, empty, steps = model.file, model.empty, model.steps
     near_type = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))
     added = [T.StructField("score", T.DoubleType()), T.StructField("evidence", near_type)]
     rest = docs.select(*[c for c in docs.columns if c not in ("score", "evidence", "_key", "_rest")])
@@ -401,13 +430,13 @@ def score(docs: DataFrame, model: Model, k: int = 16, evidence: int = 3) -> Data
     arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = shared.value
+        x = _loaded(file) if file else empty
         for batch in batches:
             found, why = [], []
             held = list(zip(texts(batch), batch.column(batch.num_columns - 1).to_pylist(), strict=True))
             for start in range(0, len(held), BATCH):
                 for vote, near, cosine in x.votes([x.vector(*hashed(t), r) for t, r in held[start : start + BATCH]], k):
-                    found.append(x.calibrated(vote))
+                    found.append(float(np.interp(vote, *steps)))
                     top = np.lexsort((near, -cosine))[:evidence]
                     why.append([{"doc_id": int(x.ids[near[i]]), "similarity": float(cosine[i]), "label": int(x.labels[near[i]])} for i in top])
             bare = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
