@@ -165,3 +165,22 @@ def test_scans_and_modes(spark):
     assert universe.of_mode(d, d.limit(1), "config").count() == 1 and universe.of_mode(d, d.limit(1), "full").count() == 2
     with pytest.raises(ValueError):
         universe.of_mode(d, d, "half")
+
+
+@pytest.fixture
+def coarse(spark):
+    """Few rows are dealt as many are: in several ranges, with bounds from a small sample, so that two runs of a plan deal them differently."""
+    given = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in given}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_every_candidate_has_its_place_whatever_the_ranges(spark, coarse):
+    n = 20_000
+    d = spark.range(n, numPartitions=8).select((F.col("id") * 7919 % n).alias("published_at"), F.lit(0).alias("feed_ord"), "id").withColumnRenamed("id", "pos")
+    got = desk.in_order(d).select("published_at", "place").collect()
+    assert len(got) == n and all(r["published_at"] == r["place"] for r in got)
