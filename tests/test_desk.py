@@ -184,3 +184,10 @@ def test_every_candidate_has_its_place_whatever_the_ranges(spark, coarse):
     d = spark.range(n, numPartitions=8).select((F.col("id") * 7919 % n).alias("published_at"), F.lit(0).alias("feed_ord"), "id").withColumnRenamed("id", "pos")
     got = desk.in_order(d).select("published_at", "place").collect()
     assert len(got) == n and all(r["published_at"] == r["place"] for r in got)
+
+
+def test_ids_of_a_log_go_on_without_gaps_whatever_the_ranges(spark, coarse):
+    n = 20_000
+    d = spark.range(n, numPartitions=8).select((F.col("id") * 7919 % n).alias("at"))
+    got = records.numbered(spark.createDataFrame([(4,), (2,)], "id long"), d, ["at"]).collect()
+    assert len(got) == n and all(r["id"] == r["at"] + 5 for r in got)

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import in_order
 from .refdata import upsert
 
 #: Books of the paper loop; results of other runs may not stand under such a name.
@@ -47,14 +48,7 @@ def numbered(stored: DataFrame, rows: DataFrame, order: list[str], key: str = "i
     Numbers come from the counts of range partitions, so that no task sorts all rows.
     """
     last = stored.agg(F.max(key)).first()[0] or 0
-    d = rows.drop(key).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    d = d.withColumn("_part", F.shiftright("_id", 33).cast("int"))
-    sizes, starts = {r["_part"]: r["n"] for r in d.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}, []
-    for k in sorted(sizes):
-        starts.append((k, last + 1))
-        last += sizes[k]
-    at = rows.sparkSession.createDataFrame(starts, "_part int, _start long")
-    return d.join(F.broadcast(at), "_part").withColumn(key, F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_start")
+    return in_order(rows.drop(key), order, key, last + 1)
 
 
 def decisions(stored: DataFrame, events: DataFrame, days: DataFrame) -> DataFrame:
