@@ -6,6 +6,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,35 @@ def test_filings_that_come_again_change_nothing(spark):
     assert go(("a", at(4, 5), "second"), ("a", at(4, 0), "first"), ("b", at(4, 0), "b")) == {"a": "first", "b": "b"}
     assert go(("a", at(3, 0), "earlier, but late"), ("c", at(4, 0), "c")) == {"a": "first", "b": "b", "c": "c"}
     assert go() == {"a": "first", "b": "b", "c": "c"}
+
+
+def test_a_batch_of_a_bucket_takes_few_messages_whatever_its_positions():
+    """State and timers are messages to the JVM, which cost more than bars: their number follows sessions, not positions."""
+    calls = []
+
+    class Handle:
+        rows: list = []
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or self
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = rows
+
+    def bars(day, close, n=500):
+        at = day * 86_400_000_000 + 1
+        return pd.DataFrame([(p, at + k, day, (day + 1) * 86_400_000, "NEAR_STOP" if k else None, close, at + k) for p in range(n) for k in range(3)], columns=["position_id", "at", "day", "ends", "state", "close", "bar_start"])
+
+    handle, watch = Handle(), monitor.Watch()
+    watch.init(handle)
+    calls.clear()
+    first = pd.concat(watch.handleInputRows((0,), iter([bars(1, 5.0), bars(2, 6.0)]), None))
+    again = pd.concat(watch.handleInputRows((0,), iter([bars(2, 7.0), bars(3, 8.0)]), None))
+    assert sorted(set(zip(first["day"], first["price"], strict=True))) == [(1, 5.0), (2, 6.0)] and len(first) == 1000
+    assert set(zip(again["day"], again["price"], strict=True)) == {(3, 8.0)} and len(again) == 500
+    assert len(calls) <= 8
