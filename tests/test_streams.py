@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators.stored import filings_table
+from tidebook.plans import streams
 from tidebook.storage import scratch
 from tidebook.streaming import monitor, outbox
 from tidebook.streaming.ingest import drain, filings_stream
@@ -148,6 +149,16 @@ def test_filings_that_come_again_change_nothing(spark):
     assert go() == {"a": "first", "b": "b", "c": "c"}
 
 
+def test_parts_of_a_feed_come_in_turn_from_as_many_tasks_as_wrote_them(spark):
+    d = spark.range(400, numPartitions=4).select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 40).cast("int")).alias("day"))
+    seen, folders, files = [], (scratch(spark, "out"), scratch(spark, "state")), []
+    for feed in streams.arrivals(d, "day", "parts", 2):
+        got = drain(feed, "parts", folders=folders).withColumn("file", F.input_file_name())
+        seen.append(got.agg(F.count("id"), F.max("day").cast("string")).first())
+        files.append(got.select("file").distinct().count())
+    assert list(map(tuple, seen)) == [(200, "2024-01-20"), (400, "2024-02-09")] and files[0] > 1 < files[1] - files[0]
+
+
 def test_a_batch_of_a_bucket_takes_few_messages_whatever_its_positions():
     """State and timers are messages to the JVM, which cost more than bars: their number follows sessions, not positions."""
     calls = []

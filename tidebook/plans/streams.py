@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import rules, simulation
 from ..sources import market as m
@@ -40,15 +41,22 @@ def intraday_stream(spark, sf_dir):
     return r(d, "open", "high", "low", "close").drop("bar_start")
 
 
-def in_files(d, column: str, name: str, n: int = 3):
-    """A table in n files by the days of a column, written one after another, as a stream of one file a batch."""
-    folder = scratch(d.sparkSession, name)
+def arrivals(d, column: str, name: str, n: int = 3):
+    """A table that comes in n parts by the days of a column: each time that a part has come, the stream of all that is there.
+
+    Drained each time, with the state of before, the stream has a part a batch. Parts are written by as many tasks as their
+    rows need; the table is worked out once.
+    """
+    spark = d.sparkSession
+    kept, folder = scratch(spark, f"{name}-rows"), scratch(spark, name)
     low, high = d.agg(F.min(F.to_date(column)), F.max(F.to_date(column))).first()
     step = max(1, -(-((high - low).days + 1) // n)) if low else 1
-    part = F.floor(F.date_diff(F.to_date(column), F.lit(low)) / step)
+    part = F.coalesce(F.floor(F.date_diff(F.to_date(column), F.lit(low)) / step), F.lit(-1)).cast("int")
+    d.withColumn("_part", part).write.partitionBy("_part").parquet(kept)
+    rows = spark.read.schema(T.StructType([*d.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(kept)
     for k in range(n):
-        d.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
-    return d.sparkSession.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.filter(F.col("_part") == k).drop("_part").write.mode("append").parquet(folder)
+        yield spark.readStream.schema(d.schema).parquet(folder)
 
 
 @query("SELECT user_id % 997 AS dedup_key, arg_min(event_id, (ts, event_id)) AS event_id, min(ts)::DATE AS first_day FROM events GROUP BY 1")
@@ -56,7 +64,9 @@ def filings_dedup_stream(spark, sf_dir):
     """Events as filings, some days a batch: of each key the first one stays."""
     e = m.table(spark, sf_dir, "events").select((F.col("user_id") % 997).alias("dedup_key"), F.col("ts").cast("timestamp").alias("published_at"), "event_id")
     t = filings_table(spark, scratch(spark, "filings"), buckets=8)
-    filings_stream(in_files(e, "published_at", "feed"), t)
+    state = scratch(spark, "filings-state")
+    for feed in arrivals(e, "published_at", "feed"):
+        filings_stream(feed, t, state=state)
     return t.read().select("dedup_key", "event_id", F.col("published_at").cast("date").alias("first_day"))
 
 
@@ -72,8 +82,10 @@ def stop_monitor(spark, sf_dir):
     bars = e.groupBy(F.col("user_id").alias("instrument_id"), m.five_minutes(F.col("ts")).alias("bar_start")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("close"))
     key = F.col("o_orderkey")
     held = m.table(spark, sf_dir, "orders").select(key.alias("position_id"), F.col("o_custkey").alias("instrument_id"), F.when(key % 13 != 0, key % 120).alias("stop_price"), F.when(F.col("o_orderstatus") == "O", "OPEN").otherwise("CLOSED").alias("status"))
+    folders = scratch(spark, "warnings"), scratch(spark, "warnings-state")
     with monitor.keyed_state(spark):
-        found = drain(monitor.stop_warnings(in_files(bars, "bar_start", "quotes"), held), "warnings")
+        for quotes in arrivals(bars, "bar_start", "quotes"):
+            found = drain(monitor.stop_warnings(quotes, held), "warnings", folders=folders)
     return found.withColumn("bar_start_s", F.unix_seconds("bar_start")).drop("bar_start")
 
 
@@ -85,8 +97,9 @@ def alert_outbox(spark, sf_dir):
     o = m.paper_orders(spark, sf_dir).join(m.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate"), "id")
     ledger = outbox.ledger_table(spark, scratch(spark, "ledger"), buckets=8)
     for up in (False, True):
-        send = outbox.outbox(ledger, lambda key, text, up=up: up or int(key.partition("-")[0]) % 3 > 0)
-        in_files(o, "o_orderdate", "queue", 2).writeStream.foreachBatch(send).option("checkpointLocation", scratch(spark, "queue-state")).trigger(availableNow=True).start().awaitTermination()
+        send, state = outbox.outbox(ledger, lambda key, text, up=up: up or int(key.partition("-")[0]) % 3 > 0), scratch(spark, "queue-state")
+        for queue in arrivals(o, "o_orderdate", "queue", 2):
+            queue.writeStream.foreachBatch(send).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return ledger.read().select("order_id", "kind", "status", "attempts")
 
 
