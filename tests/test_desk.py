@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions import text
-from tidebook.operators import collect, desk, gates, load, records, universe
+from tidebook.operators import collect, desk, gates, load, records, research, universe
 from tidebook.plans import catalogue
 from tidebook.sources import files
 
@@ -203,3 +203,17 @@ def test_ids_of_a_log_go_on_without_gaps_whatever_the_ranges(spark, coarse):
     d = spark.range(n, numPartitions=8).select((F.col("id") * 7919 % n).alias("at"))
     got = records.numbered(spark.createDataFrame([(4,), (2,)], "id long"), d, ["at"]).collect()
     assert len(got) == n and all(r["id"] == r["at"] + 5 for r in got)
+
+
+def test_no_task_orders_all_calls_of_a_month(spark, coarse):
+    n = 5_000
+    d = spark.range(n, numPartitions=8).select("id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 7919 % n * 1000).alias("at"), (F.col("id") % 9).cast("double").alias("usd"), (F.col("id") % 4 == 0).alias("cached"))
+    found = research.within_budget(d, 3_000.0)
+    spent, want = {}, {}
+    for r in sorted(d.collect(), key=lambda r: (r["at"], r["id"])):
+        month = r["at"].strftime("%Y-%m")
+        want[r["id"]] = (spent.get(month, 0.0), r["cached"] or spent.get(month, 0.0) < 3_000)
+        spent[month] = spent.get(month, 0.0) + (0.0 if r["cached"] else r["usd"])
+    assert {r["id"]: (r["spent"], r["allowed"]) for r in found.collect()} == want and len(spent) > 1
+    most = found.sparkSession.read.parquet(found.inputFiles()[0].rpartition("/")[0]).groupBy("_part", "_month").count().agg(F.max("count")).first()[0]
+    assert most < n // 2

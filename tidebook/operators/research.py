@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..storage import in_parts
 
 #: Filings whose scoring failed so often are given up.
 ATTEMPTS = 3
@@ -84,12 +85,21 @@ def through_cache(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def within_budget(calls: DataFrame, cap: float) -> DataFrame:
-    """calls (id, at, usd, cached) with spent, the month's cost before each, and allowed: cached ones are free and always are."""
-    month = F.date_trunc("month", "at")
-    w = Window.partitionBy("_month").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    """calls (id, at, usd, cached) with spent, the month's cost before each, and allowed: cached ones are free and always are.
+
+    Calls are dealt by range of time; sums of a month within the parts before are added to the sums within a part, so no
+    task orders all calls of a month, however many they are.
+    """
     cost = F.when(F.col("cached"), 0.0).otherwise(F.col("usd"))
-    d = calls.withColumn("_month", month).withColumn("spent", F.coalesce(F.sum(cost).over(w), F.lit(0.0)))
-    return d.withColumn("allowed", F.col("cached") | (F.col("spent") < cap)).drop("_month")
+    d = in_parts(calls.withColumns({"_month": F.date_trunc("month", "at"), "_cost": cost}), ["at", "id"], "calls")
+    parts = d.groupBy("_part", "_month").agg(F.sum("_cost").alias("_sum"))  # a row a part and month
+    earlier = Window.partitionBy("_month").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", "_month", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"))
+    own = Window.partitionBy("_part", "_month").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_own", F.coalesce(F.sum("_cost").over(own), F.lit(0.0)))
+    same = [d["_part"] == parts["_part"], d["_month"].eqNullSafe(parts["_month"])]
+    d = d.join(F.broadcast(parts), same).withColumn("spent", F.col("_before") + F.col("_own"))
+    return d.withColumn("allowed", F.col("cached") | (F.col("spent") < cap)).select(*calls.columns, "spent", "allowed")
 
 
 def regression(runs: DataFrame) -> DataFrame:
