@@ -17,10 +17,36 @@ FIELDS = ("relevance", "sentiment", "confidence", "quote")
 ANSWER = "relevance string, sentiment double, confidence double, quote string"
 
 
-def tables(spark: SparkSession, path: str, buckets: int = 16) -> dict[str, Table]:
+class Filings:
+    """Filings (filing_id, published_at, full_text, processed, attempts), whose marks, which change with each run, are stored
+    beside the texts, which don't: so a run writes ids and marks, no text."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int) -> None:
+        self.whole, self.marks = (Table(spark, f"{path}/{name}", ["filing_id"], buckets=buckets) for name in ("whole", "marks"))
+
+    def upsert(self, rows: DataFrame, newest: Column | None = None) -> None:
+        self.whole.upsert(rows, newest)
+        self.mark(self.whole.read().join(rows.select("filing_id").distinct(), "filing_id", "left_semi"))
+
+    def mark(self, rows: DataFrame) -> None:
+        self.marks.upsert(rows.select("filing_id", "processed", "attempts"))
+
+    def read(self, **instead: Column) -> DataFrame | None:
+        """All filings; instead: columns on their texts that take the texts' place, worked out where the texts lie."""
+        d, marks = self.whole.read(), self.marks.read()
+        if d is None:
+            return None
+        d = d.withColumns(instead).drop("full_text") if instead else d
+        if marks is None:
+            return d
+        m = marks.select("filing_id", F.struct("processed", "attempts").alias("_m"))
+        return d.join(m, "filing_id", "left").select(*[F.coalesce(F.col("_m")[c], F.col(c)).alias(c) if c in ("processed", "attempts") else c for c in d.columns])
+
+
+def tables(spark: SparkSession, path: str, buckets: int = 16) -> dict[str, Table | Filings]:
     """filings (filing_id, published_at, full_text, processed, attempts), answers by input_hash, scores by filing_id."""
-    keys = {"filings": ["filing_id"], "answers": ["input_hash"], "scores": ["filing_id"]}
-    return {name: Table(spark, f"{path}/{name}", key, buckets=buckets) for name, key in keys.items()}
+    keys = {"answers": ["input_hash"], "scores": ["filing_id"]}
+    return {"filings": Filings(spark, f"{path}/filings", buckets)} | {name: Table(spark, f"{path}/{name}", key, buckets=buckets) for name, key in keys.items()}
 
 
 def in_turn(claims: DataFrame, cost: str = "usd") -> DataFrame:
@@ -36,7 +62,7 @@ def in_turn(claims: DataFrame, cost: str = "usd") -> DataFrame:
     return d.join(days, "_day").withColumn("before", F.col("_before") + F.coalesce(F.sum(cost).over(own), F.lit(0.0))).drop("_day", "_before")
 
 
-def run(stored: dict[str, Table], score: Callable[[str], dict], as_of: Column, cap: float, usd: Column, steps: int = 4) -> None:
+def run(stored: dict[str, Table | Filings], score: Callable[[str], dict], as_of: Column, cap: float, usd: Column, steps: int = 4) -> None:
     """One run over the filings that wait by as_of.
 
     Filings of one text share an input_hash: of each hash without an answer the earliest filing claims a call; those with
@@ -45,17 +71,19 @@ def run(stored: dict[str, Table], score: Callable[[str], dict], as_of: Column, c
     free again in the next run. score(text) runs in tasks; an error, or None, is a failed attempt, and a filing with
     ATTEMPTS of them is given up: processed, but without a score. Calls go in steps by hash, each step's answers being
     stored before the next begins, so that a run that dies loses one step, and the next run asks only for what has no answer.
+    Hashes and costs are worked out where the texts lie; only texts that are asked about are shuffled and written.
     """
     filings, answers = stored["filings"], stored["answers"]
     text = F.coalesce("full_text", F.lit(""))
-    wait = written(waiting(filings.read(), as_of).withColumn("input_hash", F.sha2(text, 256)), "waiting")
+    wait = written(waiting(filings.read(input_hash=F.sha2(text, 256), usd=usd.cast("double")), as_of), "waiting")
     known = answers.read()
     fresh, spent = wait, 0.0
     if known is not None:
         fresh = wait.join(known.select("input_hash"), "input_hash", "left_anti")
         spent = known.filter(F.date_trunc("month", "answered_at") == F.date_trunc("month", as_of)).agg(F.sum("usd")).first()[0] or 0.0
-    claims = fresh.groupBy("input_hash").agg(F.min_by(F.struct("published_at", "filing_id", "full_text"), F.struct("published_at", "filing_id")).alias("c")).select("input_hash", "c.*")
-    admitted = written(in_turn(claims.withColumn("usd", usd.cast("double"))).filter(F.col("before") + spent < cap), "admitted")
+    claims = fresh.groupBy("input_hash").agg(F.min_by(F.struct("published_at", "filing_id", "usd"), F.struct("published_at", "filing_id")).alias("c")).select("input_hash", "c.*")
+    taken = in_turn(claims).filter(F.col("before") + spent < cap).select("filing_id", "input_hash", "usd")
+    admitted = written(taken.join(filings.whole.read().select("filing_id", "full_text"), "filing_id"), "admitted")
 
     def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -73,8 +101,9 @@ def run(stored: dict[str, Table], score: Callable[[str], dict], as_of: Column, c
         tried = written(part.mapInPandas(asked, f"input_hash string, usd double, ok boolean, {ANSWER}"), "asked")
         answers.insert_first(tried.filter("ok").select("input_hash", *FIELDS, "usd", as_of.cast("timestamp").alias("answered_at")), F.col("answered_at"))
         done.append(tried)
+    wait = wait.drop("usd")
     got = wait.join(answers.read().select("input_hash", *FIELDS), "input_hash")
     stored["scores"].upsert(got.select("filing_id", *FIELDS))
     failed = wait.join(reduce(DataFrame.unionByName, done).filter("not ok").select("input_hash"), "input_hash").withColumn("attempts", F.col("attempts") + 1)
     changed = got.select(*wait.columns).withColumn("processed", F.lit(True)).unionByName(failed.withColumn("processed", F.col("attempts") >= ATTEMPTS))
-    filings.upsert(written(changed.drop("input_hash"), "marked"))
+    filings.mark(written(changed.select("filing_id", "processed", "attempts"), "marked"))
