@@ -119,7 +119,7 @@ def test_nothing_waits(spark):
 def test_a_run_writes_marks_and_no_texts(spark):
     stored = scoring.tables(spark, scratch(spark, "job"), buckets=2)
     stored["filings"].upsert(spark.createDataFrame([(1, datetime(2024, 5, 1), "x", False, 0), (2, datetime(2024, 5, 1), "y", False, 2)], SCHEMA))
-    scoring.run(stored, lambda t: answer(t) if t == "x" else None, F.lit(AS_OF), 1e9, F.lit(1.0), steps=1)
+    scoring.run(stored, lambda t: {"relevance": "relevant", "sentiment": 0.0, "confidence": 0.5, "quote": t} if t == "x" else None, F.lit(AS_OF), 1e9, F.lit(1.0), steps=1)
     assert sorted(map(tuple, stored["filings"].read().select("filing_id", "full_text", "processed", "attempts").collect())) == [(1, "x", True, 0), (2, "y", True, 3)]
     assert stored["filings"].whole.versions() == [1] and "full_text" not in stored["filings"].marks.read().columns
     stored["filings"].upsert(spark.createDataFrame([(2, datetime(2024, 5, 1), "z", False, 0)], SCHEMA))  # what is written anew has its own marks
