@@ -170,3 +170,21 @@ def test_awkward_tables(spark):
     none = toxicity.score(odd, toxicity.fit(odd, labels.limit(0), F.lit(True)))
     assert {r["score"] for r in none.collect()} == {0.0}
     assert toxicity.score(odd.limit(0), toxicity.fit(odd.limit(0), labels, F.lit(True))).count() == 0
+
+
+def test_words_of_examples_are_hashed_once_by_a_worker(monkeypatch):
+    """A text is read as its words' hashes say, and read again only words of no example are hashed."""
+    texts = ["The CAT's_7 hat\x1f\x00 the", "Größe İx the ÜNÏ ٠١ hat", "lone \ud800 the Lone", "", " \t-"]
+    all_words = sorted({w for t in texts for w in words(t)})
+    mine = np.sort([toxicity.hashed(w)[0][0] for w in all_words[::2]])
+    nothing = [np.zeros(0, np.int64)] * 4
+    index, seen, plain = toxicity.Index.build(mine, np.ones(len(mine)), np.zeros(len(mine)), *nothing, np.zeros(0)), [], toxicity.hashes
+    monkeypatch.setattr(toxicity, "hashes", lambda w: seen.extend(x if isinstance(x, str) else x.decode() for x in w) or plain(w))
+    for _ in range(2):
+        seen.clear()
+        for text in texts:
+            t, n, other, n_other = index.read(text)
+            got = dict(zip([*mine[t].tolist(), *other.tolist()], [*n, *n_other], strict=True))
+            assert got == {int(plain([w])[0]): k for w, k in words(text).items()}
+            assert not set(mine.tolist()) & set(other.tolist())
+    assert seen and not set(seen) & set(all_words[::2])

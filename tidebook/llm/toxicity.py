@@ -7,9 +7,10 @@ import pickle
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .order import filesystem
 _WORD = re.compile(r"\w+")
 #: Texts whose neighbours are looked up together.
 BATCH = 128
+#: Words whose terms a worker remembers, 15 MB or so.
+REMEMBERED = 100_000
 
 
 def terms(text: str) -> Counter:
@@ -33,26 +36,28 @@ def terms(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, which stand for them; those of the last words are kept, 20 MB or so."""
+#: Bytes of ASCII: A-Z to a-z, what is no part of a word to a space.
+_ASCII = bytes(ord(c.lower()) if _WORD.match(c := chr(i)) else 32 for i in range(128)) + bytes(range(128, 256))
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        h -= (h >> 63) << 64
-        if len(self) >= 100_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
 
+def bag(text: str) -> Counter:
+    """terms(text); those of a text of ASCII are bytes."""
+    return Counter(text.encode().translate(_ASCII).split()) if text.isascii() else terms(text)
 
-_hash = _Hashes().__getitem__
+
+def hashes(words: Collection[str | bytes]) -> np.ndarray:
+    """64-bit hashes of words, which stand for them."""
+    try:
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    except UnicodeEncodeError:  # lone surrogates
+        h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass") if isinstance(w, str) else w) for w in words), np.uint64, len(words))
+    return h.view(np.int64)
 
 
 def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(the hash of each term of a text, how often it occurs)."""
-    c = terms(text)
-    return np.fromiter(map(_hash, c), np.int64, len(c)), np.fromiter(c.values(), float, len(c))
+    c = bag(text)
+    return hashes(c), np.fromiter(c.values(), float, len(c))
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -88,6 +93,7 @@ class Index:
     block_label: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     prior: float = 0.5
     documents: float = 0.0
+    known: dict[str | bytes, int] = field(default_factory=dict)
 
     @classmethod
     def build(cls, vocabulary: np.ndarray, idf: np.ndarray, telling: np.ndarray, labels: np.ndarray, ids: np.ndarray, example: np.ndarray, term: np.ndarray, n: np.ndarray, block: int = 64, long_share: float = 0.1) -> Index:
@@ -128,7 +134,9 @@ class Index:
         """The term of each hash of a word, -1 for a word of no example."""
         if not len(self.vocabulary):
             return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        order, at = np.argsort(words), np.empty(len(words), np.int64)
+        at[order] = np.searchsorted(self.vocabulary, words[order])  # rising ones are found several times as fast
+        at = np.minimum(at, len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == words, at, -1)
 
     def vector(self, words: np.ndarray, n: np.ndarray, rest: float | None = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +146,45 @@ class Index:
         A term that all documents have weighs nothing.
         """
         t = self.places(words)
-        known = t >= 0
-        x = (1.0 + np.log(n[known])) * self.idf[t[known]]
+        return self.unit(t[t >= 0], n[t >= 0], n[t < 0], rest)
+
+    def unit(self, t: np.ndarray, n: np.ndarray, others: np.ndarray, rest: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """vector() from the terms that examples have, and how often they and the other words occur."""
+        x = (1.0 + np.log(n)) * self.idf[t]
         if rest is None:
-            rest = float((((1.0 + np.log(n[~known])) * math.log(1.0 + self.documents)) ** 2).sum())
+            rest = float((((1.0 + np.log(others)) * math.log(1.0 + self.documents)) ** 2).sum())
         norm = math.sqrt(float(x @ x) + rest)
-        return (t[known], x / norm) if norm else (t[:0], x[:0])
-
-    def short_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """For each vector and place the sum of products over the terms with short lists."""
-        t, q = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
-        own = np.repeat(np.arange(len(vectors)) * len(self.labels), [len(v[0]) for v in vectors])
-        size = self.term_at[t + 1] - self.term_at[t]
-        at = _ranges(self.term_at[t], size)
-        total = np.bincount(np.repeat(own, size) + self.place[at], np.repeat(q, size) * self.weight[at], len(vectors) * len(self.labels))
-        return total.astype(np.float32).reshape(len(vectors), len(self.labels))
+        return (t, x / norm) if norm else (t[:0], x[:0])
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the terms of a text that examples have, how often they occur, the hashes of its other words, how often those do)."""
+        c = bag(text)
+        n = np.fromiter(c.values(), float, len(c))
+        t = np.fromiter(map(self.known.get, c, repeat(-1)), np.int64, len(c))
+        new = np.flatnonzero(t < 0)
+        words = list(c)
+        words = [words[i] for i in new.tolist()]
+        h = hashes(words)
+        t[new] = at = self.places(h)
+        if len(self.known) < REMEMBERED:
+            self.known.update((words[i], int(at[i])) for i in np.flatnonzero(at >= 0).tolist())
+        return t[t >= 0], n[t >= 0], h[at < 0], n[new[at < 0]]
+
+    def short_part(self, vectors: list[tuple[np.ndarray, np.ndarray]], near: list[np.ndarray] | None = None) -> np.ndarray:
+        """For each vector and place the sum of products over the terms with short lists; with near only for each vector's
+        places there, one vector's after another's.
+        """
+        out = np.zeros((len(vectors), len(self.labels)), np.float32) if near is None else []
+        for i, (t, q) in enumerate(vectors):
+            start = self.term_at[t]
+            size = self.term_at[t + 1] - start
+            at = _ranges(start, size)
+            total = np.bincount(self.place[at], np.repeat(q, size) * self.weight[at], len(self.labels))
+            if near is None:
+                out[i] = total
+            else:
+                out.append(total[near[i]].astype(np.float32))
+        return out if near is None else np.concatenate(out)
 
     def long_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """For each vector its weights of the terms with long lists."""
@@ -176,7 +208,7 @@ class Index:
         q = self.long_part(vectors)
         score = self.short_part(vectors).reshape(n, n_blocks, size)
         bound = score.max(axis=2) + q @ self.top
-        hidden = np.zeros((n, n_blocks, size), bool)
+        hidden = None
         if but is not None:
             hidden = (self.ids == np.array(but)[:, None]).reshape(n, n_blocks, size) & (self.ids >= 0).reshape(n_blocks, size)
         done = np.zeros((n, n_blocks), bool)
@@ -187,32 +219,35 @@ class Index:
                 score[rows, b] += q[rows] @ self.full[:, b]
             done.__ior__(todo)
 
-        def best(y: int) -> np.ndarray:
-            """Scores of the completed blocks of label y; others are 0."""
-            of = np.flatnonzero(self.block_label == y)
-            return np.where(done[:, of, None] & ~hidden[:, of], score[:, of], 0.0).reshape(n, -1)
-
-        todo = np.zeros((n, n_blocks), bool)
+        todo, first_of = np.zeros((n, n_blocks), bool), []
         for y in (0, 1):
             of = np.flatnonzero(self.block_label == y)
-            top = of[np.argsort(-bound[:, of], axis=1, kind="stable")[:, :first]]
-            np.put_along_axis(todo, top, True, axis=1)
+            first_of.append(of[np.argsort(-bound[:, of], axis=1, kind="stable")[:, :first]])
+            np.put_along_axis(todo, first_of[y], True, axis=1)
         complete(todo & (bound > 0))
-        todo = (bound > 0) & ~done
-        for y in (0, 1):
-            of, s = np.flatnonzero(self.block_label == y), best(y)
-            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.zeros(n)
-            todo[:, of] &= bound[:, of] >= least[:, None] - 1e-5
+        todo, least = (bound > 0) & ~done, np.zeros((2, n), np.float32)
+        for y in (0, 1):  # the k-th cosine found so far
+            of, rows = np.flatnonzero(self.block_label == y), np.arange(n)[:, None]
+            s = np.where(done[rows, first_of[y]][:, :, None], score[rows, first_of[y]], 0.0)
+            if hidden is not None:
+                s[hidden[rows, first_of[y]]] = 0.0
+            s = s.reshape(n, -1)
+            if s.shape[1] > k:
+                least[y] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            todo[:, of] &= bound[:, of] >= least[y][:, None] - 1e-5
         complete(todo)
-        out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
-        for y in (0, 1):
-            at, s = np.flatnonzero(np.repeat(self.block_label == y, size)), best(y)
-            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.zeros(n)
-            for i in range(n):
-                found = np.flatnonzero((s[i] >= least[i]) & (s[i] > 0))
-                found = found[np.argsort(-s[i][found], kind="stable")][:k]
-                out[i].append((at[found], s[i][found]))
-        return [(np.concatenate([x[0] for x in o]), np.concatenate([x[1] for x in o]).astype(float)) for o in out]
+        good = (score >= least[self.block_label].T[:, :, None]) & (score > 0) & done[:, :, None]
+        if hidden is not None:
+            good &= ~hidden
+        own, at = np.nonzero(good.reshape(n, -1))  # all of the k nearest, and some others
+        s, label = score.reshape(n, -1)[own, at], self.labels[at]
+        order = np.lexsort((at, -s, label, own))
+        own, at, s, label = own[order], at[order], s[order], label[order]
+        group = own * 2 + label
+        rank = np.arange(len(group)) - np.searchsorted(group, group)
+        own, at, s = own[rank < k], at[rank < k], s[rank < k]
+        cuts = np.searchsorted(own, np.arange(1, n))
+        return list(zip(np.split(at, cuts), np.split(s.astype(float), cuts), strict=True))
 
     def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None, mass: float = 1.0) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """For each vector (share of label 1 among the neighbours, their places, their cosines).
@@ -225,10 +260,10 @@ class Index:
             return []
         some = [(t[self.telling[t] > 0], q[self.telling[t] > 0]) for t, q in vectors]
         tell = [(t, self.telling[t] ** 2 * q) for t, q in some]
-        short, long, flat = self.short_part(tell), self.long_part(tell), self.full.reshape(len(self.full), len(self.labels))
-        out = []
-        for i, (near, cosine) in enumerate(self.nearest(vectors, k, but)):
-            told = short[i, near] + (long[i, used] @ flat[used[:, None], near] if len(used := np.flatnonzero(long[i])) else 0.0)
+        found, long, flat, out = self.nearest(vectors, k, but), self.long_part(tell), self.full.reshape(len(self.full), len(self.labels)), []
+        short = np.split(self.short_part(tell, [near for near, _ in found]), np.cumsum([len(near) for near, _ in found])[:-1])
+        for i, (near, cosine) in enumerate(found):
+            told = short[i] + (long[i, used] @ flat[used[:, None], near] if len(used := np.flatnonzero(long[i])) else 0.0)
             t, q = some[i]
             norm = self.telling_norm[near] * math.sqrt(float(self.telling[t] @ (q * q)))
             w = np.maximum(np.where(norm > 0, told / np.where(norm > 0, norm, 1.0), 0.0), cosine**4)
@@ -303,14 +338,13 @@ def _lengths(docs: DataFrame, vocabulary: np.ndarray) -> tuple[DataFrame, np.nda
         index, df, rows = shared.value, np.zeros(len(shared.value.vocabulary), np.int64), 0
         for batch in batches:
             keys, held = batch.column(0).to_numpy(), []
-            for key, text in zip(keys.tolist(), texts(batch), strict=True):
-                words, n = hashed(text)
-                t = index.places(words)
-                df[t[t >= 0]] += 1
-                held.append((key, words[t < 0], n[t < 0]))
+            for text in texts(batch):
+                t, _, words, n = index.read(text)
+                df[t] += 1
+                held.append((words, n))
             rows += len(held)
-            sizes = [len(w) for _, w, _ in held]
-            columns = [np.repeat(keys, sizes), np.concatenate([w for _, w, _ in held]), np.concatenate([n for *_, n in held])]
+            sizes = [len(w) for w, _ in held]
+            columns = [np.repeat(keys, sizes), np.concatenate([w for w, _ in held]), np.concatenate([n for _, n in held])]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=names)
             plain = keys[np.array(sizes) == 0]  # texts without such words
             yield pa.RecordBatch.from_arrays([pa.array(plain), pa.nulls(len(plain), pa.int64()), pa.array(np.zeros(len(plain)))], names=names)
@@ -435,7 +469,7 @@ def score(docs: DataFrame, model: Model, k: int = 16, evidence: int = 3) -> Data
             found, why = [], []
             held = list(zip(texts(batch), batch.column(batch.num_columns - 1).to_pylist(), strict=True))
             for start in range(0, len(held), BATCH):
-                for vote, near, cosine in x.votes([x.vector(*hashed(t), r) for t, r in held[start : start + BATCH]], k):
+                for vote, near, cosine in x.votes([x.unit(t, n, others, r) for (t, n, _, others), r in ((x.read(text), r) for text, r in held[start : start + BATCH])], k):
                     found.append(float(np.interp(vote, *steps)))
                     top = np.lexsort((near, -cosine))[:evidence]
                     why.append([{"doc_id": int(x.ids[near[i]]), "similarity": float(cosine[i]), "label": int(x.labels[near[i]])} for i in top])
