@@ -489,6 +489,19 @@ def test_components(spark):
     assert components.components(d.limit(0)).count() == 0
 
 
+def test_components_take_no_round_too_many(spark, monkeypatch):
+    """Stars take none, others as many as it takes to make stars of them; least neighbours that are joined give the same."""
+    rounds, plain = [], components._stars
+    monkeypatch.setattr(components, "_stars", lambda edges, large, few: rounds.append(few) or plain(edges, large, few))
+    link = lambda pairs: spark.createDataFrame([((a, a), (b, b)) for a, b in pairs], "a struct<x:long,y:long>, b struct<x:long,y:long>")
+    found = lambda pairs: {r["node"]["x"]: r["component"]["x"] for r in components.components(link(pairs)).collect()}
+    assert found([(0, i) for i in range(1, 9)] + [(20, 21), (21, 20), (30, 30)]) == {i: 0 for i in range(9)} | {20: 20, 21: 20} and not rounds
+    assert found([(5, i) for i in (1, 3, 7, 9)] + [(20, 21)]) == {i: 1 for i in (1, 3, 5, 7, 9)} | {20: 20, 21: 20} and rounds == [True, True]
+    monkeypatch.setattr(components, "FEW", 0)
+    chain = [(i, i + 1) for i in range(40, 60)] + [(60, 3), (7, 55)]
+    assert found(chain) == {i: 3 for i in (3, 7, *range(40, 61))} and set(rounds[2:]) == {False}
+
+
 def test_one_row_of_each_class_stays(spark, awkward):
     out = take_rows(awkward, dedup.firsts(dedup.near_duplicates(awkward)))
     assert out.columns == awkward.columns
